@@ -69,7 +69,8 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str] | str, seed=42,
 
 
 def top_n_per_group(df: DataFrame, group_cols: Sequence[str] | str, order_cols: Sequence[Column | str],
-                    n: int, salt_buckets: int = 64, rank_col: str | None = None) -> DataFrame:
+                    n: int, salt_buckets: int = 64, rank_col: str | None = None,
+                    salt_cols: Sequence[str] | None = None) -> DataFrame:
     """Exact top-``n`` rows per group in two phases.
 
     Phase 1 keeps the local top-n inside (group, salt) partitions, so a hot
@@ -78,8 +79,10 @@ def top_n_per_group(df: DataFrame, group_cols: Sequence[str] | str, order_cols:
     order for the result to be deterministic.
     """
     groups = _cols(group_cols)
-    salt = F.pmod(F.xxhash64(*[F.col(c) if isinstance(c, str) else c for c in order_cols]),
-                  F.lit(salt_buckets))
+    if salt_cols is None:
+        salt_cols = [f.name for f in df.schema.fields
+                     if f.name not in groups and f.dataType.typeName() != "map"]
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salt_buckets))
     w1 = Window.partitionBy(*groups, "_salt").orderBy(*order_cols)
     stage1 = df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1)) \
                .filter(F.col("_r1") <= n).drop("_r1", "_salt")

@@ -31,4 +31,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{mod}")
 
 
-_MODULES = ["cleaning"]
+_MODULES = ["cleaning", "profile", "sampling"]
