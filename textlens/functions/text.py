@@ -161,11 +161,24 @@ def is_lower(w) -> Column:
 
 def words_match(a, b) -> Column:
     """Equal length, and every character pair equal or one side a non-word
-    character (a wildcard).  Case-sensitive."""
+    character (a wildcard).  Case-sensitive.
+
+    Identical words match, and words without any non-word character match
+    only if identical, so the per-character walk runs only for the rest."""
     a, b = _col(a), _col(b)
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""),
                        lambda x, y: (x == y) | x.rlike(cc.NOT_WORD) | y.rlike(cc.NOT_WORD))
-    return (F.length(a) == F.length(b)) & F.forall(pairs, lambda m: m)
+    return (a == b) | ((F.length(a) == F.length(b))
+                       & (a.rlike(cc.NOT_WORD) | b.rlike(cc.NOT_WORD))
+                       & F.forall(pairs, lambda m: m))
+
+
+def case_code(w) -> Column:
+    """1 = all cased characters upper (and at least one), -1 = all lower,
+    0 = neither."""
+    w = _col(w)
+    up, lo = F.upper(w), F.lower(w)
+    return F.when((up == w) & (lo != w), 1).when((lo == w) & (up != w), -1).otherwise(0)
 
 
 def format_template(template: str, c, slot: str = "{text}") -> Column:
