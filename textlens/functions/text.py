@@ -194,3 +194,10 @@ def chat_messages(system, user, assistant=None) -> Column:
     if assistant is not None:
         msgs.append(F.struct(F.lit("assistant").alias("role"), _col(assistant).alias("content")))
     return F.array(*msgs)
+
+
+def round_half_up(c, digits: int = 6) -> Column:
+    """floor(x * 10^d + 0.5) / 10^d in plain IEEE arithmetic: the same bits in
+    every engine, unlike ``round`` whose half-way rule differs."""
+    f = float(10 ** digits)
+    return F.floor(_col(c) * f + 0.5) / f
