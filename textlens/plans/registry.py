@@ -31,4 +31,4 @@ def load_all() -> None:
         importlib.import_module(f"{__package__}.{mod}")
 
 
-_MODULES = ["cleaning", "profile", "sampling", "annotation", "evaluation", "features", "analytics", "models"]
+_MODULES = ["cleaning", "profile", "sampling", "annotation", "evaluation", "features", "analytics", "models", "io"]
