@@ -23,8 +23,16 @@ def _col(c) -> Column:
 # ---------------------------------------------------------------- words ---
 
 def words(c) -> Column:
-    """Whitespace split with empty pieces dropped (Python ``str.split()``)."""
-    return F.filter(F.split(_col(c), cc.SPACES), lambda w: w != F.lit(""))
+    """Whitespace split with empty pieces dropped (Python ``str.split()``).
+    ``array_remove`` is a plain (codegen'd) expression, unlike a lambda."""
+    return F.array_remove(F.split(_col(c), cc.SPACES), "")
+
+
+def space_words(c) -> Column:
+    """``words`` for text whose only whitespace is the ASCII space (e.g. after
+    ``collapse_spaces``): a literal one-character split, much cheaper than
+    the Unicode whitespace class."""
+    return F.array_remove(F.split(_col(c), " "), "")
 
 
 def word_count(c) -> Column:
@@ -94,11 +102,14 @@ def replace_punctuation(c) -> Column:
     return F.regexp_replace(_col(c), cc.PUNCT, " ")
 
 
-def remove_stopwords(c, stopwords: Iterable[str] = ENGLISH_STOPWORDS) -> Column:
+def remove_stopwords(c, stopwords: Iterable[str] = ENGLISH_STOPWORDS,
+                     ascii_spaces_only: bool = False) -> Column:
     """Drop words whose lower-case form is a stopword; re-join with one space.
-    ``isin`` with a long literal list is planned as a hash-set lookup."""
+    ``isin`` with a long literal list is planned as a hash-set lookup.
+    ``ascii_spaces_only`` declares that the text has no other whitespace."""
     stop = sorted(set(stopwords))
-    return F.array_join(F.filter(words(c), lambda w: ~F.lower(w).isin(stop)), " ")
+    ws = space_words(c) if ascii_spaces_only else words(c)
+    return F.array_join(F.filter(ws, lambda w: ~F.lower(w).isin(stop)), " ")
 
 
 def strip_leading_mentions(c) -> Column:
@@ -120,8 +131,12 @@ def clean_text(c, *, stopwords: Iterable[str] = ENGLISH_STOPWORDS,
     if contractions:
         t = expand_contractions(t, contractions)
     t = replace_punctuation(t)
-    t = remove_stopwords(t, stopwords)
-    return strip_leading_mentions(t)
+    # After collapse_spaces every whitespace character is ' ', and the later
+    # steps only delete characters or insert ' ': split on the literal space.
+    t = remove_stopwords(t, stopwords, ascii_spaces_only=True)
+    # The re-joined words have single inner spaces and none at either end,
+    # so the leading-mention strip needs no trailing-space alternative.
+    return F.regexp_replace(t, r"^(?:@user:? ?)+", "")
 
 
 def word_tokenize(c, fused: Mapping[str, str] = FUSED_FORMS) -> Column:
@@ -177,8 +192,10 @@ def case_code(w) -> Column:
     """1 = all cased characters upper (and at least one), -1 = all lower,
     0 = neither."""
     w = _col(w)
-    up, lo = F.upper(w), F.lower(w)
-    return F.when((up == w) & (lo != w), 1).when((lo == w) & (up != w), -1).otherwise(0)
+    # upper(w) != w means a lower-case letter exists, so "all lower" reduces
+    # to lower(w) == w: at most one conversion each way per word.
+    return F.when(F.upper(w) == w, F.when(F.lower(w) != w, 1).otherwise(0)) \
+            .otherwise(F.when(F.lower(w) == w, -1).otherwise(0))
 
 
 def format_template(template: str, c, slot: str = "{text}") -> Column:

@@ -21,12 +21,16 @@ def number_steps(logs: DataFrame, ts_col: str = "ts", tie_col: str = "event_id",
     """1-based ``step`` per (model, kind) in time order.  Ranks are bucketed
     by time (``bucket``) so a long log is not numbered in one task."""
     t = logs.withColumn("_tb", F.date_trunc(bucket, F.col(ts_col)))
-    return global_rank(t, [ts_col, tie_col], "_tb", list(group_cols), "step").drop("_tb")
+    return global_rank(t, [ts_col, tie_col], "_tb", list(group_cols), "step") \
+        .withColumnRenamed("step_total", "n_steps").drop("_tb")
 
 
 def every_nth(steps: DataFrame, divisor: int = 10, group_cols=("model", "kind")) -> DataFrame:
     """Keep steps that are multiples of N = max(1, steps // divisor) per
     group (the logging interval rule)."""
+    if "n_steps" in steps.columns:   # group sizes already known from numbering
+        n = F.greatest(F.lit(1), F.floor(F.col("n_steps") / divisor)).cast("long")
+        return steps.filter(F.col("step") % n == 0)
     sizes = steps.groupBy(*group_cols).agg(
         F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / divisor)).cast("long").alias("_n"))
     return steps.join(sizes, list(group_cols)).filter(F.col("step") % F.col("_n") == 0).drop("_n")

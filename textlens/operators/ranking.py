@@ -38,7 +38,8 @@ def hash_bucket(hash_col: Column, hex_digits: int = 4) -> Column:
 
 def global_rank(df: DataFrame, order_cols: Sequence[str], bucket_col: str,
                 partition_cols: Sequence[str] | str = (), rank_col: str = "rank") -> DataFrame:
-    """1-based rank by ``order_cols`` within ``partition_cols``.
+    """1-based rank by ``order_cols`` within ``partition_cols``, plus
+    ``<rank_col>_total``, the row count of the partition.
 
     ``bucket_col`` must be monotone in ``order_cols`` (rows of a lower bucket
     sort first) and ``order_cols`` must be a total order.  The offsets table
@@ -49,7 +50,8 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], bucket_col: str,
     counts = df.groupBy(*part, bucket_col).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*part).orderBy(bucket_col).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, bucket_col,
-                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
+                            F.sum("_n").over(Window.partitionBy(*part)).alias(f"{rank_col}_total"))
     joined = df.join(F.broadcast(offsets), on=[*part, bucket_col], how="inner")
     inner = Window.partitionBy(*part, bucket_col).orderBy(*order_cols)
     return joined.withColumn(rank_col, (F.col("_off") + F.row_number().over(inner)).cast("long")) \

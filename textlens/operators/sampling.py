@@ -34,7 +34,8 @@ def undersample(df: DataFrame, label_col: str, key_cols: Sequence[str] | str,
     target = sizes.agg(F.min("_n").alias("_target")).withColumn("_k", F.lit(1))
     ranked = hash_rank(df, key_cols, seed, partition_cols=label_col, rank_col="_rank")
     joined = ranked.withColumn("_k", F.lit(1)).join(F.broadcast(target), "_k")
-    return joined.filter(F.col("_rank") <= F.col("_target")).drop("_k", "_rank", "_target")
+    return joined.filter(F.col("_rank") <= F.col("_target")).drop("_k", "_rank", "_rank_total",
+                                                                     "_target")
 
 
 def split_sizes(n: int, test_size: float) -> tuple[int, int]:
@@ -47,12 +48,12 @@ def train_test_split(df: DataFrame, key_cols: Sequence[str] | str, test_size: fl
                      seed=42, labels: tuple[str, str] = ("train", "test"),
                      split_col: str = "split") -> DataFrame:
     """Add ``split``: the first ceil(test_size * n) rows in seeded-hash order
-    are the test part.  One count job fixes n; ranks are bucketed."""
-    n = df.count()
-    _, n_test = split_sizes(n, test_size)
+    are the test part.  n comes from the bucket-count table of the rank, so
+    no separate count job runs."""
     ranked = hash_rank(df, key_cols, seed, rank_col="_rank")
+    n_test = F.ceil(F.lit(float(test_size)) * F.col("_rank_total"))
     return ranked.withColumn(split_col, F.when(F.col("_rank") <= n_test, F.lit(labels[1]))
-                             .otherwise(F.lit(labels[0]))).drop("_rank")
+                             .otherwise(F.lit(labels[0]))).drop("_rank", "_rank_total")
 
 
 def per_iteration_samples(df: DataFrame, key_cols: Sequence[str] | str, iterations: int,

@@ -21,6 +21,7 @@ from ..operators import evaluation as E
 from ..operators import sampling as U
 from ..sources.tables import table
 from . import sqlparts as S
+from .common import reuse
 from .registry import register
 
 SPLIT_SEED = 42
@@ -98,7 +99,7 @@ FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('|', post_id
       FROM ({CONSENSUS_SQL}) c) s
 """)
 def chat_records(spark, sf_dir):
-    split = U.train_test_split(consensus(spark, sf_dir), "post_id", TEST_SIZE, SPLIT_SEED)
+    split = U.train_test_split(reuse(consensus(spark, sf_dir)), "post_id", TEST_SIZE, SPLIT_SEED)
     train = K.chat_training_records(split.filter(F.col("split") == "train")).select(
         "post_id", F.lit("train").alias("split"),
         F.col("messages")[0]["content"].alias("system_content"),

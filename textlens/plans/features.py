@@ -14,6 +14,7 @@ from ..operators import tfidf as TF
 from ..operators import vectors as V
 from ..sources.tables import labelled_corpus, table
 from . import sqlparts as S
+from .common import reuse
 from .registry import register
 
 MAX_FEATURES = 3000      # smallest TF-IDF size of the feature grid
@@ -28,7 +29,7 @@ MAX_LENGTH = 64
 
 def split_docs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return U.train_test_split(docs, "doc_id", TEST_SIZE, SPLIT_SEED)
+    return reuse(U.train_test_split(docs, "doc_id", TEST_SIZE, SPLIT_SEED))
 
 
 def fitted_vocab(spark, sf_dir, docs=None):

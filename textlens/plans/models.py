@@ -12,6 +12,7 @@ from ..operators import neighbors as N
 from ..operators import sampling as U
 from ..operators import tfidf as TF
 from ..sources.tables import labelled_corpus, table
+from .common import reuse
 from .registry import register
 
 SEED = 42
@@ -24,7 +25,7 @@ N_TRIALS = 100
 
 def split_embeddings(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    return U.train_test_split(emb, "vec_id", TEST_SIZE, SEED)
+    return reuse(U.train_test_split(emb, "vec_id", TEST_SIZE, SEED))
 
 
 EMB_SPLIT_SQL = f"""
@@ -85,8 +86,8 @@ def knn_classify(spark, sf_dir):
 
 def balanced_split(spark, sf_dir):
     corpus = C.clean_corpus(labelled_corpus(spark, sf_dir)).select("doc_id", "text", "label")
-    bal = U.undersample(corpus, "label", "doc_id", SEED)
-    return U.train_test_split(bal, "doc_id", TEST_SIZE, SEED).cache()
+    bal = U.undersample(reuse(corpus), "label", "doc_id", SEED)
+    return reuse(U.train_test_split(reuse(bal), "doc_id", TEST_SIZE, SEED))
 
 
 def tfidf_sets(spark, sf_dir, sizes):
