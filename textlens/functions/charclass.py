@@ -15,6 +15,10 @@ NOT_WORD = f"[^{WORD_INNER}]"
 SPACE_INNER = (r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
                r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 SPACE = f"[{SPACE_INNER}]"
+# The same characters listed literally, without the ASCII space itself.
+OTHER_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+                     + "".join(chr(c) for c in range(0x2000, 0x200B))
+                     + "\u2028\u2029\u202f\u205f\u3000")
 SPACES = SPACE + "+"
 
 # The emoji/symbol class removed by the cleaner.  The listed ranges overlap
