@@ -177,3 +177,58 @@ def contraction_expand(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     t = T.collapse_spaces(F.lower("text"))
     return docs.select("doc_id", T.expand_contractions(t, CONTRACTIONS).alias("text"))
+
+
+# ------------------------------------------------- tokenize + lemmatize ---
+
+LEMMA_MIN_COUNT = 5   # known nouns: words seen at least this often in the corpus
+
+
+def _fused_sql(x: str) -> str:
+    from ..functions.lexicons import FUSED_FORMS
+    pairs = ", ".join(f"{S.q(k)}: {S.q(v)}" for k, v in sorted(FUSED_FORMS.items()))
+    toks = S.words(f"replace({x}, '@', ' @ ')")
+    return (f"{S.words(f'array_to_string(list_transform({toks}, lambda w: '
+                      f'coalesce(MAP {{{pairs}}}[lower(w)], w)), chr(32))')}")
+
+
+@register("word_tokenize", f"""
+SELECT doc_id, array_to_string({_fused_sql('text')}, ' ') AS text FROM ({S.CLEAN_CORPUS}) c
+""")
+def word_tokenize_q(spark, sf_dir):
+    corpus = C.clean_corpus(labelled_corpus(spark, sf_dir))
+    return corpus.select("doc_id", T.join_words(T.word_tokenize("text")).alias("text"))
+
+
+def _rules_sql() -> str:
+    from ..functions.lexicons import NOUN_SUFFIX_RULES
+    parts = ["SELECT form, form AS cand, 0 AS ord FROM forms"]
+    for i, (old, new) in enumerate(NOUN_SUFFIX_RULES, start=1):
+        parts.append(f"SELECT form, substring(form, 1, length(form) - {len(old)}) || {S.q(new)}, {i} "
+                     f"FROM forms WHERE suffix(form, {S.q(old)})")
+    return " UNION ALL ".join(parts)
+
+
+@register("lemmatize_lexicon", f"""
+WITH c AS (SELECT doc_id, {_fused_sql('text')} AS toks FROM ({S.CLEAN_CORPUS}) x),
+t AS (SELECT doc_id, unnest(toks) AS form, unnest(range(len(toks))) AS pos FROM c),
+forms AS (SELECT DISTINCT form FROM t),
+known AS (SELECT form AS word FROM t GROUP BY form HAVING count(*) >= {LEMMA_MIN_COUNT}),
+cands AS ({_rules_sql()}),
+best AS (SELECT form, cand FROM (
+           SELECT form, cand, row_number() OVER (PARTITION BY form ORDER BY length(cand), ord, cand) AS rk
+           FROM cands WHERE cand IN (SELECT word FROM known)) r WHERE rk = 1)
+SELECT t.doc_id, string_agg(coalesce(best.cand, t.form), ' ' ORDER BY t.pos) AS text
+FROM t LEFT JOIN best ON t.form = best.form GROUP BY t.doc_id
+""")
+def lemmatize_lexicon(spark, sf_dir):
+    """Tokenize the cleaned corpus, then map nouns to their lemma; known
+    nouns are the corpus words seen at least five times."""
+    from ..operators.lexicon import noun_lemmas
+    corpus = C.clean_corpus(labelled_corpus(spark, sf_dir))
+    toks = corpus.select("doc_id", T.join_words(T.word_tokenize("text")).alias("text"))
+    words = toks.select(F.explode(F.split("text", " ")).alias("form"))
+    known = words.groupBy("form").count().filter(F.col("count") >= LEMMA_MIN_COUNT) \
+                 .select(F.col("form").alias("word"))
+    lemmas = noun_lemmas(words, known)
+    return C.apply_lemmas(toks, lemmas, "doc_id", "text").select("doc_id", "text")
