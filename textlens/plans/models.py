@@ -151,3 +151,41 @@ def random_search(spark, sf_dir):
 def refit_best(spark, sf_dir):
     res, tr, te = _search(spark, sf_dir)
     return M.refit_best(res, tr, te)
+
+
+# ------------------------------------------------------------ embeddings --
+
+W2V_SIZE = 300   # smallest dense size of the feature grid
+W2V_WINDOW = 5
+W2V_MIN_COUNT = 1
+
+
+def _doc_vector_summary(vecs, split):
+    return vecs.join(split.select("doc_id", "split"), "doc_id").select(
+        "doc_id", "split", F.size("vec").alias("n_dims"),
+        F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+@register("word2vec_docs")
+def word2vec_docs(spark, sf_dir):
+    """Word2Vec fitted on the training split, documents of both splits
+    encoded as the mean of their known-word vectors."""
+    from ..operators import embeddings as EM
+    sp = balanced_split(spark, sf_dir)
+    wv = reuse(EM.train_word2vec(sp.filter(F.col("split") == "train"), W2V_SIZE, W2V_WINDOW,
+                                 W2V_MIN_COUNT))
+    return _doc_vector_summary(EM.encode_docs(sp, wv, W2V_SIZE), sp)
+
+
+@register("subword_docs")
+def subword_docs(spark, sf_dir):
+    """Character n-gram embeddings: unseen words of the test split still get
+    vectors through their n-grams."""
+    from ..operators import embeddings as EM
+    sp = balanced_split(spark, sf_dir)
+    grams = reuse(EM.train_subword(sp.filter(F.col("split") == "train"), W2V_SIZE, W2V_WINDOW,
+                                   W2V_MIN_COUNT))
+    from ..functions import text as T
+    words = sp.select(F.explode(T.words("text")).alias("word")).distinct()
+    wv = EM.subword_word_vectors(words, grams, W2V_SIZE)
+    return _doc_vector_summary(EM.encode_docs(sp, wv, W2V_SIZE), sp)
