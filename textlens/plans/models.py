@@ -189,3 +189,25 @@ def subword_docs(spark, sf_dir):
     words = sp.select(F.explode(T.words("text")).alias("word")).distinct()
     wv = EM.subword_word_vectors(words, grams, W2V_SIZE)
     return _doc_vector_summary(EM.encode_docs(sp, wv, W2V_SIZE), sp)
+
+
+GLOVE_WINDOW = 10
+GLOVE_MIN_COUNT = 5
+GLOVE_X_MAX = 10.0
+# Alternating least squares solves each word exactly per sweep; the count
+# of sweeps is a property of this solver, not the SGD epoch count (50) of
+# the original trainer.
+GLOVE_SWEEPS = 5
+
+
+@register("glove_train")
+def glove_train(spark, sf_dir):
+    """GloVe vectors from the cleaned corpus co-occurrences."""
+    from ..operators import cooccur as CO
+    from ..operators import glove as G
+    corpus = C.clean_corpus(labelled_corpus(spark, sf_dir))
+    co = CO.cooccurrence(corpus, GLOVE_WINDOW, GLOVE_MIN_COUNT)
+    vecs = G.train_glove(co, W2V_SIZE, GLOVE_SWEEPS, x_max=GLOVE_X_MAX)
+    return vecs.select("word", F.size("vec").alias("n_dims"),
+                       F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6)
+                       .alias("norm"))
