@@ -13,7 +13,7 @@ from ..sources.tables import labelled_corpus, table
 from . import sqlparts as S
 from .registry import register
 
-# The reference keeps texts of at most 64 words for its sequence models.  The
+# Sequence-model corpora keep texts of at most 64 words (`max_words`).  The
 # generated documents are far longer (10th percentile above 64 words), so the
 # registered distribution query uses a longer bound; both are parameters.
 ENTRY_MAX_WORDS = 512

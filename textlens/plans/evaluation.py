@@ -135,7 +135,7 @@ WHERE position <= {SERIES_HEAD} OR position = n
 """)
 def model_series(spark, sf_dir):
     """First ten models of each family in name order, plus the last one (the
-    base model in the reference layout).  Runs on the per-model table."""
+    base model when fine-tuned names sort first).  Runs on the per-model table."""
     m = E.macro_metrics(token_scores(spark, sf_dir))
     w = Window.partitionBy("family").orderBy("model")
     s = m.select("family", "model", "average_f1", F.row_number().over(w).cast("long").alias("position"),
