@@ -63,7 +63,7 @@ FROM ({POSTS_SQL}) p WHERE {AGREED} AND {RAT_SAME}
 
 
 def consensus(spark, sf_dir):
-    ok, _ = K.rationale_consensus(annotated_posts(spark, sf_dir))
+    ok, _ = K.rationale_consensus(reuse(annotated_posts(spark, sf_dir)))
     return ok
 
 
@@ -81,7 +81,7 @@ SELECT count(*) AS n_posts, count(*) FILTER (WHERE {AGREED}) AS label_agreed,
 FROM ({POSTS_SQL}) p
 """)
 def consensus_counters(spark, sf_dir):
-    return K.consensus_counters(annotated_posts(spark, sf_dir))
+    return K.consensus_counters(reuse(annotated_posts(spark, sf_dir)))
 
 
 def _tpl_sql(template: str, x: str) -> str:

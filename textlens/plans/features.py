@@ -110,10 +110,11 @@ VEC_VOCAB = f"(SELECT word FROM {ENC_TOK} t GROUP BY word HAVING count(*) >= {VE
 WITH wc AS (SELECT doc_id, word, count(*) AS cnt FROM {ENC_TOK} t
             WHERE word IN (SELECT word FROM {VEC_VOCAB} v) GROUP BY doc_id, word),
 dims AS (SELECT CAST(range AS INTEGER) AS dim FROM range({VECTOR_DIM})),
+hw AS (SELECT word, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h1,
+              ('0x' || substr(md5(word), 9, 8))::BIGINT AS h2 FROM {VEC_VOCAB} v),
 m AS (SELECT wc.doc_id, dims.dim,
-             sum(wc.cnt * ('0x' || substr(md5(wc.word || '#' || CAST(dims.dim AS VARCHAR)), 1, 3))::INTEGER / 4096.0)
-               / sum(wc.cnt) AS value
-      FROM wc, dims GROUP BY wc.doc_id, dims.dim)
+             sum(wc.cnt * ((hw.h1 * (dims.dim + 1) + hw.h2) % 4096) / 4096.0) / sum(wc.cnt) AS value
+      FROM wc JOIN hw ON wc.word = hw.word, dims GROUP BY wc.doc_id, dims.dim)
 SELECT d.doc_id, dims.dim, floor(coalesce(m.value, 0) * 1000000.0 + 0.5) / 1000000.0 AS value
 FROM documents d CROSS JOIN dims LEFT JOIN m ON m.doc_id = d.doc_id AND m.dim = dims.dim
 """)

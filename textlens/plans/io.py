@@ -79,7 +79,8 @@ def feature_store_roundtrip(spark, sf_dir):
 WITH vocab AS (SELECT word FROM (SELECT unnest({S.words('lower(text)')}) AS word FROM documents) t
                GROUP BY word HAVING count(*) >= 2)
 SELECT word, {VECTOR_DIM} AS n_dims,
-       round(sum(('0x' || substr(md5(word || '#' || CAST(i AS VARCHAR)), 1, 3))::INTEGER / 4096.0), 6) AS total
+       round(sum((('0x' || substr(md5(word), 1, 8))::BIGINT * (i + 1)
+                  + ('0x' || substr(md5(word), 9, 8))::BIGINT) % 4096 / 4096.0), 6) AS total
 FROM vocab, range({VECTOR_DIM}) r(i) GROUP BY word
 """)
 def vector_text_roundtrip(spark, sf_dir):
