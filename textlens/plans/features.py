@@ -99,7 +99,7 @@ def vector_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     toks = docs.select(F.explode(V.encode_tokens("text")).alias("word"))
     vocab = toks.groupBy("word").count().filter(F.col("count") >= VECTOR_MIN_COUNT).select("word")
-    return V.hashed_vectors(vocab, VECTOR_DIM)
+    return reuse(V.hashed_vectors(vocab, VECTOR_DIM))
 
 
 ENC_TOK = f"(SELECT doc_id, unnest({S.words('lower(text)')}) AS word FROM documents)"
