@@ -55,6 +55,17 @@ def apply_lemmas(df: DataFrame, lemmas: DataFrame, id_col: str, text_col: str =
     return df.drop(text_col).join(rebuilt, id_col, "inner")
 
 
+def evaluate_once(df: DataFrame, name: str, expr) -> DataFrame:
+    """Replace column ``name`` by ``expr`` behind a one-element generator.
+
+    Later filters on the column (non-empty, max words, the dedupe key)
+    cannot be pushed below a generator's output, so Catalyst does not inline
+    the expensive expression into a scan filter and evaluate it again in the
+    projection: the chain runs exactly once per row."""
+    keep = [c for c in df.columns if c != name]
+    return df.select(*keep, F.explode(F.array(expr)).alias(name))
+
+
 def clean_corpus(df: DataFrame, config: CleanConfig | None = None, id_col: str = "doc_id",
                  text_col: str = "text", label_col: str = "label") -> DataFrame:
     """Clean a labelled corpus ``(id, text, label)``.
@@ -71,10 +82,9 @@ def clean_corpus(df: DataFrame, config: CleanConfig | None = None, id_col: str =
     cfg = config or CleanConfig()
     out = df.select(id_col, text_col, label_col).dropna(subset=[text_col, label_col])
     out = url_filter(out, text_col, cfg.url_ignore_case)
-    out = out.withColumn(text_col, T.clean_text(text_col, stopwords=cfg.stopwords,
-                                                contractions=cfg.contractions,
-                                                retweet_mode=cfg.retweet_mode,
-                                                emoji_only=cfg.emoji_only))
+    cleaned = T.clean_text(text_col, stopwords=cfg.stopwords, contractions=cfg.contractions,
+                           retweet_mode=cfg.retweet_mode, emoji_only=cfg.emoji_only)
+    out = evaluate_once(out, text_col, cleaned)
     if cfg.tokenize:
         out = out.withColumn(text_col, T.join_words(T.word_tokenize(text_col)))
     if cfg.lemmas is not None:
