@@ -30,10 +30,13 @@ def predictions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     spec = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k"),
                                         F.lit(wc).alias("wc")) for m, k, wc in MODELS]))
-    rows = docs.select("doc_id", F.col("lang").alias("family"), "text", spec.alias("m"))
-    toks = T.words("text")
-    real = T.join_words(F.transform(toks, lambda w: _case(w, 6)))
-    pred = F.transform(toks, lambda w: _case(w, F.col("m.k")))
+    # words and the gold text are computed once per document, before the
+    # per-model rows are generated
+    per_doc = docs.select("doc_id", F.col("lang").alias("family"), T.words("text").alias("_t"))
+    per_doc = per_doc.withColumn("real_output", T.join_words(F.transform("_t", lambda w: _case(w, 6))))
+    rows = per_doc.select("doc_id", "family", "_t", "real_output", spec.alias("m"))
+    real = F.col("real_output")
+    pred = F.transform("_t", lambda w: _case(w, F.col("m.k")))
     pred = F.when(F.col("m.wc"), F.transform(pred, lambda w: F.regexp_replace(w, "[aA]", "?"))) \
             .otherwise(pred)
     return rows.select("doc_id", "family", F.col("m.model").alias("model"),
