@@ -39,3 +39,17 @@ def test_filters_reach_scan(spark):
     df = table(spark, SF, "conversations").filter(F.col("role") == "user").select("conv_id")
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in p
+
+
+def test_cleaning_chain_evaluated_once(spark):
+    """Filters on the cleaned text must not inline the chain into the scan."""
+    df = C.clean_corpus(labelled_corpus(spark, SF), C.CleanConfig(max_words=512))
+    p = df._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("regexp_replace(array_join(filter(") == 1
+
+
+def test_top_words_has_partial_group_limit(spark):
+    from textlens.operators import profile as P
+    df = P.top_words_per_class(C.clean_corpus(labelled_corpus(spark, SF)), 200)
+    p = plan(df)
+    assert "WindowGroupLimit" in p and "Partial" in p

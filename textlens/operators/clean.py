@@ -62,8 +62,8 @@ def evaluate_once(df: DataFrame, name: str, expr) -> DataFrame:
     cannot be pushed below a generator's output, so Catalyst does not inline
     the expensive expression into a scan filter and evaluate it again in the
     projection: the chain runs exactly once per row."""
-    keep = [c for c in df.columns if c != name]
-    return df.select(*keep, F.explode(F.array(expr)).alias(name))
+    return df.select(*[F.explode(F.array(expr)).alias(c) if c == name else F.col(c)
+                       for c in df.columns])
 
 
 def clean_corpus(df: DataFrame, config: CleanConfig | None = None, id_col: str = "doc_id",

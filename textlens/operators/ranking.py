@@ -70,17 +70,32 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str] | str, seed=42,
     return out.drop("_h", "_b")
 
 
+# Catalyst's InferWindowGroupLimit handles row_number() <= n up to this n.
+WINDOW_GROUP_LIMIT_THRESHOLD = 1000
+
+
+def top_n(df: DataFrame, order_cols: Sequence[Column | str], n: int) -> DataFrame:
+    """Global top-``n`` rows: planned as TakeOrderedAndProject (a bounded heap
+    per task, then one merge of at most tasks x n rows), never a full sort."""
+    return df.orderBy(*order_cols).limit(n)
+
+
 def top_n_per_group(df: DataFrame, group_cols: Sequence[str] | str, order_cols: Sequence[Column | str],
                     n: int, salt_buckets: int = 64, rank_col: str | None = None,
                     salt_cols: Sequence[str] | None = None) -> DataFrame:
-    """Exact top-``n`` rows per group in two phases.
+    """Exact top-``n`` rows per group; ``order_cols`` must be a total order.
 
-    Phase 1 keeps the local top-n inside (group, salt) partitions, so a hot
-    group is spread over ``salt_buckets`` tasks; phase 2 ranks the at most
-    ``salt_buckets * n`` survivors per group.  ``order_cols`` must be a total
-    order for the result to be deterministic.
+    For n up to the window-group-limit threshold, Catalyst inserts a partial
+    per-group limit before the shuffle, so a hot group sends at most n rows
+    per task.  Above it, rows are first ranked inside (group, salt) buckets
+    and only the local top-n of each bucket reaches the per-group ranking.
     """
     groups = _cols(group_cols)
+    name = rank_col or "_r2"
+    w2 = Window.partitionBy(*groups).orderBy(*order_cols)
+    if n <= WINDOW_GROUP_LIMIT_THRESHOLD:
+        out = df.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= n)
+        return out if rank_col else out.drop(name)
     if salt_cols is None:
         salt_cols = [f.name for f in df.schema.fields
                      if f.name not in groups and f.dataType.typeName() != "map"]
@@ -88,8 +103,6 @@ def top_n_per_group(df: DataFrame, group_cols: Sequence[str] | str, order_cols:
     w1 = Window.partitionBy(*groups, "_salt").orderBy(*order_cols)
     stage1 = df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1)) \
                .filter(F.col("_r1") <= n).drop("_r1", "_salt")
-    w2 = Window.partitionBy(*groups).orderBy(*order_cols)
-    name = rank_col or "_r2"
     out = stage1.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= n)
     return out if rank_col else out.drop(name)
 

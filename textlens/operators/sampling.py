@@ -13,16 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import hash_rank, seeded_hash, top_n_per_group
+from .ranking import hash_rank, seeded_hash, top_n, top_n_per_group
 
 
 def sample_exact_n(df: DataFrame, n: int, key_cols: Sequence[str] | str, seed=42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, the first ``n`` in seeded-hash order.
-    A two-phase top-n: no row ranking beyond the n survivors per task."""
+    """Exactly ``min(n, rows)`` rows, the first ``n`` in seeded-hash order
+    (a bounded top-n per task, then one small merge)."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    tagged = df.withColumn("_g", F.lit(0)).withColumn("_h", seeded_hash(keys, seed))
-    out = top_n_per_group(tagged, "_g", [F.col("_h"), *[F.col(k) for k in keys]], n)
-    return out.drop("_g", "_h")
+    tagged = df.withColumn("_h", seeded_hash(keys, seed))
+    return top_n(tagged, [F.col("_h"), *[F.col(k) for k in keys]], n).drop("_h")
 
 
 def undersample(df: DataFrame, label_col: str, key_cols: Sequence[str] | str,
