@@ -191,3 +191,21 @@ def test_mean_vectors_skip_unknown(spark):
     docs = spark.createDataFrame([(1, "known unknown"), (2, "unknown")], "doc_id long, text string")
     got = {r["doc_id"]: r["vec"] for r in V.mean_vectors(docs, vecs, 2).collect()}
     assert got == {1: [1.0, 3.0], 2: [0.0, 0.0]}
+
+
+def test_batch_predict_requires_strings(spark):
+    from textlens.operators import batch_score as B
+    df = spark.createDataFrame([(1,)], "text int")
+    with pytest.raises(ValueError):
+        B.batch_predict(df, B.highlight_long_words(), "text")
+
+
+def test_batch_predict_failures_reported(spark):
+    from textlens.operators import batch_score as B
+    df = spark.createDataFrame([("aa bb",), ("fail",), ("cc",)], "text string")
+
+    def fn(texts):
+        return [None if t == "fail" else t.upper() for t in texts]
+    ok, bad = B.score_and_check(df, fn, "text", "text")
+    assert ok.count() == 2 and bad.count() == 1
+    assert bad.first()["reason"] == "call failed"

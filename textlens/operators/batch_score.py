@@ -17,8 +17,17 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .evaluation import length_agreement
 
 
+def require_string(df: DataFrame, col: str) -> None:
+    """The model function takes a list of strings: reject other input types
+    before any task runs."""
+    dt = df.schema[col].dataType
+    if not isinstance(dt, StringType):
+        raise ValueError(f"column {col!r} must be a string column, got {dt.simpleString()}")
+
+
 def batch_predict(df: DataFrame, predict_fn: Callable[[list[str]], list], text_col: str,
                   out_col: str = "pred_output") -> DataFrame:
+    require_string(df, text_col)
     schema = StructType([*df.schema.fields, StructField(out_col, StringType(), True)])
 
     def run(batches):

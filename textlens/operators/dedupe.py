@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def keep_first(df: DataFrame, subset: Sequence[str] | str, order_col: str) -> DataFrame:
+def keep_first(df: DataFrame, subset: Sequence[str] | str, order_col: str,
+               count_col: str | None = None) -> DataFrame:
     """One row per distinct ``subset``: the row with the smallest ``order_col``.
 
     Expressed as a hash aggregate (``min`` + ``min_by``), so duplicates are
@@ -20,4 +21,8 @@ def keep_first(df: DataFrame, subset: Sequence[str] | str, order_col: str) -> Da
     others = [c for c in df.columns if c not in keys and c != order_col]
     aggs = [F.min(order_col).alias(order_col)]
     aggs += [F.min_by(c, order_col).alias(c) for c in others]
-    return df.groupBy(*keys).agg(*aggs).select(*df.columns)
+    cols = list(df.columns)
+    if count_col:   # number of copies, in the same aggregation
+        aggs.append(F.count(F.lit(1)).alias(count_col))
+        cols.append(count_col)
+    return df.groupBy(*keys).agg(*aggs).select(*cols)

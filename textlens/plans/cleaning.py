@@ -115,9 +115,8 @@ FROM documents GROUP BY text
 """)
 def dedupe_keep_first(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    copies = docs.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    first = keep_first(docs, "text", "doc_id")
-    return first.join(copies, "text").select("doc_id", "lang", "source", "copies")
+    first = keep_first(docs, "text", "doc_id", count_col="copies")
+    return first.select("doc_id", "lang", "source", "copies")
 
 
 @register("stage_funnel", f"""
