@@ -238,3 +238,54 @@ def score_auc(spark, sf_dir):
     j = lab.join(docs, "doc_id")
     a = E.roc_auc_from_scores(j, "toxic", "n_chars")
     return a.select("n_pos", "n_neg", F.round("auc", 6).alias("auc"))
+
+
+# ---------------------------------------------------- results bookkeeping --
+# The per-model table above plays the role of a stored run-results table.
+
+TOP_RUNS = 10
+DONE_ACCURACY = 85.0   # runs at or above this accuracy count as stored results
+
+
+@register("top_runs", f"""
+SELECT family, model, round(average_accuracy, 6) AS average_accuracy FROM ({MACRO_SQL}) m
+ORDER BY average_accuracy DESC, family, model LIMIT {TOP_RUNS}
+""")
+def top_runs(spark, sf_dir):
+    """The best runs by accuracy (a top-k report)."""
+    from ..operators.ranking import top_n
+    m = E.macro_metrics(token_scores(spark, sf_dir))
+    best = top_n(m, [F.desc("average_accuracy"), "family", "model"], TOP_RUNS)
+    return best.select("family", "model", _r("average_accuracy"))
+
+
+@register("run_keys", f"""
+SELECT key, split_part(key, '_', 1) AS key_model, split_part(key, '_', 2) AS key_family,
+       CAST(split_part(key, '_', 3) AS INTEGER) AS key_size
+FROM (SELECT concat_ws('_', model, family, CAST(n_records AS VARCHAR), '2') AS key FROM ({MACRO_SQL}) m) k
+""")
+def run_keys(spark, sf_dir):
+    """Compose run keys ``model_family_size_2`` and parse them back."""
+    m = E.macro_metrics(token_scores(spark, sf_dir))
+    k = m.select(F.concat_ws("_", "model", "family", F.col("n_records").cast("string"), F.lit("2"))
+                 .alias("key"))
+    part = lambda i: F.split_part("key", F.lit("_"), F.lit(i))
+    return k.select("key", part(1).alias("key_model"), part(2).alias("key_family"),
+                    part(3).cast("int").alias("key_size"))
+
+
+@register("resume_antijoin", f"""
+SELECT g.family, g.model FROM (SELECT DISTINCT family, model FROM ({PRED_SQL}) p) g
+WHERE NOT EXISTS (SELECT 1 FROM ({MACRO_SQL}) r
+                  WHERE r.family = g.family AND r.model = g.model AND r.average_accuracy >= {DONE_ACCURACY})
+""")
+def resume_antijoin(spark, sf_dir):
+    """Runs of the grid without a stored result (anti-join on the keys)."""
+    from ..operators.models import pending_runs
+    grid = predictions(spark, sf_dir).select("family", "model").distinct() \
+        .withColumnRenamed("family", "encoding_type").withColumn("vector_size", F.lit(0)) \
+        .withColumnRenamed("model", "model")
+    done = E.macro_metrics(token_scores(spark, sf_dir)).filter(F.col("average_accuracy") >= DONE_ACCURACY) \
+        .select(F.col("family").alias("encoding_type"), F.lit(0).alias("vector_size"), "model")
+    todo = pending_runs(grid, done)
+    return todo.select(F.col("encoding_type").alias("family"), "model")
