@@ -27,14 +27,12 @@ def sample_exact_n(df: DataFrame, n: int, key_cols: Sequence[str] | str, seed=42
 def undersample(df: DataFrame, label_col: str, key_cols: Sequence[str] | str,
                 seed=42) -> DataFrame:
     """Sample every class down to the size of the smallest class, without
-    replacement.  Class sizes come from a small aggregate (one row per class);
-    the target is attached with a broadcast join on a constant key."""
-    sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
-    target = sizes.agg(F.min("_n").alias("_target")).withColumn("_k", F.lit(1))
+    replacement.  The per-class sizes are the rank totals; the target is a
+    scalar subquery over the small (one row per class) size table."""
     ranked = hash_rank(df, key_cols, seed, partition_cols=label_col, rank_col="_rank")
-    joined = ranked.withColumn("_k", F.lit(1)).join(F.broadcast(target), "_k")
-    return joined.filter(F.col("_rank") <= F.col("_target")).drop("_k", "_rank", "_rank_total",
-                                                                     "_target")
+    sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
+    target = sizes.agg(F.min("_n").alias("_target")).scalar()
+    return ranked.filter(F.col("_rank") <= target).drop("_rank", "_rank_total")
 
 
 def split_sizes(n: int, test_size: float) -> tuple[int, int]:

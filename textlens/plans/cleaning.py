@@ -98,14 +98,8 @@ def header_row_filter_cast(spark, sf_dir):
     has_null = kept.agg(F.bool_or(F.col("doc_id").isNull() | F.col("label").isNull())
                         .alias("has_null"))
     typed = kept.select("doc_id", F.col("label").cast("int").alias("label")).dropna()
-    return _attach_flag(typed, has_null)
-
-
-def _attach_flag(df, one_row):
-    """Attach the single value of a one-row aggregate to every row through a
-    broadcast equi-join on a constant key (bounded: exactly one row)."""
-    return df.withColumn("_k", F.lit(1)).join(
-        F.broadcast(one_row.withColumn("_k", F.lit(1))), "_k", "inner").drop("_k")
+    # a one-row aggregate attached as a scalar subquery (evaluated once)
+    return typed.withColumn("has_null", has_null.scalar())
 
 
 @register("dedupe_keep_first", """
