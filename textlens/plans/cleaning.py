@@ -225,3 +225,43 @@ def lemmatize_lexicon(spark, sf_dir):
                  .select(F.col("form").alias("word"))
     lemmas = noun_lemmas(words, known)
     return C.apply_lemmas(toks, lemmas, "doc_id", "text").select("doc_id", "text")
+
+
+FULL_BASE_SQL = f"""
+SELECT doc_id, label, {_fused_sql(S.clean('text', with_contractions=True))} AS toks
+FROM ({S.CORPUS}) c
+WHERE text IS NOT NULL AND label IS NOT NULL AND NOT regexp_matches(text, {S.q(cc.URL)})
+"""
+
+
+@register("clean_corpus_full", f"""
+WITH c1 AS ({FULL_BASE_SQL}),
+d1 AS (SELECT array_to_string(toks, ' ') AS text FROM c1 WHERE len(toks) > 0 GROUP BY 1),
+known AS (SELECT w AS word FROM (SELECT unnest(string_split(text, ' ')) AS w FROM d1) x
+          GROUP BY w HAVING count(*) >= {LEMMA_MIN_COUNT}),
+t AS (SELECT doc_id, label, unnest(toks) AS form, unnest(range(len(toks))) AS pos FROM c1),
+forms AS (SELECT DISTINCT form FROM t),
+cands AS ({_rules_sql()}),
+best AS (SELECT form, cand FROM (
+           SELECT form, cand, row_number() OVER (PARTITION BY form ORDER BY length(cand), ord, cand) AS rk
+           FROM cands WHERE cand IN (SELECT word FROM known)) r WHERE rk = 1 AND cand <> form),
+c2 AS (SELECT t.doc_id, any_value(t.label) AS label,
+              string_agg(coalesce(best.cand, t.form), ' ' ORDER BY t.pos) AS text
+       FROM t LEFT JOIN best ON t.form = best.form GROUP BY t.doc_id)
+SELECT min(doc_id) AS doc_id, arg_min(label, doc_id) AS label, text
+FROM c2 WHERE text <> '' GROUP BY text
+""")
+def clean_corpus_full(spark, sf_dir):
+    """The whole cleaning chain: rewrites with contraction expansion, word
+    tokenization, noun lemmatization (known nouns: words seen at least five
+    times in the tokenized corpus), one keep-first dedupe at the end."""
+    from ..operators.lexicon import noun_lemmas
+    from .common import reuse
+    corpus = labelled_corpus(spark, sf_dir)
+    tokenized = reuse(C.clean_corpus(corpus, C.CleanConfig(contractions=CONTRACTIONS, tokenize=True)))
+    words = tokenized.select(F.explode(F.split("text", " ")).alias("form"))
+    known = words.groupBy("form").count().filter(F.col("count") >= LEMMA_MIN_COUNT) \
+                 .select(F.col("form").alias("word"))
+    lemmas = noun_lemmas(words, known)
+    cfg = C.CleanConfig(contractions=CONTRACTIONS, tokenize=True, lemmas=lemmas)
+    return C.clean_corpus(corpus, cfg).select("doc_id", "label", "text")

@@ -27,7 +27,18 @@ def word_count(x: str) -> str:
     return f"len({words(x)})"
 
 
-def clean(x: str) -> str:
+def contractions(x: str) -> str:
+    """Token-wise contraction expansion (trailing punctuation kept)."""
+    from ..functions.lexicons import CONTRACTIONS
+    pairs = ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(CONTRACTIONS.items()))
+    split_re = r"^(.*?)([^\p{L}\p{N}_']*)$"
+    core = f"regexp_extract(w, {q(split_re)}, 1)"
+    rest = f"regexp_extract(w, {q(split_re)}, 2)"
+    return (f"array_to_string(list_transform(string_split({x}, ' '), lambda w: "
+            f"coalesce(MAP {{{pairs}}}[{core}] || {rest}, w)), ' ')")
+
+
+def clean(x: str, with_contractions: bool = False) -> str:
     t = f"regexp_replace({x}, {q(cc.MENTION)}, '@user', 'g')"
     t = f"replace({t}, '<user>', '@user')"
     t = f"lower({t})"
@@ -35,6 +46,8 @@ def clean(x: str) -> str:
     t = f"regexp_replace({t}, {q(cc.SPACES)}, ' ', 'g')"
     t = f"regexp_replace({t}, {q(cc.HTML_ENTITY)}, '', 'g')"
     t = f"regexp_replace({t}, {q(cc.EMOJI + '+')}, '', 'g')"
+    if with_contractions:
+        t = contractions(t)
     t = f"regexp_replace({t}, {q(cc.PUNCT)}, ' ', 'g')"
     t = (f"array_to_string(list_filter(string_split_regex({t}, {q(cc.SPACES)}), "
          f"lambda w: w <> '' AND lower(w) NOT IN ({STOP_LIST})), ' ')")
