@@ -137,7 +137,7 @@ WHERE {S.word_count('text')} <= {ENTRY_MAX_WORDS}
 def max_words_filter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return C.max_words_filter(docs, ENTRY_MAX_WORDS).select(
-        "doc_id", T.word_count("text").alias("n_words"))
+        "doc_id", T.word_count("text").cast("long").alias("n_words"))
 
 
 @register("stopword_removal", f"""
@@ -150,7 +150,8 @@ def stopword_removal(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = docs.select("doc_id", T.remove_stopwords("text").alias("text"),
                       T.word_count("text").alias("_n"))
-    return out.select("doc_id", "text", (F.col("_n") - T.word_count("text")).alias("n_removed"))
+    return out.select("doc_id", "text",
+                      (F.col("_n") - T.word_count("text")).cast("long").alias("n_removed"))
 
 
 def _contraction_sql(x: str) -> str:
