@@ -29,3 +29,16 @@ def test_entry_smoke(spark):
 def test_every_query_has_a_callable():
     qs = entry.queries()
     assert set(ORACLES) <= set(qs)
+
+
+_TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+          "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_column_types_match_oracle(spark, con, name):
+    df = entry.queries()[name](spark, SF)
+    spark_types = {f.name: _TYPES.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    rel = con.sql(ORACLES[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == duck_types
