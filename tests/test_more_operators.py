@@ -97,3 +97,30 @@ def test_json_map_roundtrip(spark):
     W.write_json_map(df, path, "post_id", rows_per_file=1)
     back = R.read_json_map(spark, path, "n int, s string")
     assert sorted(tuple(r) for r in back.select("post_id", "n", "s").collect()) == [("p1", 1, "a"), ("p2", 2, "b")]
+
+
+def test_knn_blocked_equals_single_block(spark):
+    from textlens.operators.neighbors import knn_predict
+    rows = [(i, [float((i * 7) % 11), float((i * 3) % 5)], i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    train, test = df.filter("vec_id < 45"), df.filter("vec_id >= 45")
+    one = {r["vec_id"]: r["prediction"] for r in knn_predict(test, train, 5).collect()}
+    many = {r["vec_id"]: r["prediction"] for r in knn_predict(test, train, 5, max_block_bytes=200).collect()}
+    assert one == many and len(one) == 15
+
+
+def test_knn_brute_force(spark):
+    """Against a plain-Python brute force on a small fixture."""
+    from textlens.operators.neighbors import knn_predict
+    pts = [(i, [float(i % 4), float(i // 4)], (i * 5) % 3) for i in range(16)]
+    df = spark.createDataFrame(pts, "vec_id long, embedding array<double>, label int")
+    train, test = df.filter("vec_id % 4 <> 0"), df.filter("vec_id % 4 = 0")
+    got = {r["vec_id"]: r["prediction"] for r in knn_predict(test, train, 3).collect()}
+    tr = [p for p in pts if p[0] % 4 != 0]
+    for vid, v, _ in (p for p in pts if p[0] % 4 == 0):
+        near = sorted(tr, key=lambda t: ((t[1][0] - v[0]) ** 2 + (t[1][1] - v[1]) ** 2, t[0]))[:3]
+        votes = {}
+        for t in near:
+            votes[t[2]] = votes.get(t[2], 0) + 1
+        want = min(lab for lab, n in votes.items() if n == max(votes.values()))
+        assert got[vid] == want
