@@ -19,7 +19,7 @@ from ..sources.tables import labelled_corpus, table
 from . import sqlparts as S
 from .annotation import POSTS_SQL, annotated_posts
 from .evaluation import MACRO_SQL, predictions
-from .features import (SPLIT_SQL, TF_SQL, VECTOR_DIM, VOCAB_SQL, fitted_vocab, split_docs,
+from .features import (TF_SQL, VECTOR_DIM, VOCAB_SQL, fitted_vocab, split_docs,
                        vector_table)
 from .registry import register
 
