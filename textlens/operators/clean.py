@@ -44,15 +44,19 @@ def max_words_filter(df: DataFrame, max_words: int, text_col: str = "text") -> D
 
 def apply_lemmas(df: DataFrame, lemmas: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Map each token through a (form, lemma) table; unknown tokens stay.
-    Token rows are joined on the word; AQE picks broadcast for a small
-    table and splits skewed (hot-word) partitions otherwise."""
-    toks = df.select(id_col, F.posexplode(F.split(text_col, " ")).alias("pos", "form"))
+
+    Token rows are joined on the word (the table lists only words that
+    change; AQE broadcasts it when small and splits hot-word partitions
+    otherwise) and regrouped per row -- a group is one text's tokens.  The
+    other columns ride along in the grouping key, so no join back."""
+    others = [c for c in df.columns if c not in (id_col, text_col)]
+    toks = df.select(id_col, *others, F.posexplode(F.split(text_col, " ")).alias("pos", "form"))
     mapped = toks.join(lemmas.select("form", "lemma"), "form", "left") \
-                 .select(id_col, "pos", F.coalesce("lemma", "form").alias("w"))
-    rebuilt = mapped.groupBy(id_col).agg(
+                 .select(id_col, *others, "pos", F.coalesce("lemma", "form").alias("w"))
+    rebuilt = mapped.groupBy(id_col, *others).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))),
                                  lambda s: s["w"]), " ").alias(text_col))
-    return df.drop(text_col).join(rebuilt, id_col, "inner")
+    return rebuilt.select(*df.columns)
 
 
 def evaluate_once(df: DataFrame, name: str, expr) -> DataFrame:
@@ -87,11 +91,13 @@ def clean_corpus(df: DataFrame, config: CleanConfig | None = None, id_col: str =
     out = evaluate_once(out, text_col, cleaned)
     if cfg.tokenize:
         out = out.withColumn(text_col, T.join_words(T.word_tokenize(text_col)))
-    if cfg.lemmas is not None:
-        out = apply_lemmas(out, cfg.lemmas, id_col, text_col)
     if not cfg.keep_empty:
         out = out.filter(F.col(text_col) != "")
     out = keep_first(out, text_col, id_col)
+    if cfg.lemmas is not None:
+        # lemmas are a function of the text: map the distinct texts only,
+        # then collapse texts that became equal (same rows as mapping all)
+        out = keep_first(apply_lemmas(out, cfg.lemmas, id_col, text_col), text_col, id_col)
     if cfg.max_words is not None:
         out = max_words_filter(out, cfg.max_words, text_col)
     return out

@@ -264,5 +264,7 @@ def clean_corpus_full(spark, sf_dir):
     known = words.groupBy("form").count().filter(F.col("count") >= LEMMA_MIN_COUNT) \
                  .select(F.col("form").alias("word"))
     lemmas = noun_lemmas(words, known)
-    cfg = C.CleanConfig(contractions=CONTRACTIONS, tokenize=True, lemmas=lemmas)
-    return C.clean_corpus(corpus, cfg).select("doc_id", "label", "text")
+    # the tokenized corpus is already de-duplicated: map its distinct texts
+    # and collapse those that became equal (no second cleaning pass)
+    full = keep_first(C.apply_lemmas(tokenized, lemmas, "doc_id", "text"), "text", "doc_id")
+    return full.select("doc_id", "label", "text")
