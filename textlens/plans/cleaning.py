@@ -219,8 +219,10 @@ def lemmatize_lexicon(spark, sf_dir):
     """Tokenize the cleaned corpus, then map nouns to their lemma; known
     nouns are the corpus words seen at least five times."""
     from ..operators.lexicon import noun_lemmas
+    from .common import reuse
     corpus = C.clean_corpus(labelled_corpus(spark, sf_dir))
-    toks = corpus.select("doc_id", T.join_words(T.word_tokenize("text")).alias("text"))
+    # read by the lexicon branch and the mapping branch: clean once
+    toks = reuse(corpus.select("doc_id", T.join_words(T.word_tokenize("text")).alias("text")))
     words = toks.select(F.explode(F.split("text", " ")).alias("form"))
     known = words.groupBy("form").count().filter(F.col("count") >= LEMMA_MIN_COUNT) \
                  .select(F.col("form").alias("word"))

@@ -149,7 +149,8 @@ sym AS (SELECT x AS w1, y AS w2, wt FROM pairs UNION ALL SELECT y, x, wt FROM pa
 SELECT w1, w2, round(sum(wt), 6) AS weight FROM sym GROUP BY w1, w2
 """)
 def cooccurrence(spark, sf_dir):
-    corpus = C.clean_corpus(labelled_corpus(spark, sf_dir))
+    # read twice (vocabulary and token positions): clean once
+    corpus = reuse(C.clean_corpus(labelled_corpus(spark, sf_dir)))
     co = CO.cooccurrence(corpus, WINDOW, MIN_COUNT)
     return co.select("w1", "w2", F.round("weight", 6).alias("weight"))
 
