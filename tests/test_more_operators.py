@@ -124,3 +124,23 @@ def test_knn_brute_force(spark):
             votes[t[2]] = votes.get(t[2], 0) + 1
         want = min(lab for lab, n in votes.items() if n == max(votes.values()))
         assert got[vid] == want
+
+
+def test_load_or_empty_and_idempotent_append(spark):
+    path = scratch_path(spark, "test-results")
+    schema = "model string, accuracy double, run string"
+    empty = R.load_or_empty(spark, path, schema)
+    assert empty.count() == 0 and empty.columns == ["model", "accuracy", "run"]
+    rows = spark.createDataFrame([("LREG", 0.5, "r1"), ("NB", 0.4, "r1")], schema)
+    W.append_results(rows, path, ["run"])
+    W.append_results(rows, path, ["run"])                       # rerun: replaced, not duplicated
+    W.append_results(rows.withColumn("run", F.lit("r2")), path, ["run"])
+    back = spark.read.schema(schema).parquet(path)
+    assert back.filter("run = 'r1'").count() == 2 and back.count() == 4
+
+
+def test_write_corpus_one_line_per_document(spark):
+    path = scratch_path(spark, "test-corpus")
+    df = spark.createDataFrame([("a\nb",), ("c",)], "text string")
+    W.write_corpus(df, path)
+    assert sorted(r["value"] for r in spark.read.text(path).collect()) == ["a b", "c"]
