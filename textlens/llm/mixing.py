@@ -25,7 +25,7 @@ BUDGET_SHARE = (3, 2)
 MAX_EPOCHS = 2
 #: Words of a block, and about how many documents one running sum goes over.
 BLOCK_WORDS = 512
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: frac(j * phi) in units of 2**-40: j * GOLDEN mod 2**40 (exact below 2**43 slots).
 POINT_BITS = 40
 GOLDEN = round((5 ** 0.5 - 1) / 2 * 2 ** POINT_BITS) | 1

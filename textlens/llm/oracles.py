@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .licenses import CLASSES, CONTAINMENT, TEMPLATES, window_step, window_words
+from .minhash_dedup import SIMILARITY
 from .mixing import WEIGHTS
 from .sharding import ADDRESS_BITS, SHARD_BYTES
+from .topk_search import QUERY_STEP, SCALE, TOP
 
 # A-Z only: DuckDB's lower() would change other letters too
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -70,3 +73,59 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM (SELECT doc_id, {_LOWER} AS body FROM documents)
 WINDOW g AS (PARTITION BY body)
 """
+
+ORACLES["op2_norm_bucket_search"] = f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, [floor(x::DOUBLE * {SCALE}) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % {QUERY_STEP} = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {TOP}
+"""
+
+ORACLES["op5_bbit_minhash"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS sh
+  FROM d, unnest(range(1, greatest(2, len(w) - 3))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * c >= {SIMILARITY} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.r),
+m AS (SELECT doc_id, min(r) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, m.doc_id = component_id AS kept
+FROM m LEFT JOIN n ON n.doc_id = m.doc_id
+"""
+
+
+def _licenses() -> str:
+    rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    length = " ".join(f"WHEN len(w) <= {c} THEN {c}" for c in CLASSES)
+    by_class = lambda f: "CASE length " + " ".join(f"WHEN {c} THEN {f(c)}" for c in CLASSES) + " END"
+    cut = "list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), ' '), x -> x <> '')"
+    grams = "unnest(range(1, len(w) - 3)) AS g(i)"
+    return f"""
+WITH t0 AS (SELECT template, license, {cut} AS w FROM (VALUES {rows}) AS v(template, license, text)),
+t1 AS (SELECT *, CASE {length} END AS length FROM t0),
+t AS (SELECT DISTINCT template, license, {by_class(window_step)} AS step, {by_class(window_words)} - 4 AS whole,
+             array_to_string(w[i:i + 4], ' ') AS sh FROM t1, {grams}),
+m AS (SELECT template, count(*)::INTEGER AS template_shingles FROM t GROUP BY template),
+d AS (SELECT doc_id, {cut} AS w FROM documents),
+s AS (SELECT doc_id, i - 1 AS i, array_to_string(w[i:i + 4], ' ') AS sh FROM d, {grams} WHERE len(w) >= 5),
+h AS (SELECT doc_id, template, license, step, k, sh
+      FROM (SELECT s.doc_id, s.i, t.* FROM s JOIN t ON s.sh = t.sh) AS x,
+           unnest(range(greatest(0, ceil((x.i - x.whole + 1) / x.step)::BIGINT), x.i // x.step + 1)) AS u(k)),
+c AS (SELECT doc_id, template, license, (k * step)::INTEGER AS first_word, count(DISTINCT sh)::INTEGER AS shared
+      FROM h GROUP BY doc_id, template, license, k, step),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY shared DESC, first_word) AS r
+      FROM c JOIN m USING (template) WHERE shared * 100 >= template_shingles * {CONTAINMENT})
+SELECT doc_id, license, template, shared, template_shingles, first_word FROM b WHERE r = 1
+"""
+
+
+ORACLES["op10_license_scan"] = _licenses()

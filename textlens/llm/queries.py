@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import exact_dedup, hilbert_packing, mixing, sharding, token_counts
+from . import (exact_dedup, hilbert_packing, licenses, minhash_dedup, mixing, pii, sharding, token_counts, topk_search,
+               toxicity)
 from .oracles import ORACLES as _SQL
 
 QUERIES: dict = {}
@@ -48,3 +49,29 @@ def op7_quotient_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_norm_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.find_private(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op5_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@_query
+def op9_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
