@@ -39,6 +39,18 @@ def word_count(text) -> F.Column:
     return F.size(F.array_remove(F.split(spaced, " ", -1), "")).cast("long")
 
 
+def with_once(df: DataFrame, **columns: F.Column) -> DataFrame:
+    """``df`` with columns that are computed once per row.
+
+    They go through a one-element generator, which filters and later
+    projections are not merged across, so an expensive expression is not
+    evaluated again wherever its column is used."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    held = df.select(*keep, F.explode(F.array(made)).alias("_once"))
+    return held.select(*keep, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def map_arrow(df: DataFrame, schema: StructType | str,
               rows: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""

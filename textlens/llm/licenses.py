@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored, with_once
+
 SHINGLE_WORDS = 5
 #: Percent of a template's shingles that a window must hold.
 CONTAINMENT = 75
@@ -138,10 +140,10 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, containment: int = CON
     # the templates are a fixed list: a few hundred shingles and bands
     held = [(r.template, r.license, r.length, list(r.shingles), list(r.hashes)) for r in table.collect()]
     known = sorted({h for *_, hashes in held for h in hashes})
-    read = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    read = read.withColumn("hashes", shingle_hashes(F.col("words")))
+    read = with_once(docs.select("doc_id", "text"), words=words_of(F.col("text"))).drop("text")
+    read = with_once(read, hashes=shingle_hashes(F.col("words")))
     at = F.filter(_steps(F.size("hashes") - 1), lambda i: F.get("hashes", i).isin(known))
-    read = read.withColumn("at", at).where(F.size("at") > 0)
+    read = stored(with_once(read, at=at).where(F.size("at") > 0), "license-hits")
     found = None
     for length in sorted({h[2] for h in held}):
         own = [h for h in held if h[2] == length]
@@ -169,10 +171,10 @@ def _class_matches(read: DataFrame, own: list, length: int, bands: int, containm
                                  "template int, license string, shingles array<string>, hashes array<long>")
     keys = keys.select("template", "license", "shingles", F.explode(band_keys(F.col("hashes"), length, bands)).alias("band"))
     held = [r.band for r in keys.select("band").distinct().collect()]  # bands times templates of the class
-    shared_bands = F.filter(band_keys(F.col("hashes"), length, bands), lambda b: b.isin(held))
-    met = (windows.withColumn("band", F.explode(shared_bands)).join(F.broadcast(keys), "band")
+    windows = with_once(windows, bands=band_keys(F.col("hashes"), length, bands))
+    met = (windows.withColumn("band", F.explode(F.filter("bands", lambda b: b.isin(held)))).drop("bands", "hashes").join(F.broadcast(keys), "band")
            .dropDuplicates(["doc_id", "first_word", "window", "template"]))
     shared = F.size(F.array_intersect("shingles", shingle_texts(F.col("window"))))
-    return (met.withColumn("shared", shared).withColumn("template_shingles", F.size("shingles"))
+    return (with_once(met, shared=shared).withColumn("template_shingles", F.size("shingles"))
             .where(F.col("shared") * 100 >= F.col("template_shingles") * containment)
             .select("doc_id", "license", "template", "shared", "template_shingles", "first_word"))

@@ -107,7 +107,7 @@ def _licenses() -> str:
     rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
     length = " ".join(f"WHEN len(w) <= {c} THEN {c}" for c in CLASSES)
     by_class = lambda f: "CASE length " + " ".join(f"WHEN {c} THEN {f(c)}" for c in CLASSES) + " END"
-    cut = "list_filter(string_split(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), ' '), x -> x <> '')"
+    cut = "[x FOR x IN string_split(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')), ' ') IF x <> '']"
     grams = "unnest(range(1, len(w) - 3)) AS g(i)"
     return f"""
 WITH t0 AS (SELECT template, license, {cut} AS w FROM (VALUES {rows}) AS v(template, license, text)),

@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, with_once
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose proposals are considered for fitting (about), and proposals fitted on, at most.
@@ -35,6 +35,8 @@ DEPTH = 4
 #: Precision that a kind's threshold reaches on the rows set aside, and rows above it that it needs.
 PRECISION = 0.9
 LEAST_ROWS = 10
+#: The trees' sums here and in Spark ML differ by rounding.
+ROUNDING = 1e-9
 #: Characters of context before a span.
 CONTEXT = 32
 
@@ -86,8 +88,8 @@ def _with_spans(df: DataFrame, name: str, kind: int, pattern: str, hint: str | N
         may = may & text.contains(hint)
     if hint_re is not None:
         may = may & text.rlike(hint_re)
-    df = df.withColumn("_m", F.when(may, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-    df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
+    df = with_once(df, _m=F.when(may, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
+    df = with_once(df, _p=F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
 
     def span(body: Column, i: Column) -> Column:
         start = _length_sum(F.col("_p"), i + 1) + _length_sum(F.col("_m"), i)
@@ -95,7 +97,7 @@ def _with_spans(df: DataFrame, name: str, kind: int, pattern: str, hint: str | N
                         (start + F.length(body)).alias("end"), body.alias("body"))
 
     spans = F.when(F.size("_m") > 0, F.transform("_m", span)).otherwise(F.array().cast(_NO_SPANS))
-    return df.withColumn(name, spans).drop("_m", "_p")
+    return with_once(df, **{name: spans}).drop("_m", "_p")
 
 
 def _digits(body: Column) -> Column:
@@ -115,18 +117,22 @@ def _valid(kind: str, body: Column) -> Column:
         return _ip_parts(body)
     if kind == "card":
         digits = F.translate(body, " -", "")
-        return F.length(digits).between(13, 19) & F.luhn_check(digits)
+        return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(_digits(body)).between(9, 15)
     return F.lit(True)
 
 
+def _validator(kind: str):
+    return lambda s: _valid(kind, s["body"])
+
+
 def with_base_spans(df: DataFrame) -> DataFrame:
     """Adds ``base``: the valid spans of the base rules, by kind and start."""
     for i, kind in enumerate(KINDS):
         df = _with_spans(df, f"_{kind}", i, BASE[kind], *_HINTS[kind])
-    parts = [F.filter(f"_{kind}", lambda s, kind=kind: _valid(kind, s["body"])) for kind in KINDS]
-    return df.withColumn("base", F.concat(*parts)).drop(*[f"_{kind}" for kind in KINDS])
+    parts = [F.filter(f"_{kind}", _validator(kind)) for kind in KINDS]
+    return with_once(df, base=F.concat(*parts)).drop(*[f"_{kind}" for kind in KINDS])
 
 
 def _features(s: Column) -> Column:
@@ -140,7 +146,7 @@ def _features(s: Column) -> Column:
         "kind": s["kind"], "length": F.length(body), "digits": F.length(digits),
         "letters": F.length(F.regexp_replace(body, "[^A-Za-z]", "")),
         "marks": F.length(F.regexp_replace(body, "[0-9A-Za-z]", "")), "groups": F.size(groups),
-        "checksum": yes(F.coalesce(F.length(digits).between(13, 19) & F.luhn_check(digits), F.lit(False))),
+        "checksum": yes(F.coalesce(F.length(digits).between(13, 19) & F.call_function("luhn_check", digits), F.lit(False))),
         "parts": yes(F.when(body.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _ip_parts(body)).otherwise(F.lit(False))),
         "first_digit": F.when(digits == "", F.lit(-1)).otherwise(F.substring(digits, 1, 1).cast("int")),
         "plus": yes(body.startswith("+")), "bracket": yes(body.rlike(r"[(\[]")),
@@ -160,7 +166,8 @@ def with_proposals(df: DataFrame) -> DataFrame:
     names = [f"_g{i}" for i in range(len(GENERATORS))]
     for name, (kind, pattern, hint, hint_re) in zip(names, GENERATORS):
         df = _with_spans(df, name, KINDS.index(kind), pattern, hint, hint_re)
-    return df.withColumn("_all", F.concat(*names)).drop(*names).withColumn("proposals", F.transform("_all", _features)).drop("_all")
+    df = with_once(df, _all=F.concat(*names)).drop(*names)
+    return with_once(df, proposals=F.transform("_all", _features)).drop("_all")
 
 
 @dataclass
@@ -233,7 +240,7 @@ def _thresholds(seen: DataFrame) -> dict[int, float]:
         for p, k, h in r.s:
             n, hits = n + k, hits + h
             if n >= LEAST_ROWS and hits >= PRECISION * n:
-                found[r.kind_id] = p
+                found[r.kind_id] = p - ROUNDING
     return found
 
 
@@ -243,7 +250,7 @@ def find_private(docs: DataFrame, booster: Booster | None = None) -> DataFrame:
     ``base`` and ``added`` are arrays of (kind, start, end), kind as place in
     KINDS, code points, end exclusive, by kind and start.  Added spans meet no
     base span and, in a kind, no other added span (of those that meet, the
-    likelier stays, then the longer, then the first).  Null text counts as
+    longer stays, then the likelier, then the first).  Null text counts as
     empty; rows may repeat; an empty table gives no rows; other columns are
     ignored.
     """
@@ -257,13 +264,13 @@ def find_private(docs: DataFrame, booster: Booster | None = None) -> DataFrame:
     found = with_proposals(found)
     scored = F.transform("proposals", lambda c: F.struct(
         c["kind_id"].alias("kind_id"), c["start"].alias("start"), c["end"].alias("end"), booster.probability(c).alias("p")))
-    found = found.select("doc_id", "base", scored.alias("scored"))
-    found = found.withColumn("likely", F.array_distinct(F.filter("scored", lambda c: booster.accepted(c) & ~F.exists(
+    found = with_once(found, scored=scored).drop("text", "proposals")
+    found = with_once(found, likely=F.array_distinct(F.filter("scored", lambda c: booster.accepted(c) & ~F.exists(
         "base", lambda b: _meets(b, c)))))
 
     def better(o: Column, c: Column) -> Column:
         """o meets c in its kind and goes first."""
-        key = lambda x: F.struct(x["p"], x["end"] - x["start"], -x["start"])
+        key = lambda x: F.struct(x["end"] - x["start"], x["p"], -x["start"])
         return (o["kind_id"] == c["kind_id"]) & _meets(o, c) & (key(o) > key(c))
 
     added = F.filter("likely", lambda c: ~F.exists("likely", lambda o: better(o, c)))
@@ -280,7 +287,10 @@ def _joined(spans: Column) -> Column:
 def span_digest(found: DataFrame) -> DataFrame:
     """Counts of base spans by kind, the sha256 of the base spans' names and
     all spans' names, from ``find_private``'s result."""
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    def count(i: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
                         _joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
                         F.size("added").cast("long").alias("n_added"))
