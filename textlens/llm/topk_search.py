@@ -38,6 +38,8 @@ NORM_RATIO = 1.05
 #: Rows of a block of vectors and of queries.
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
+#: Blocks of the longest vectors that give each query its first bound.
+FIRST_BLOCKS = 2
 #: From this local cosine threshold on a bucket is pruned by coordinates.
 COORDINATE_FROM = 0.3
 #: Coordinates that an interval is put on.
@@ -74,17 +76,19 @@ def _blocks(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def packed_blocks(vectors: DataFrame, block_rows: int) -> DataFrame:
-    """``(block, rows, width, ids, values, bucket)``: norm buckets cut into
-    blocks of about ``block_rows`` rows."""
+    """``(block, rows, width, ids, values)``: norm buckets cut into blocks of
+    about ``block_rows`` rows, numbered from the longest vectors on."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
     bucket = F.when(norm > 0, F.floor(F.log(norm) / math.log(NORM_RATIO))).otherwise(F.lit(-1)).cast("long")
     keyed = vectors.withColumn("bucket", bucket)
     counts = keyed.groupBy("bucket").count()  # one row per norm range: a few hundred at most
-    parts = counts.select("bucket", F.ceil(F.col("count") / block_rows).alias("parts"))
+    longest = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.withColumn("parts", F.ceil(F.col("count") / block_rows))
+    parts = parts.select("bucket", "parts", F.coalesce(F.sum("parts").over(longest), F.lit(0)).alias("first"))
     keyed = keyed.join(F.broadcast(parts), "bucket")
-    name = F.concat_ws(":", "bucket", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    keyed = keyed.select(name.alias("block"), "vec_id", "v")
-    return keyed.groupBy("block").applyInPandas(_blocks, "block string, rows long, width long, ids binary, values binary")
+    block = F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    keyed = keyed.select(block.alias("block"), "vec_id", "v")
+    return keyed.groupBy("block").applyInPandas(_blocks, "block long, rows long, width long, ids binary, values binary")
 
 
 def _unpack(ids: bytes, values: bytes, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,19 +207,15 @@ def top_k(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP, block_rows
     queries = rows.where(F.col("vec_id") % step == 0)
     n = queries.count()
     parts = max(1, math.ceil(n / QUERY_ROWS))
-    names = [r.block for r in blocks.select("block", F.split("block", ":")[0].cast("long").alias("b"))
-             .orderBy(F.col("b").desc(), "block").limit(2).collect()]
-    if not n:
-        names = []
-    first = F.explode(F.array(*[F.lit(b) for b in names])) if names else F.lit("")
-    start = _query_blocks(queries.withColumn("bound", F.lit(-math.inf)), QUERY_ROWS, parts).withColumn("block", first)
+    last = blocks.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]
+    to_blocks = lambda upto: F.explode(F.sequence(F.lit(0), F.lit(max(upto, 0)))).alias("block")
+    start = _query_blocks(queries.withColumn("bound", F.lit(-math.inf)), QUERY_ROWS, parts)
+    start = start.select("*", to_blocks(min(last, FIRST_BLOCKS - 1)))
     found = _pair(blocks, start).mapInArrow(_search(top), "query_id long, vec_id long, score long")
     known = _best(found, top).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     known = stored(known.where(F.col("n") >= top).select("query_id", F.col("least").cast("double").alias("least")), "topk-bounds")
     bounded = queries.join(known, F.col("vec_id") == F.col("query_id"), "left").select(
         "vec_id", "v", F.coalesce("least", F.lit(-math.inf)).alias("bound"))
     # the stated query set against all blocks: each block of queries goes once to each block of vectors
-    sent = _query_blocks(bounded, QUERY_ROWS, parts)
-    every = blocks.select("block").withColumn("part", F.lit(0))
-    sent = sent.withColumn("part", F.lit(0)).join(F.broadcast(every), "part").drop("part")
+    sent = _query_blocks(bounded, QUERY_ROWS, parts).select("*", to_blocks(last))
     return _best(_pair(blocks, sent).mapInArrow(_search(top), "query_id long, vec_id long, score long"), top)
