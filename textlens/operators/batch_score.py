@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .evaluation import length_agreement
+from ..functions import text as T
+from ..session import scratch_path
 
 
 def require_string(df: DataFrame, col: str) -> None:
@@ -45,10 +46,26 @@ def score_and_check(df: DataFrame, predict_fn, text_col: str, real_col: str,
                     out_col: str = "pred_output") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) after prediction; rejected rows are failed calls
     and predictions whose word count differs from the gold text."""
-    scored = batch_predict(df, predict_fn, text_col, out_col)
-    failed = scored.filter(F.col(out_col).isNull()).withColumn("reason", F.lit("call failed"))
-    ok, bad = length_agreement(scored.filter(F.col(out_col).isNotNull()), real_col, out_col)
-    return ok, bad.unionByName(failed)
+    scored = score_table(df, predict_fn, text_col, real_col, out_col)
+    ok = scored.filter(F.col("status") == "accepted").drop("status", "reason")
+    return ok, scored.filter(F.col("status") == "rejected").drop("status")
+
+
+def score_table(df: DataFrame, predict_fn, text_col: str, real_col: str,
+                out_col: str = "pred_output") -> DataFrame:
+    """All rows with ``status`` (accepted / rejected) and ``reason``.
+
+    The model runs once per row: the scored rows are written to the shared
+    scratch folder and read back, so later filters see one set of outputs
+    even if the model answers differently each time."""
+    same = T.word_count(real_col) == T.word_count(out_col)
+    reason = F.when(F.col(out_col).isNull(), F.lit("call failed")).when(
+        F.coalesce(same, F.lit(False)), F.lit(None)).otherwise(F.lit("word counts differ"))
+    scored = batch_predict(df, predict_fn, text_col, out_col).withColumn("reason", reason)
+    scored = scored.withColumn("status", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected"))
+    path = scratch_path(df.sparkSession, "scored")
+    scored.write.parquet(path)
+    return df.sparkSession.read.schema(scored.schema).parquet(path)
 
 
 def highlight_long_words(min_len: int = 6) -> Callable[[list[str]], list[str]]:

@@ -45,12 +45,14 @@ def rationale_consensus(posts: DataFrame, label: str = HATE_LABEL) -> tuple[Data
 
     consensus: ``post_id, post_tokens, hate_tokens`` for posts whose
     annotators agree on ``label`` and on one well-formed rationale.
-    quarantine: agreed posts whose rationale does not cover the tokens."""
-    flagged = consensus_flags(posts, label).filter("rationale_agreed")
-    ok = flagged.filter("well_formed").select(
+    quarantine: posts with an agreed label whose first rationale is missing or
+    does not cover the tokens, whatever the others say."""
+    flagged = consensus_flags(posts, label).filter("label_agreed")
+    ok = flagged.filter(F.col("rationale_agreed") & F.col("well_formed")).select(
         "post_id", "post_tokens", hate_tokens().alias("hate_tokens"))
-    bad = flagged.filter(~F.col("well_formed")).select(
-        "post_id", F.lit("rationale shorter than tokens").alias("reason"))
+    reason = F.when(F.coalesce(F.size("rationales"), F.lit(0)) <= 0, "no rationale").otherwise(
+        "rationale shorter than tokens")
+    bad = flagged.filter(~F.col("well_formed")).select("post_id", reason.alias("reason"))
     return ok, bad
 
 
@@ -63,7 +65,7 @@ def consensus_counters(posts: DataFrame, label: str = HATE_LABEL) -> DataFrame:
         F.count_if("label_agreed").alias("label_agreed"),
         F.count_if(F.col("rationale_agreed") & F.col("rationale_nonempty")).alias("rationale_agreed"),
         F.count_if(F.col("rationale_agreed") & F.col("well_formed")).alias("kept"),
-        F.count_if(F.col("rationale_agreed") & ~F.col("well_formed")).alias("quarantined"))
+        F.count_if(F.col("label_agreed") & ~F.col("well_formed")).alias("quarantined"))
 
 
 def chat_training_records(consensus: DataFrame, template: str = TRAIN_PROMPT_TEMPLATE,

@@ -38,9 +38,9 @@ def every_nth(steps: DataFrame, divisor: int = 10, group_cols=("model", "kind"))
 
 def best_checkpoint(eval_steps: DataFrame, loss_col: str = "eval_loss") -> DataFrame:
     """Step with the lowest eval loss per model (ties: earliest step)."""
-    best = F.min(F.struct(F.col(loss_col), F.col("step")))
-    return eval_steps.groupBy("model").agg(best.alias("_b")).select(
-        "model", F.col("_b.step").alias("step"), F.col("_b")[loss_col].alias(loss_col))
+    best = eval_steps.groupBy("model").agg(F.min(loss_col).alias(loss_col))  # one row per model
+    return (eval_steps.join(best, ["model", loss_col]).groupBy("model", loss_col)
+            .agg(F.min("step").alias("step")).select("model", "step", loss_col))
 
 
 def aligned_curves(train_steps: DataFrame, eval_steps: DataFrame) -> DataFrame:

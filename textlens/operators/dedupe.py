@@ -6,20 +6,30 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 
 def keep_first(df: DataFrame, subset: Sequence[str] | str, order_col: str,
                count_col: str | None = None) -> DataFrame:
     """One row per distinct ``subset``: the row with the smallest ``order_col``.
 
-    Expressed as a hash aggregate (``min`` + ``min_by``), so duplicates are
-    collapsed map-side before the shuffle: a text repeated in a third of all
-    rows costs one partial row per task, not a skewed partition.
-    ``dropDuplicates`` is not used because it keeps an arbitrary row.
+    Expressed as a hash aggregate, so duplicates are collapsed map-side before
+    the shuffle: a text repeated in a third of all rows costs one partial row
+    per task, not a skewed partition.  Numeric columns come along by
+    ``min_by``; other columns would turn that into a sort aggregate, so the
+    rows are then found again by an equi-join on the key and ``order_col``
+    (which must be unique within a key).  ``dropDuplicates`` is not used
+    because it keeps an arbitrary row.
     """
     keys = [subset] if isinstance(subset, str) else list(subset)
     others = [c for c in df.columns if c not in keys and c != order_col]
     aggs = [F.min(order_col).alias(order_col)]
+    if any(not isinstance(df.schema[c].dataType, (NumericType, BooleanType)) for c in others):
+        if count_col:
+            aggs.append(F.count(F.lit(1)).alias(count_col))
+        first = df.groupBy(*keys).agg(*aggs)
+        rows = df.join(first, [*keys, order_col], "inner" if count_col else "left_semi")
+        return rows.select(*df.columns, *([count_col] if count_col else []))
     aggs += [F.min_by(c, order_col).alias(c) for c in others]
     cols = list(df.columns)
     if count_col:   # number of copies, in the same aggregation

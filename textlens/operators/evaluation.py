@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import scratch_path
 
 
 # ------------------------------------------------------------ token level --
@@ -70,7 +71,7 @@ def length_agreement(df: DataFrame, real_col: str = "real_output",
     text; rejected rows carry a ``reason``."""
     same = T.word_count(real_col) == T.word_count(pred_col)
     ok = df.filter(same)
-    bad = df.filter(~same).withColumn("reason", F.lit("response does not match size"))
+    bad = df.filter(~same).withColumn("reason", F.lit("word counts differ"))
     return ok, bad
 
 
@@ -158,9 +159,12 @@ def roc_auc_from_scores(df: DataFrame, label_col: str = "label", score_col: str
     per = df.groupBy(F.col(score_col).cast("double").alias("s")).agg(
         F.count_if(F.col(label_col) == positive).alias("pos"),
         F.count_if(F.col(label_col) != positive).alias("neg"))
+    path = scratch_path(df.sparkSession, "score-counts")  # read three times below
+    per.write.parquet(path)
+    per = df.sparkSession.read.schema(per.schema).parquet(path)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = sorted(set(per.approxQuantile("s", probs, 0.001)))
-    splits = [float("-inf"), *bounds, float("inf")]
+    splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
     per = Bucketizer(splits=splits, inputCol="s", outputCol="_b").transform(per)
     bneg = per.groupBy("_b").agg(F.sum("neg").alias("_bn"))
     off = bneg.select("_b", F.coalesce(F.sum("_bn").over(

@@ -5,7 +5,8 @@ rule, written once in Spark and once in SQL:
   tokens      = whitespace words of the text
   annotators  = [toxic=1 ? hatespeech : normal,
                  quality=1 ? hatespeech : offensive, hatespeech]
-  rationales  = [len>=6, len>=6, len>=(lang='en' ? 6 : 7)] per token
+  rationales  = [len>=6, len>=6, len>=(lang='en' ? 6 : 7)] per token;
+                none for lang='fr', the last token left out for lang='es'
 """
 
 from __future__ import annotations
@@ -39,8 +40,12 @@ def annotated_posts(spark, sf_dir):
         F.struct(F.when(F.col("toxic") == 1, "hatespeech").otherwise("normal").alias("label")),
         F.struct(F.when(F.col("quality") == 1, "hatespeech").otherwise("offensive").alias("label")),
         F.struct(F.lit("hatespeech").alias("label")))
+    cut = lambda k: F.slice(flag(k), F.lit(1), F.greatest(F.size(toks) - 1, F.lit(0)))
+    rationales = (F.when(F.col("lang") == "fr", F.array().cast("array<array<int>>"))
+                  .when(F.col("lang") == "es", F.array(cut(6), cut(6), cut(7)))
+                  .otherwise(F.array(flag(6), flag(6), flag(lang_k))))
     return j.select(F.col("doc_id").cast("string").alias("post_id"), ann.alias("annotators"),
-                    F.array(flag(6), flag(6), flag(lang_k)).alias("rationales"),
+                    rationales.alias("rationales"),
                     toks.alias("post_tokens"))
 
 
@@ -53,12 +58,15 @@ SELECT CAST(d.doc_id AS VARCHAR) AS post_id, d.lang, l.toxic, l.quality, {_words
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """
 AGREED = "(toxic = 1 AND quality = 1)"
-RAT_SAME = "(lang = 'en' OR len(list_filter(toks, lambda t: length(t) = 6)) = 0)"
+# tokens that the rationales cover; none of length 6 if the third differs
+COVERED = "(CASE WHEN lang = 'es' THEN toks[1:len(toks) - 1] ELSE toks END)"
+RAT_SAME = f"(lang = 'en' OR lang IS DISTINCT FROM 'fr' AND len(list_filter({COVERED}, lambda t: length(t) = 6)) = 0)"
+WELL_FORMED = f"(lang IS DISTINCT FROM 'fr' AND len({COVERED}) >= len(toks))"
 CONSENSUS_SQL = f"""
 SELECT post_id, array_to_string(toks, ' ') AS post_text,
        array_to_string(list_transform(toks, lambda t: CASE WHEN length(t) >= 6 THEN {S.upper('t')}
                                                       ELSE lower(t) END), ' ') AS hate_text
-FROM ({POSTS_SQL}) p WHERE {AGREED} AND {RAT_SAME}
+FROM ({POSTS_SQL}) p WHERE {AGREED} AND {RAT_SAME} AND {WELL_FORMED}
 """
 
 
@@ -76,8 +84,9 @@ def rationale_consensus(spark, sf_dir):
 
 @register("consensus_counters", f"""
 SELECT count(*) AS n_posts, count(*) FILTER (WHERE {AGREED}) AS label_agreed,
-       count(*) FILTER (WHERE {AGREED} AND {RAT_SAME} AND len(toks) > 0) AS rationale_agreed,
-       count(*) FILTER (WHERE {AGREED} AND {RAT_SAME}) AS kept, CAST(0 AS BIGINT) AS quarantined
+       count(*) FILTER (WHERE {AGREED} AND {RAT_SAME} AND len({COVERED}) > 0) AS rationale_agreed,
+       count(*) FILTER (WHERE {AGREED} AND {RAT_SAME} AND {WELL_FORMED}) AS kept,
+       count(*) FILTER (WHERE {AGREED} AND NOT {WELL_FORMED}) AS quarantined
 FROM ({POSTS_SQL}) p
 """)
 def consensus_counters(spark, sf_dir):
@@ -159,6 +168,5 @@ FROM documents
 """)
 def batch_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ok, bad = B.score_and_check(docs, B.highlight_long_words(6), "text", "text")
-    return ok.select("doc_id", "pred_output", F.lit("accepted").alias("status")).unionByName(
-        bad.select("doc_id", "pred_output", F.lit("rejected").alias("status")))
+    return B.score_table(docs, B.highlight_long_words(6), "text", "text").select(
+        "doc_id", "pred_output", "status")

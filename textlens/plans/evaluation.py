@@ -208,14 +208,14 @@ def weighted_prf(spark, sf_dir):
     return m.select("n", _r("accuracy"), _r("precision"), _r("recall"), _r("f1"))
 
 
-ARGMAX_SRC = ("SELECT label, CAST(list_position(list_slice(embedding, 1, 10), "
-              "list_max(list_slice(embedding, 1, 10))) - 1 AS INTEGER) AS prediction FROM embeddings")
+ARGMAX_SRC = ("SELECT label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS prediction "
+              "FROM embeddings")
 
 
 @register("argmax_metrics", _weighted_sql(ARGMAX_SRC))
 def argmax_metrics(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    scored = emb.select("label", E.argmax(F.slice("embedding", 1, 10)).alias("prediction"))
+    scored = emb.select("label", E.argmax("embedding").alias("prediction"))
     m = E.weighted_metrics(scored)
     return m.select("n", _r("accuracy"), _r("precision"), _r("recall"), _r("f1"))
 

@@ -96,8 +96,8 @@ def tfidf_sets(spark, sf_dir, sizes):
     out = {}
     for n in sizes:
         vocab = TF.fit_vocabulary(train, n)
-        tr = TF.transform_vectors(train, vocab).select("features", F.col("label").cast("double"))
-        te = TF.transform_vectors(test, vocab).select("features", F.col("label").cast("double"))
+        tr = TF.transform_vectors(train, vocab).select("doc_id", "features", F.col("label").cast("double"))
+        te = TF.transform_vectors(test, vocab).select("doc_id", "features", F.col("label").cast("double"))
         out[("tfidf", n)] = (tr, te)
     return out
 
@@ -133,12 +133,11 @@ def _search(spark, sf_dir):
     sets = tfidf_sets(spark, sf_dir, [TFIDF_SIZES[0]])
     tr, te = sets[("tfidf", TFIDF_SIZES[0])]
     # validate on a split of the training part, not on the test set
-    tr = tr.withColumn("_id", F.monotonically_increasing_id()).cache()
-    fit_part = U.train_test_split(tr, "_id", TEST_SIZE, SEED)
-    fit = fit_part.filter(F.col("split") == "train").drop("split", "_id")
-    valid = fit_part.filter(F.col("split") == "test").drop("split", "_id")
+    fit_part = U.train_test_split(reuse(tr), "doc_id", TEST_SIZE, SEED)
+    fit = fit_part.filter(F.col("split") == "train").drop("split")
+    valid = fit_part.filter(F.col("split") == "test").drop("split")
     trials = M.sample_trials(spark, M.LREG_SPACE, N_TRIALS, SEED, study="LREG_tfidf_3000")
-    return M.run_search(trials, fit, valid), tr.drop("_id"), te
+    return M.run_search(trials, fit, valid), tr, te
 
 
 @register("random_search")

@@ -23,6 +23,8 @@ def cleaned_stream(src: DataFrame, config: CleanConfig | None = None, text_col:
                    label_col: str = "label", event_time: str | None = None,
                    watermark: str | None = None) -> DataFrame:
     cfg = config or CleanConfig()
+    if cfg.tokenize or cfg.lemmas is not None:
+        raise ValueError("a stream is cleaned without tokenizing and lemmas: unset them, or clean in a batch")
     out = src.dropna(subset=[text_col, label_col])
     out = url_filter(out, text_col, cfg.url_ignore_case)
     out = out.withColumn(text_col, T.clean_text(text_col, stopwords=cfg.stopwords,
