@@ -33,6 +33,15 @@ def drop_header_rows(df: DataFrame, label_col: str = "label", header: str = "Lab
     return df.filter(~F.col(label_col).eqNullSafe(F.lit(header)))
 
 
+def cast_column(df: DataFrame, col: str, dtype: str, lenient: bool = False) -> DataFrame:
+    """``col`` cast to ``dtype``.  Strict (the default) fails on a value that
+    does not parse; lenient gives NULL and marks the row in ``<col>_rejected``."""
+    if not lenient:
+        return df.withColumn(col, F.col(col).cast(dtype))
+    typed = F.col(col).try_cast(dtype)
+    return df.withColumns({f"{col}_rejected": F.col(col).isNotNull() & typed.isNull(), col: typed})
+
+
 def url_filter(df: DataFrame, text_col: str = "text", ignore_case: bool = False) -> DataFrame:
     pattern = ("(?i)" if ignore_case else "") + cc.URL
     return df.filter(~F.col(text_col).rlike(pattern))

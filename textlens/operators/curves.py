@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import global_rank
+from .ranking import RANGE_BUCKETS, global_rank, range_bucket
 
 
 def route(logs: DataFrame, eval_key: str = "eval_loss", train_key: str = "loss") -> DataFrame:
@@ -17,12 +17,38 @@ def route(logs: DataFrame, eval_key: str = "eval_loss", train_key: str = "loss")
 
 
 def number_steps(logs: DataFrame, ts_col: str = "ts", tie_col: str = "event_id",
-                 group_cols=("model", "kind"), bucket: str = "hour") -> DataFrame:
+                 group_cols=("model", "kind"), n_buckets: int = RANGE_BUCKETS) -> DataFrame:
     """1-based ``step`` per (model, kind) in time order.  Ranks are bucketed
-    by time (``bucket``) so a long log is not numbered in one task."""
-    t = logs.withColumn("_tb", F.date_trunc(bucket, F.col(ts_col)))
-    return global_rank(t, [ts_col, tie_col], "_tb", list(group_cols), "step") \
-        .withColumnRenamed("step_total", "n_steps").drop("_tb")
+    by ranges of time that hold about equal numbers of records, so neither a
+    long log nor a busy hour is numbered in one task."""
+    t = range_bucket(logs, ts_col, n_buckets)
+    return global_rank(t, [ts_col, tie_col], "_bk", list(group_cols), "step") \
+        .withColumnRenamed("step_total", "n_steps").drop("_bk")
+
+
+EVAL_KEYS = ("eval_loss", "eval_accuracy", "eval_f1", "eval_precision", "eval_recall")
+
+
+def eval_record(logs: DataFrame, keys=EVAL_KEYS, prefix: str = "eval_") -> DataFrame:
+    """Eval records with only their metric keys: columns of the prefix that
+    are not in ``keys`` (timings and the like) are left out."""
+    keep = [c for c in logs.columns if not c.startswith(prefix) or c in keys]
+    return logs.where(F.col("kind") == "eval").select(*keep)
+
+
+def step_interval(n_rows, epochs, batch, accumulation, divisor: int = 10) -> F.Column:
+    """Steps between two records: total optimizer steps (rows / (batch *
+    accumulation), rounded down, one at least, times epochs) over ``divisor``,
+    one at least.  Arguments are columns."""
+    per_epoch = F.greatest(F.lit(1), F.floor(n_rows / (batch * accumulation)))
+    return F.greatest(F.lit(1), F.floor(per_epoch * epochs / divisor)).cast("long")
+
+
+def metric_curves(eval_steps: DataFrame, metrics=EVAL_KEYS) -> DataFrame:
+    """Long form ``(model, step, metric, value)`` of the eval metrics."""
+    pairs = ", ".join(f"'{m}', `{m}`" for m in metrics)
+    long = eval_steps.selectExpr("model", "step", f"stack({len(metrics)}, {pairs}) AS (metric, value)")
+    return long.where(F.col("value").isNotNull())
 
 
 def every_nth(steps: DataFrame, divisor: int = 10, group_cols=("model", "kind")) -> DataFrame:

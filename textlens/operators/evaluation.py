@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -75,6 +75,14 @@ def length_agreement(df: DataFrame, real_col: str = "real_output",
     return ok, bad
 
 
+def model_series(macro: DataFrame, is_base, group_col: str = "family", order_col: str = "model") -> DataFrame:
+    """Adds ``is_base`` and ``position``: fine-tuned models in name order
+    from 1, base models (where the condition ``is_base`` holds) last."""
+    flagged = macro.withColumn("is_base", F.coalesce(is_base, F.lit(False)))
+    w = Window.partitionBy(group_col).orderBy(F.col("is_base"), F.col(order_col))
+    return flagged.withColumn("position", F.row_number().over(w))
+
+
 # ------------------------------------------------------------ class level --
 
 def argmax(scores) -> F.Column:

@@ -36,6 +36,26 @@ def hash_bucket(hash_col: Column, hex_digits: int = 4) -> Column:
     return F.conv(F.substring(hash_col, 1, hex_digits), 16, 10).cast("int")
 
 
+RANGE_BUCKETS = 256   # ranges of a sort column; offsets have at most this many rows per group
+
+
+def range_bucket(df: DataFrame, col: str, n_buckets: int = RANGE_BUCKETS, out_col: str = "_bk") -> DataFrame:
+    """Add a bucket number monotone in a numeric or time column: ranges
+    between approximate quantiles, so buckets are about equal and their
+    number is fixed however much data there is.  Nulls get the bucket -1."""
+    from pyspark.ml.feature import Bucketizer
+    value = F.col(col)
+    if df.schema[col].dataType.typeName() in ("timestamp", "timestamp_ntz", "date"):
+        value = value.cast("timestamp")
+    value = value.cast("double")
+    keyed = df.withColumn("_range_value", value)
+    bounds = keyed.approxQuantile("_range_value", [i / n_buckets for i in range(1, n_buckets)], 1 / (4 * n_buckets))
+    splits = [float("-inf"), *(sorted(set(bounds)) or [0.0]), float("inf")]
+    out = Bucketizer(splits=splits, inputCol="_range_value", outputCol=out_col, handleInvalid="keep").transform(keyed)
+    number = F.when(F.col("_range_value").isNull(), F.lit(-1)).otherwise(F.col(out_col).cast("int"))
+    return out.withColumn(out_col, number).drop("_range_value")
+
+
 def global_rank(df: DataFrame, order_cols: Sequence[str], bucket_col: str,
                 partition_cols: Sequence[str] | str = (), rank_col: str = "rank") -> DataFrame:
     """1-based rank by ``order_cols`` within ``partition_cols``, plus

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import curves as CV
 from ..operators import trials as TR
-from ..operators.ranking import global_rank
+from ..operators.ranking import global_rank, range_bucket
 from ..sources.tables import table
 from .registry import register
 
@@ -34,7 +34,7 @@ TRIAL_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quanti
 def trials(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     # trial numbers: a global rank, bucketed by order-key range (monotone)
-    li = li.withColumn("_bk", F.floor(F.col("l_orderkey") / 4096))
+    li = range_bucket(li, "l_orderkey")
     li = global_rank(li, TRIAL_ORDER, "_bk", (), "trial")
     return li.select(
         F.concat("l_returnflag", "l_linestatus").alias("study"),
@@ -214,3 +214,86 @@ def curve_long(spark, sf_dir):
     s = step_log(spark, sf_dir)
     c = CV.aligned_curves(s.filter(F.col("kind") == "train"), s.filter(F.col("kind") == "eval"))
     return c.select("model", "step", r6("train_loss"), r6("eval_loss"))
+
+
+# ---------------------------------------------------------- small tables ---
+
+EVAL_METRICS = ["eval_loss", "eval_accuracy", "eval_f1", "eval_precision", "eval_recall"]
+
+
+def eval_log(spark, sf_dir):
+    """Numbered eval records with five metrics and a timing derived from the event value."""
+    s = step_log(spark, sf_dir)
+    loss = F.col("eval_loss")
+    return s.withColumns({"eval_f1": 1 - loss / 2, "eval_precision": 1 - loss / 4, "eval_recall": 1 - loss / 8,
+                          "eval_runtime": loss * 100})
+
+
+EVAL_SQL = f"""SELECT model, step, eval_loss, eval_accuracy, 1 - eval_loss / 2 AS eval_f1, 1 - eval_loss / 4 AS eval_precision,
+  1 - eval_loss / 8 AS eval_recall FROM ({STEPS_SQL}) s WHERE kind = 'eval'"""
+
+
+@register("eval_keys", f"SELECT model, step, {', '.join(f'{r6s(m)} AS {m}' for m in EVAL_METRICS)} FROM ({EVAL_SQL}) e")
+def eval_keys(spark, sf_dir):
+    """Eval records with their metric keys only (the timing is left out)."""
+    e = CV.eval_record(eval_log(spark, sf_dir)).drop("event_id", "ts", "loss", "kind", "n_steps")
+    return e.select(*[r6(c) if c.startswith("eval_") else c for c in e.columns])
+
+
+@register("metric_curves", " UNION ALL ".join(
+    f"SELECT model, step, '{m}' AS metric, {r6s(m)} AS value FROM ({EVAL_SQL}) e" for m in EVAL_METRICS))
+def metric_curves(spark, sf_dir):
+    """Training curves of all eval metrics in long form."""
+    long = CV.metric_curves(eval_log(spark, sf_dir).where(F.col("kind") == "eval"), EVAL_METRICS)
+    return long.select("model", "step", "metric", r6("value"))
+
+
+@register("step_interval", """
+SELECT source, n_rows,
+       CAST(greatest(1, floor(greatest(1, floor(n_rows / 8)) * 3 / 10)) AS BIGINT) AS every_10th,
+       CAST(greatest(1, floor(greatest(1, floor(n_rows / 8)) * 3 / 50)) AS BIGINT) AS every_50th
+FROM (SELECT source, count(*) AS n_rows FROM documents GROUP BY source) t
+""")
+def step_interval(spark, sf_dir):
+    """Logging interval of a training run over each source: 3 epochs, batches
+    of 4, gradients accumulated over 2."""
+    n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    every = lambda d: CV.step_interval(F.col("n_rows"), F.lit(3), F.lit(4), F.lit(2), d)
+    return n.select("source", "n_rows", every(10).alias("every_10th"), every(50).alias("every_50th"))
+
+
+IMPORTANCE_SQL = f"""SELECT study, param, {r6s('abs(covar_pop(x, value) / nullif(sqrt(var_pop(x) * var_pop(value)), 0))')} AS importance
+FROM ({LONG_SQL}) l GROUP BY study, param"""
+FIRST_PARAMS = 2
+
+
+@register("first_params", f"""
+SELECT study, param, place, importance FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY study ORDER BY importance DESC NULLS LAST, param) AS INTEGER) AS place
+  FROM ({IMPORTANCE_SQL}) i) t WHERE place <= {FIRST_PARAMS}
+""")
+def first_params(spark, sf_dir):
+    """The first parameters of each study by importance."""
+    pi = TR.param_importance(trials(spark, sf_dir), PARAMS).withColumn("importance", r6("importance"))
+    return TR.first_params(pi, FIRST_PARAMS).select("study", "param", "place", "importance")
+
+
+DEFAULTS = {"quantity": 1.0, "discount": 0.05}
+
+
+@register("best_params_lookup", f"""
+WITH t AS ({TRIALS_SQL}),
+b AS (SELECT study, quantity, discount FROM (
+        SELECT *, row_number() OVER (PARTITION BY study ORDER BY value DESC, trial) AS rk FROM t WHERE penalty <> 'none') r
+      WHERE rk = 1 AND study <> 'NF')
+SELECT g.study, g.solver, coalesce(b.quantity, {DEFAULTS['quantity']}) AS quantity,
+       coalesce(b.discount, {DEFAULTS['discount']}) AS discount, b.study IS NOT NULL AS tuned
+FROM (SELECT DISTINCT study, solver FROM t) g LEFT JOIN b ON g.study = b.study
+""")
+def best_params_lookup(spark, sf_dir):
+    """Runs (study, solver) with the stored best parameters of their study;
+    the study NF has none and gets the defaults."""
+    t = trials(spark, sf_dir)
+    tuned = t.where((F.col("penalty") != "none") & (F.col("study") != "NF"))
+    best = tuned.join(TR.best_trial(tuned).select("study", "trial"), ["study", "trial"]).select("study", *DEFAULTS)
+    return TR.lookup_params(t.select("study", "solver").distinct(), best, "study", DEFAULTS)

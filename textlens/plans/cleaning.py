@@ -102,6 +102,21 @@ def header_row_filter_cast(spark, sf_dir):
     return typed.withColumn("has_null", has_null.scalar())
 
 
+@register("lenient_cast", """
+SELECT doc_id, TRY_CAST(label AS INTEGER) AS label, label IS NOT NULL AND TRY_CAST(label AS INTEGER) IS NULL AS label_rejected
+FROM (SELECT d.doc_id, CASE WHEN d.lang = 'de' THEN 'n/a ' || l.toxic WHEN d.lang <> 'fr' THEN CAST(l.toxic AS VARCHAR) END AS label
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id) t
+""")
+def lenient_cast(spark, sf_dir):
+    """Labels read as text, some of which are no numbers (German documents)
+    or missing (French ones): cast without failing, bad ones marked."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("string").alias("t"))
+    raw = F.when(F.col("lang") == "de", F.concat(F.lit("n/a "), "t")).when(F.col("lang") != "fr", F.col("t"))
+    rows = docs.join(labels, "doc_id").select("doc_id", raw.alias("label"))
+    return C.cast_column(rows, "label", "int", lenient=True)
+
+
 @register("dedupe_keep_first", """
 SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source,
        count(*) AS copies

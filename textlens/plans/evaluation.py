@@ -8,11 +8,11 @@ also writes '?' for every 'a'/'A'.  family = document language.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..session import scratch_path
 from ..sources.tables import table
 from . import sqlparts as S
 from .registry import register
@@ -20,6 +20,7 @@ from .registry import register
 # (model, threshold, wildcard)
 MODELS = [("ft-01", 5, False), ("ft-02", 6, True), ("ft-03", 7, False), ("gpt-base", 8, False)]
 SERIES_HEAD = 10
+BASE_MODEL = "gpt-base"
 
 
 def _case(w, k):
@@ -93,6 +94,22 @@ def token_scores(spark, sf_dir):
     return E.token_metrics(predictions(spark, sf_dir))
 
 
+_MACRO: dict = {}
+
+
+def macro_table(spark, sf_dir):
+    """The per-model table, evaluated once per session and table directory
+    and kept in the shared folder: several queries read these few rows."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MACRO:
+        m = E.macro_metrics(token_scores(spark, sf_dir))
+        path = scratch_path(spark, "macro")
+        m.write.parquet(path)
+        _MACRO[key] = (path, m.schema)
+    path, schema = _MACRO[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def _r(c):
     return F.round(c, 6).alias(c)
 
@@ -131,21 +148,18 @@ def model_macro_metrics(spark, sf_dir):
 
 
 @register("model_series", f"""
-SELECT family, model, position, position = n AS is_last, round(average_f1, 6) AS average_f1
-FROM (SELECT family, model, average_f1, row_number() OVER (PARTITION BY family ORDER BY model) AS position,
-             count(*) OVER (PARTITION BY family) AS n FROM ({MACRO_SQL}) m) s
-WHERE position <= {SERIES_HEAD} OR position = n
+SELECT family, model, position, is_base, round(average_f1, 6) AS average_f1
+FROM (SELECT family, model, average_f1, model = '{BASE_MODEL}' AS is_base,
+             row_number() OVER (PARTITION BY family ORDER BY model = '{BASE_MODEL}', model) AS position
+      FROM ({MACRO_SQL}) m) s
+WHERE position <= {SERIES_HEAD} OR is_base
 """)
 def model_series(spark, sf_dir):
-    """First ten models of each family in name order, plus the last one (the
-    base model when fine-tuned names sort first).  Runs on the per-model table."""
-    m = E.macro_metrics(token_scores(spark, sf_dir))
-    w = Window.partitionBy("family").orderBy("model")
-    s = m.select("family", "model", "average_f1", F.row_number().over(w).cast("long").alias("position"),
-                 F.count(F.lit(1)).over(Window.partitionBy("family")).alias("_n"))
-    return s.filter((F.col("position") <= SERIES_HEAD) | (F.col("position") == F.col("_n"))).select(
-        "family", "model", "position", (F.col("position") == F.col("_n")).alias("is_last"),
-        _r("average_f1"))
+    """First ten fine-tuned models of each family in name order, plus the base
+    model wherever its name sorts.  Runs on the per-model table."""
+    s = E.model_series(macro_table(spark, sf_dir), F.col("model") == BASE_MODEL)
+    return s.filter((F.col("position") <= SERIES_HEAD) | F.col("is_base")).select(
+        "family", "model", F.col("position").cast("long").alias("position"), "is_base", _r("average_f1"))
 
 
 # ------------------------------------------------------------ class level --
@@ -220,6 +234,33 @@ def argmax_metrics(spark, sf_dir):
     return m.select("n", _r("accuracy"), _r("precision"), _r("recall"), _r("f1"))
 
 
+LOGITS = """SELECT label % 2 AS label,
+  list_sum([embedding[i] FOR i IN range(1, len(embedding) + 1) IF i % 2 = 1]::DOUBLE[]) AS a,
+  list_sum([embedding[i] FOR i IN range(1, len(embedding) + 1) IF i % 2 = 0]::DOUBLE[]) AS b FROM embeddings"""
+
+
+@register("argmax_binary_metrics", f"""
+WITH t AS (SELECT label, CASE WHEN b > a THEN 1 ELSE 0 END AS prediction FROM ({LOGITS}) x),
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE label = prediction) AS c,
+             count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+             count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn FROM t),
+m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r,
+             coalesce(tn / nullif(tn + fp, 0), 0) AS s FROM c)
+SELECT n, round(c / n, 6) AS accuracy, round(p, 6) AS precision, round(r, 6) AS recall,
+       round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, round((r + s) / 2, 6) AS roc_auc FROM m
+""")
+def argmax_binary_metrics(spark, sf_dir):
+    """Two logits per row (sums of the odd and the even components of the whole
+    vector), argmax, and all five metrics; ROC AUC of hard labels is the mean
+    of both classes' recalls."""
+    emb = table(spark, sf_dir, "embeddings")
+    part = lambda odd: F.aggregate(F.filter("embedding", lambda x, i: i % 2 == odd), F.lit(0.0),
+                                   lambda a, x: a + x.cast("double"))
+    scored = emb.select((F.col("label") % 2).alias("label"), E.argmax(F.array(part(0), part(1))).alias("prediction"))
+    m = E.binary_metrics(scored).withColumnRenamed("balanced_accuracy", "roc_auc")
+    return m.select("n", *[_r(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
+
+
 @register("score_auc", """
 WITH t AS (SELECT l.toxic AS label, CAST(d.n_chars AS DOUBLE) AS s
            FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
@@ -254,7 +295,7 @@ ORDER BY average_accuracy DESC, family, model LIMIT {TOP_RUNS}
 def top_runs(spark, sf_dir):
     """The best runs by accuracy (a top-k report)."""
     from ..operators.ranking import top_n
-    m = E.macro_metrics(token_scores(spark, sf_dir))
+    m = macro_table(spark, sf_dir)
     best = top_n(m, [F.desc("average_accuracy"), "family", "model"], TOP_RUNS)
     return best.select("family", "model", _r("average_accuracy"))
 
@@ -266,7 +307,7 @@ FROM (SELECT concat_ws('_', model, family, CAST(n_records AS VARCHAR), '2') AS k
 """)
 def run_keys(spark, sf_dir):
     """Compose run keys ``model_family_size_2`` and parse them back."""
-    m = E.macro_metrics(token_scores(spark, sf_dir))
+    m = macro_table(spark, sf_dir)
     k = m.select(F.concat_ws("_", "model", "family", F.col("n_records").cast("string"), F.lit("2"))
                  .alias("key"))
     part = lambda i: F.split_part("key", F.lit("_"), F.lit(i))
@@ -285,7 +326,7 @@ def resume_antijoin(spark, sf_dir):
     grid = predictions(spark, sf_dir).select("family", "model").distinct() \
         .withColumnRenamed("family", "encoding_type").withColumn("vector_size", F.lit(0)) \
         .withColumnRenamed("model", "model")
-    done = E.macro_metrics(token_scores(spark, sf_dir)).filter(F.col("average_accuracy") >= DONE_ACCURACY) \
+    done = macro_table(spark, sf_dir).filter(F.col("average_accuracy") >= DONE_ACCURACY) \
         .select(F.col("family").alias("encoding_type"), F.lit(0).alias("vector_size"), "model")
     todo = pending_runs(grid, done)
     return todo.select(F.col("encoding_type").alias("family"), "model")

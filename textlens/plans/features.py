@@ -125,6 +125,24 @@ def doc_vectors_mean(spark, sf_dir):
             .select("doc_id", F.col("dim").cast("int"), T.round_half_up("value", 6).alias("value"))
 
 
+@register("vector_columns", """
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n_dims, embedding[1] AS first, embedding[-1] AS last,
+       round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings
+""")
+def vector_columns(spark, sf_dir):
+    """Vectors stored as named scalar columns and assembled again."""
+    from pyspark.ml.functions import vector_to_array
+    from ..session import scratch_path
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = emb.agg(F.max(F.size("embedding"))).first()[0] or 0
+    path = scratch_path(spark, "columns")
+    V.named_columns(emb, "embedding", size).write.parquet(path)
+    back = V.assembled(spark.read.parquet(path)).withColumn("v", vector_to_array("features"))
+    return back.select("vec_id", F.size("v").alias("n_dims"), F.col("v")[0].cast("float").alias("first"),
+                       F.element_at("v", -1).cast("float").alias("last"),
+                       F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @register("oov_report", f"""
 SELECT word, count(*) AS n FROM {ENC_TOK} t
 WHERE word NOT IN (SELECT word FROM {VEC_VOCAB} v) GROUP BY word

@@ -17,7 +17,7 @@ from ..sources import readers as R
 from ..sources import writers as W
 from ..sources.tables import labelled_corpus, table
 from . import sqlparts as S
-from .annotation import POSTS_SQL, annotated_posts
+from .annotation import COVERED, POSTS_SQL, annotated_posts
 from .evaluation import MACRO_SQL, predictions
 from .features import (TF_SQL, VECTOR_DIM, VOCAB_SQL, fitted_vocab, split_docs,
                        vector_table)
@@ -44,7 +44,7 @@ ANN_DDL = ("annotators array<struct<label:string>>, rationales array<array<int>>
 
 @register("json_map_roundtrip", f"""
 SELECT post_id, CAST(len(toks) AS INTEGER) AS n_tokens,
-       CAST(len(list_filter(toks, lambda t: length(t) >= 6)) AS INTEGER) AS n_flagged
+       CAST(CASE WHEN lang = 'fr' THEN 0 ELSE len(list_filter({COVERED}, lambda t: length(t) >= 6)) END AS INTEGER) AS n_flagged
 FROM ({POSTS_SQL}) p
 """)
 def json_map_roundtrip(spark, sf_dir):
@@ -53,7 +53,17 @@ def json_map_roundtrip(spark, sf_dir):
     back = R.read_json_map(spark, path, ANN_DDL, "post_id")
     r0 = F.get(F.col("rationales"), 0)
     return back.select("post_id", F.size("post_tokens").alias("n_tokens"),
-                       F.size(F.filter(r0, lambda x: x == 1)).alias("n_flagged"))
+                       F.when(r0.isNull(), F.lit(0)).otherwise(F.size(F.filter(r0, lambda x: x == 1))).alias("n_flagged"))
+
+
+@register("json_array_roundtrip", "SELECT conv_id, turn, role, text FROM conversations")
+def json_array_roundtrip(spark, sf_dir):
+    """Files of one JSON array each, written with a bounded number of records
+    per file and read back as one table."""
+    path = scratch_path(spark, "jsonarray")
+    W.write_json_array(table(spark, sf_dir, "conversations"), path, "conv_id", rows_per_file=1000)
+    back = R.read_json_array(spark, path, "conv_id bigint, turn bigint, role string, text string")
+    return back.select("conv_id", "turn", "role", "text")
 
 
 @register("feature_store_roundtrip", f"""

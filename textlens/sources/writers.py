@@ -55,6 +55,18 @@ def write_json_map(df: DataFrame, path: str, key_col: str, rows_per_file: int =
            .partitionBy("_b").text(path)
 
 
+def write_json_array(df: DataFrame, path: str, key_col: str, rows_per_file: int = 10000) -> None:
+    """Files each holding one JSON array of records.  Rows are spread over
+    ceil(n / rows_per_file) hash buckets of the whole row, so a file holds a
+    bounded number of records even if one key has many."""
+    n = df.count()
+    buckets = max(1, math.ceil(n / rows_per_file))
+    grouped = df.withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.lit(buckets))) \
+                .groupBy("_b").agg(F.sort_array(F.collect_list(F.struct(key_col, *[c for c in df.columns if c != key_col]))).alias("a"))
+    grouped.select("_b", F.to_json("a").alias("value")).write.mode("overwrite") \
+           .partitionBy("_b").text(path)
+
+
 def corpus_fingerprint(df: DataFrame, cols: list[str]) -> str:
     """Row count and order-free hash sum of the given columns: a cache key
     that changes when the corpus changes."""
