@@ -9,13 +9,15 @@ that holds a special string, goes through the library whole.
 
 from __future__ import annotations
 
+import json
 import threading
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
-#: Entries that a worker's cache holds; it starts anew when full.
+#: Entries that a worker's cache takes; the frequent ones come early, so it then stays as it is.
 CACHE_ENTRIES = 400_000
 #: Longer pre-tokens (in characters) are encoded but not kept.
 CACHE_CHARS = 64
@@ -41,6 +43,27 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_level_encoding(path: str) -> tiktoken.Encoding | None:
+    """The same vocabulary for the faster encoder, if the file is plain
+    byte-level BPE whose merges are in the order of their ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (model.get("type") == "BPE" and not model.get("byte_fallback") and not model.get("ignore_merges")
+             and spec.get("normalizer") is None and cut.get("type") == "ByteLevel"
+             and cut.get("use_regex", True) and not cut.get("add_prefix_space"))
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    ids = [model["vocab"].get(a + b) for a, b in merges]
+    if not plain or ids != list(range(256, 256 + len(ids))):
+        return None
+    # byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(own)]
+    letters = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(ids)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class PreTokenCache:
     """Values of pre-tokens, computed once per worker while the cache lasts.
 
@@ -49,6 +72,7 @@ class PreTokenCache:
 
     def __init__(self, path: str, of_ids, first: dict | None = None):
         self.tokenizer = tokenizer(path)
+        self.fast = byte_level_encoding(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.of_ids = of_ids
         self.first = first or {}
@@ -74,14 +98,17 @@ class PreTokenCache:
             misses = {p for p in rest if p not in kept}
             if any(not p or p[0].isspace() for p in misses):
                 return [self.whole(text)]
-            fresh = {p: self._encode(" " + p) for p in misses}
+            encode = self._encode
+            fresh = {p: encode(" " + p) for p in misses}
             found = [kept[p] if p in kept else fresh[p] for p in rest]
-            if len(kept) + len(fresh) > CACHE_ENTRIES:
-                self.kept = kept = dict(self.first)
-            kept.update((p, v) for p, v in fresh.items() if len(p) <= CACHE_CHARS)
+            if len(kept) < CACHE_ENTRIES:
+                kept.update((p, v) for p, v in fresh.items() if len(p) <= CACHE_CHARS)
         return ([self._encode(head)] if head else []) + found
 
     def _encode(self, piece: str):
+        # beyond Latin letters the libraries' character classes may differ by Unicode version
+        if self.fast is not None and (piece.isascii() or max(piece) < "\u0250"):
+            return self.of_ids(self.fast.encode_ordinary(piece))
         return self.of_ids(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
 
