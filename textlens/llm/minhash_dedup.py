@@ -8,8 +8,9 @@ within five standard errors of the threshold are confirmed on the full sets.
 
 Documents with the same words are one class with one signature, so copies
 cost nothing beyond a count.  In a band the members are first compared with
-the smallest one; members that end up in one component need no further
-comparison, and in bands that still hold several components each member
+one hub; members that end up in its component need no further comparison, the
+others meet another hub of the band's largest component, and so on while that
+finds links.  In bands that then still hold several components each member
 outside the largest is compared with all others, in blocks.  No links are lost
 and a large group of near copies costs about as many comparisons as members.
 
@@ -38,8 +39,13 @@ BITS = 4
 BAND_ROWS = 4
 BANDS = MINIMA // BAND_ROWS
 LANES = MINIMA * BITS // 64
+#: Members that meet in blocks are estimated by a second, longer signature.
+LONG_MINIMA = 1024
+LONG_BITS = 2
 #: Standard errors below the threshold at which an estimate still is a candidate.
 MARGIN = 5
+#: Turns in which a band's members meet one hub; what is left then meets in blocks.
+ROUNDS = 2
 #: Rows of a block in which members of a band meet.
 BLOCK = 1024
 #: At most so many row ids (8 bytes each) are broadcast; beyond it the join shuffles.
@@ -48,8 +54,8 @@ BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 16
 
 _rng = np.random.default_rng(20)
-_MULTIPLY = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_XOR = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
+_MULTIPLY = _rng.integers(0, 1 << 32, MINIMA + LONG_MINIMA, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, MINIMA + LONG_MINIMA, dtype=np.uint64).astype(np.uint32)
 _SIG = [f"s{i}" for i in range(LANES)]
 
 
@@ -75,10 +81,10 @@ def shingles(text: bytes) -> tuple[np.ndarray, bytes]:
     return np.unique(np.array(hashes, dtype=np.uint64)), xxhash.xxh3_128_digest(joined)
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """MINIMA x documents: the least value of each hash function over each set
-    (sets must not be empty)."""
-    out = np.empty((MINIMA, len(sets)), np.uint32)
+def minima(sets: list[np.ndarray], functions: range = range(MINIMA)) -> np.ndarray:
+    """Functions x documents: the least value of each hash function over each
+    set (sets must not be empty)."""
+    out = np.empty((len(functions), len(sets)), np.uint32)
     at = 0
     while at < len(sets):
         upto, size = at, 0
@@ -88,8 +94,8 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
         flat = np.concatenate(sets[at:upto])
         flat = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[at:upto]])[:-1]])
-        for k in range(MINIMA):
-            out[k, at:upto] = np.minimum.reduceat((flat ^ _XOR[k]) * _MULTIPLY[k], starts)
+        for k, f in enumerate(functions):
+            out[k, at:upto] = np.minimum.reduceat((flat ^ _XOR[f]) * _MULTIPLY[f], starts)
         at = upto
     return out
 
@@ -100,12 +106,18 @@ def _scramble(v: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint32(16))
 
 
+def packed_bits(mixed: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of each value (functions x documents), packed into longs
+    (documents x lanes)."""
+    low = (mixed & np.uint32((1 << bits) - 1)).astype(np.uint64).T
+    low = low.reshape(len(low), -1, 64 // bits)
+    return np.bitwise_or.reduce(low << np.arange(0, 64, bits, dtype=np.uint64), axis=2)
+
+
 def signatures(mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed low bits (documents x LANES) and band keys (documents x BANDS)."""
     mixed = _scramble(mins)
-    low = (mixed & np.uint32((1 << BITS) - 1)).astype(np.uint64).T.reshape(-1, LANES, 64 // BITS)
-    shifts = np.arange(0, 64, BITS, dtype=np.uint64)
-    packed = np.bitwise_or.reduce(low << shifts, axis=2)
+    packed = packed_bits(mixed, BITS)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) * np.ones_like(mins[:1], np.uint64)
     for row in range(BAND_ROWS):
         keys = (keys ^ mixed.reshape(BANDS, BAND_ROWS, -1)[:, row].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
@@ -113,11 +125,11 @@ def signatures(mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed, np.ascontiguousarray(keys.T)
 
 
-def least_estimate(similarity: int = SIMILARITY) -> int:
+def least_estimate(similarity: int = SIMILARITY, values: int = MINIMA, bits: int = BITS) -> int:
     """The least number of equal b-bit values at which a pair is a candidate."""
-    s, chance = similarity / 100, 1 / (1 << BITS)
+    s, chance = similarity / 100, 1 / (1 << bits)
     equal = chance + (1 - chance) * s
-    return int(np.floor(MINIMA * equal - MARGIN * np.sqrt(MINIMA * equal * (1 - equal))))
+    return int(np.floor(values * equal - MARGIN * np.sqrt(values * equal * (1 - equal))))
 
 
 def estimated_similarity(equal):
@@ -126,12 +138,14 @@ def estimated_similarity(equal):
     return (equal / MINIMA - chance) / (1 - chance)
 
 
-def _equal_values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal 4-bit values of packed signatures, by bit counts."""
+def _equal_values(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Equal b-bit values (b 2 or 4) of packed signatures, by bit counts."""
     x = a ^ b
-    x |= x >> np.uint64(2)
+    if bits == 4:
+        x |= x >> np.uint64(2)
     x |= x >> np.uint64(1)
-    return MINIMA - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
+    ones = np.uint64(0x1111111111111111 if bits == 4 else 0x5555555555555555)
+    return x.shape[-1] * (64 // bits) - np.bitwise_count(x & ones).sum(axis=-1, dtype=np.int64)
 
 
 def _equal_columns(left: str, right: str) -> F.Column:
@@ -172,17 +186,35 @@ def _full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
                                       names=["doc_id", "seq", "shingles"])
 
 
-def _cross_pairs(least: int):
+def _long_signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
+    done = [shingles(t) for t in text_bytes(batch.column("text"))]
+    full = [i for i, (s, _) in enumerate(done) if len(s)]
+    packed = np.zeros((len(done), LONG_MINIMA * LONG_BITS // 64), np.uint64)
+    if full:
+        mins = minima([done[i][0] for i in full], range(MINIMA, MINIMA + LONG_MINIMA))
+        packed[full] = packed_bits(_scramble(mins), LONG_BITS)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), pa.array([d for _, d in done], pa.binary()),
+         pa.array([p.tobytes() for p in packed], pa.binary())], names=["doc_id", "seq", "long_sig"])
+
+
+def _cross_pairs(least: int, long_least: int):
     """Candidate pairs of the rows of each (key, i, j) block, which arrive
-    together: small members (side 0) against all (side 1) of other labels."""
+    together: small members (side 0) against all (side 1) of other labels.  A
+    pair is looked at in the first band that it shares."""
     def block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         sig = np.stack([np.asarray(rows.column(c)).view(np.uint64) for c in _SIG], axis=1)
+        wide = lambda c: np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint64).reshape(len(sig), -1)
+        long_sig, bands = wide("long_sig"), wide("band_bytes")
         node, label, side = (np.asarray(rows.column(c)) for c in ("node", "label", "side"))
+        key = np.asarray(rows.column("key")).view(np.uint64)[0]
         small, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = []
         for i in small:
             j = every[label[every] != label[i]]
             j = j[_equal_values(sig[j], sig[i]) >= least]
+            j = j[_equal_values(long_sig[j], long_sig[i], LONG_BITS) >= long_least]
+            j = j[bands[j, np.argmax(bands[j] == bands[i], axis=1)] == key]
             found.append((np.full(len(j), node[i]), node[j]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -249,44 +281,21 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     least = least_estimate(similarity)
     sig = nodes.select("node", *_SIG)
-    stars = members.where("node <> hub").select("hub", "node").distinct().alias("p")
-    near = (stars.join(sig.alias("x"), F.col("p.node") == F.col("x.node"))
-            .join(sig.alias("y"), F.col("p.hub") == F.col("y.node"))
-            .where(_equal_columns("x", "y") >= least)
-            .select(F.col("p.hub").alias("a"), F.col("p.node").alias("b")))
-    near = stored(near, "near-stars")
-    links = stored(_confirmed(near, _sets_of(docs, nodes, near), similarity), "near-links")
-    labels = connected_components(links)
-
-    # bands that still hold several components
-    own = F.coalesce("label", "node")
-    labelled = members.join(labels, "node", "left").select("key", "node", own.alias("label"))
-    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    whole, first = Window.partitionBy("key"), Window.partitionBy("key").orderBy(F.col("n").desc(), "label")
-    sizes = (sizes.withColumn("labels", F.count("*").over(whole)).withColumn("all_n", F.sum("n").over(whole))
-             .withColumn("rank", F.row_number().over(first)).where("labels > 1"))
-    open_ = labelled.join(sizes.select("key", "label", "rank", F.col("n").alias("own_n"), "all_n"), ["key", "label"])
-    spread = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK))
-    small_n = F.max(F.when(F.col("rank") == 1, F.col("all_n") - F.col("own_n"))).over(whole)
-    open_ = stored(open_.withColumn("small_n", small_n).join(sig, "node"), "near-open")
-    blocks_small, blocks_all = F.ceil(F.col("small_n") / BLOCK), F.ceil(F.col("all_n") / BLOCK)
-    small = (open_.where("rank > 1").withColumn("side", F.lit(0)).withColumn("i", spread(F.col("small_n")))
-             .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks_all - 1))))
-    every = (open_.withColumn("side", F.lit(1)).withColumn("j", spread(F.col("all_n")))
-             .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), blocks_small - 1))))
-    columns = ["key", "i", "j", "side", "node", "label", *_SIG]
-    met = small.select(columns).unionByName(every.select(columns)).repartition("key", "i", "j")
-    more = (met.sortWithinPartitions("key", "i", "j").mapInArrow(_cross_pairs(least), "a long, b long").distinct())
-    more = stored(more.join(near, ["a", "b"], "left_anti"), "near-cross")
-    late = _confirmed(more, _sets_of(docs, nodes, more), similarity)
-    up = labels.select(F.col("node").alias("n"), "label")
-    for end in ("a", "b"):
-        late = (late.join(up, F.col(end) == F.col("n"), "left")
-                .withColumn(end, F.coalesce("label", end)).select("a", "b"))
-    late = stored(late.where("a <> b"), "near-late")
-    tops = connected_components(late).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    named = nodes.select("node", "seq").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = named.join(tops, "label", "left").select("seq", F.coalesce("top", "label").alias("label"))
+    labels = nodes.select("node", F.col("node").alias("label"))
+    tested = None
+    for turn in range(ROUNDS):
+        # one star a band: its hub against the members that are not in its component
+        near = stored(_estimated(_stars(members, labels, turn), sig, least), "near-stars")
+        tested = near if tested is None else tested.unionByName(near)
+        links = stored(_confirmed(near, _sets_of(docs, nodes, near), similarity), "near-links")
+        if links.limit(1).count() == 0:
+            break
+        labels = _merged(labels, links)
+    cross = _cross(docs, nodes, members, labels, similarity)
+    more = stored(cross.join(tested, ["a", "b"], "left_anti"), "near-cross")
+    links = stored(_confirmed(more, _sets_of(docs, nodes, more), similarity), "near-links")
+    labels = _merged(labels, links)
+    named = nodes.select("node", "seq").join(labels, "node").select("seq", "label")
 
     # row 0 and above are components; documents without words are their own
     rows = signed.select("row_id", "doc_id", "n_shingles", "seq").join(named, "seq", "left")
@@ -296,18 +305,89 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
                                                F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(key, node, label, rank, own_n, all_n)`` of the bands that hold
+    several components; rank 1 is a band's largest."""
+    labelled = members.select("key", "node").join(labels, "node")
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("own_n"))
+    whole, first = Window.partitionBy("key"), Window.partitionBy("key").orderBy(F.col("own_n").desc(), "label")
+    sizes = (sizes.withColumn("labels", F.count("*").over(whole)).withColumn("all_n", F.sum("own_n").over(whole))
+             .withColumn("rank", F.row_number().over(first)).where("labels > 1").drop("labels"))
+    return labelled.join(sizes, ["key", "label"])
+
+
+def _stars(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a band's hub and each member outside the hub's
+    component.  The first hub is the smallest member, later ones are members
+    of the band's largest component, another each turn."""
+    if turn == 0:
+        return members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    rows = stored(_open_members(members, labels).select("key", "node", "rank"), "near-open")
+    pick = F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"))).alias("pick")
+    hubs = rows.where("rank = 1").groupBy("key").agg(pick).select("key", F.col("pick.node").alias("hub"))
+    return (rows.where("rank > 1").join(hubs, "key")
+            .select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+
+
+def _estimated(pairs: DataFrame, sig: DataFrame, least: int) -> DataFrame:
+    """The pairs with at least so many equal values."""
+    return (pairs.alias("p").join(sig.alias("x"), F.col("p.b") == F.col("x.node"))
+            .join(sig.alias("y"), F.col("p.a") == F.col("y.node"))
+            .where(_equal_columns("x", "y") >= least).select("p.a", "p.b"))
+
+
+def _cross(docs: DataFrame, nodes: DataFrame, members: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """Candidate pairs of members of a band in different components: each
+    member outside the largest against all, in blocks, by both signatures."""
+    rows = stored(_open_members(members, labels), "near-open")
+    long_sig = _of_texts(docs, nodes, rows.select("node").distinct(), "long_sig binary", _long_signatures)
+    own = nodes.select("node", *_SIG, F.to_binary(F.array_join(F.transform("bands", _little_endian), ""), F.lit("hex"))
+                       .alias("band_bytes")).join(long_sig, "node")
+    whole = Window.partitionBy("key")
+    small = F.max(F.when(F.col("rank") == 1, F.col("all_n") - F.col("own_n"))).over(whole)
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK) - 1))
+    rows = stored(rows.withColumn("small_n", small).join(own, "node"), "near-blocks")
+    one = rows.where("rank > 1").withColumn("side", F.lit(0)).withColumn("i", spread("small_n")).withColumn("j", upto("all_n"))
+    every = rows.withColumn("side", F.lit(1)).withColumn("j", spread("all_n")).withColumn("i", upto("small_n"))
+    columns = ["key", "i", "j", "side", "node", "label", *_SIG, "long_sig", "band_bytes"]
+    least, long_least = least_estimate(similarity), least_estimate(similarity, LONG_MINIMA, LONG_BITS)
+    met = one.select(columns).unionByName(every.select(columns)).repartition("key", "i", "j")
+    return met.sortWithinPartitions("key", "i", "j").mapInArrow(_cross_pairs(least, long_least), "a long, b long").distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` with the components that ``links`` join made one."""
+    ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+    ends = ends.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    tops = connected_components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    tops = tops.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return stored(labels.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "near-labels")
+
+
+def _little_endian(x) -> F.Column:
+    """16 hex digits of a long's bytes, lowest first."""
+    digits = F.lpad(F.hex(x), 16, "0")
+    return F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)])
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(node, shingles)`` of the nodes in ``pairs``, computed from the texts."""
+    """``(node, shingles)`` of the nodes in ``pairs``."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return _of_texts(docs, nodes, ends, "shingles array<long>", _full_sets)
+
+
+def _of_texts(docs: DataFrame, nodes: DataFrame, ends: DataFrame, column: str, compute) -> DataFrame:
+    """``(node, <column>)`` of the nodes in ``ends``, computed from their texts."""
     wanted = stored(nodes.join(ends, "node", "left_semi").select("node", "doc_id", "seq"), "near-wanted")
     ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
     if wanted.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = map_arrow(texts, "doc_id long, seq binary, shingles array<long>", _full_sets)
-    w, s = wanted.alias("w"), sets.alias("s")
+    made = map_arrow(texts, f"doc_id long, seq binary, {column}", compute)
+    w, s = wanted.alias("w"), made.alias("s")
     met = s.join(w, (F.col("s.seq") == F.col("w.seq")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")))
-    return stored(met.select("node", "shingles").dropDuplicates(["node"]), "near-sets")
+    return stored(met.select("node", column.split()[0]).dropDuplicates(["node"]), "near-texts")
 
 
 def drop_near_copies(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
