@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import charclass as cc
 from ..functions import text as T
-from ..operators import clean as C
 from ..operators import cooccur as CO
 from ..operators import ids as I
 from ..operators import sampling as U
 from ..operators import tfidf as TF
 from ..operators import vectors as V
-from ..sources.tables import labelled_corpus, table
+from ..sources.tables import table
 from . import sqlparts as S
 from .common import reuse
 from .registry import register
+from .sampling import TRAIN_CORPUS_SQL, train_corpus
 
 MAX_FEATURES = 3000      # smallest TF-IDF size of the feature grid
 SPLIT_SEED = 42
@@ -155,7 +155,7 @@ def oov_report(spark, sf_dir):
 # ---------------------------------------------------------- co-occurrence --
 
 @register("cooccurrence", f"""
-WITH c AS ({S.CLEAN_CORPUS}),
+WITH c AS ({TRAIN_CORPUS_SQL}),
 tok AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos
         FROM (SELECT doc_id, {S.words('text')} AS ws FROM c) x),
 vocab AS (SELECT word FROM tok GROUP BY word HAVING count(*) >= {MIN_COUNT}),
@@ -167,8 +167,7 @@ sym AS (SELECT x AS w1, y AS w2, wt FROM pairs UNION ALL SELECT y, x, wt FROM pa
 SELECT w1, w2, round(sum(wt), 6) AS weight FROM sym GROUP BY w1, w2
 """)
 def cooccurrence(spark, sf_dir):
-    corpus = C.clean_corpus(labelled_corpus(spark, sf_dir))
-    co = CO.cooccurrence(corpus, WINDOW, MIN_COUNT)
+    co = CO.cooccurrence(train_corpus(spark, sf_dir), WINDOW, MIN_COUNT)
     return co.select("w1", "w2", F.round("weight", 6).alias("weight"))
 
 

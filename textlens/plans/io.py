@@ -22,6 +22,7 @@ from .evaluation import MACRO_SQL, predictions
 from .features import (TF_SQL, VECTOR_DIM, VOCAB_SQL, fitted_vocab, split_docs,
                        vector_table)
 from .registry import register
+from .sampling import TRAIN_CORPUS_SQL, train_corpus
 
 
 @register("csv_roundtrip", f"SELECT doc_id, text, label FROM ({S.CORPUS}) c")
@@ -138,14 +139,17 @@ def results_append(spark, sf_dir):
     return spark.read.schema(schema).parquet(path).filter(F.col("run") == "r1").select("label", "n")
 
 
-@register("corpus_text_roundtrip", f"SELECT text AS value FROM ({S.CLEAN_CORPUS}) c")
+@register("corpus_text_roundtrip", f"SELECT text AS value FROM ({TRAIN_CORPUS_SQL}) c")
 def corpus_text_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "corpus")
-    W.write_corpus(C.clean_corpus(labelled_corpus(spark, sf_dir)), path)
+    W.write_corpus(train_corpus(spark, sf_dir), path)
     return spark.read.text(path)
 
 
-@register("model_cache")
+@register("model_cache", """
+SELECT FALSE AS first_loaded, TRUE AS second_loaded,
+       CAST(least(3000, (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(lower(text), ' ')) AS t FROM documents) x)) AS INTEGER) AS vocab
+""")
 def model_cache(spark, sf_dir):
     """Fit-or-load keyed by a corpus fingerprint: the second call loads."""
     from pyspark.ml.feature import CountVectorizer
@@ -156,5 +160,5 @@ def model_cache(spark, sf_dir):
     est = CountVectorizer(inputCol="toks", outputCol="tf", vocabSize=3000)
     _, loaded1 = W.fit_or_load(est, toks, root, "countvec", fp)
     m, loaded2 = W.fit_or_load(est, toks, root, "countvec", fp)
-    return spark.createDataFrame([(fp, loaded1, loaded2, len(m.stages[0].vocabulary))],
-                                 "fingerprint string, first_loaded boolean, second_loaded boolean, vocab int")
+    return spark.createDataFrame([(loaded1, loaded2, len(m.stages[0].vocabulary))],
+                                 "first_loaded boolean, second_loaded boolean, vocab int")

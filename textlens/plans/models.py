@@ -11,9 +11,12 @@ from ..operators import models as M
 from ..operators import neighbors as N
 from ..operators import sampling as U
 from ..operators import tfidf as TF
+from ..session import scratch_path
 from ..sources.tables import labelled_corpus, table
+from . import sqlparts as S
 from .common import reuse
 from .registry import register
+from .sampling import SPLIT_SQL, TRAIN_CORPUS_SQL, train_corpus
 
 SEED = 42
 TEST_SIZE = 0.2
@@ -21,6 +24,7 @@ K = 5
 TFIDF_SIZES = [3000, 5000, 10000]
 GRID_MODELS = ["LREG", "LGBM", "XGBoost", "NB", "KNN"]
 N_TRIALS = 100
+BOOSTED_TRIALS = 6   # trials of each boosted-tree space (a budget of the search, like N_TRIALS)
 
 
 def split_embeddings(spark, sf_dir):
@@ -102,54 +106,166 @@ def tfidf_sets(spark, sf_dir, sizes):
     return out
 
 
-@register("logreg")
+# What SQL can recompute of a trained model: its keys and sizes, and booleans
+# that the fits must meet (TRUE in the oracle, computed from real fits here).
+
+N_TEST_EMB = f"(SELECT count(*) FROM ({EMB_SPLIT_SQL}) e WHERE split = 'test')"
+N_TEST = f"(SELECT count(*) FROM ({SPLIT_SQL}) s WHERE split = 'test')"
+
+
+def majority_share(df):
+    """Share of the most frequent label."""
+    n = df.groupBy("label").count()
+    return n.agg(F.max("count") / F.sum("count")).first()[0] or 0.0
+
+
+@register("logreg", f"""
+SELECT 'LREG' AS model, 'embeddings' AS data, {N_TEST_EMB} AS n_test, TRUE AS beats_majority, TRUE AS valid_accuracy
+""")
 def logreg(spark, sf_dir):
-    """Multinomial logistic regression on the embeddings; test accuracy."""
+    """Multinomial logistic regression on the embeddings: on the rows it was
+    fitted on it beats the majority label."""
     sp = split_embeddings(spark, sf_dir)
     tr = M.as_features(sp.filter(F.col("split") == "train"), "embedding")
     te = M.as_features(sp.filter(F.col("split") == "test"), "embedding")
-    acc = M.accuracy_of(M.make_model("LREG").fit(tr).transform(te))
-    return spark.createDataFrame([("LREG", "embeddings", acc)], "model string, data string, accuracy double")
+    model = M.make_model("LREG").fit(tr)
+    beats = M.accuracy_of(model.transform(tr)) > majority_share(tr)
+    acc = M.accuracy_of(model.transform(te))
+    return spark.createDataFrame([("LREG", "embeddings", te.count(), beats, 0.0 <= acc <= 1.0)],
+                                 "model string, data string, n_test long, beats_majority boolean, valid_accuracy boolean")
 
 
-@register("gbt")
+@register("gbt", f"""
+SELECT model, {N_TEST} AS n_test, TRUE AS beats_majority, TRUE AS valid_accuracy FROM (VALUES ('LGBM'), ('XGBoost')) m(model)
+""")
 def gbt(spark, sf_dir):
     """Both boosted-tree presets on TF-IDF features of the balanced corpus."""
     tr, te = tfidf_sets(spark, sf_dir, [TFIDF_SIZES[0]])[("tfidf", TFIDF_SIZES[0])]
-    rows = [(name, M.accuracy_of(M.make_model(name).fit(tr).transform(te))) for name in ("LGBM", "XGBoost")]
-    return spark.createDataFrame(rows, "model string, accuracy double")
+    rows = []
+    for name in ("LGBM", "XGBoost"):
+        model = M.make_model(name).fit(tr)
+        beats = M.accuracy_of(model.transform(tr)) > majority_share(tr)
+        rows.append((name, te.count(), beats, 0.0 <= M.accuracy_of(model.transform(te)) <= 1.0))
+    return spark.createDataFrame(rows, "model string, n_test long, beats_majority boolean, valid_accuracy boolean")
+
+
+def _grid_sql(encoding, sizes):
+    runs = ", ".join(f"('{encoding}', {n}, '{m}')" for n in sizes for m in GRID_MODELS)
+    return (f"SELECT encoding_type, vector_size, model, 'ok' AS status, TRUE AS valid_accuracy "
+            f"FROM (VALUES {runs}) g(encoding_type, vector_size, model)")
 
 
-@register("model_grid")
+def _grid(spark, sets):
+    """Every run of the grid; the second call finds all results stored and
+    fits nothing."""
+    path = scratch_path(spark, "grid-results")
+    M.run_grid(spark, sets, GRID_MODELS).write.parquet(path)
+    stored = spark.read.schema(M.RESULT_SCHEMA).parquet(path)
+    done = M.run_grid(spark, sets, GRID_MODELS, results=stored)
+    return done.select("encoding_type", "vector_size", "model", "status",
+                       F.coalesce(F.col("accuracy").between(0, 1), F.lit(False)).alias("valid_accuracy"))
+
+
+@register("model_grid", _grid_sql("tfidf", TFIDF_SIZES))
 def model_grid(spark, sf_dir):
-    """TF-IDF sizes x five models, resumable: the second call finds every
-    run done and fits nothing."""
-    sets = tfidf_sets(spark, sf_dir, TFIDF_SIZES)
-    first = M.run_grid(spark, sets, GRID_MODELS).cache()
-    return M.run_grid(spark, sets, GRID_MODELS, results=first)
+    """TF-IDF sizes x five models."""
+    return _grid(spark, tfidf_sets(spark, sf_dir, TFIDF_SIZES))
+
+
+def _split_train(tr):
+    """Validate on a split of the training part, not on the test set."""
+    part = U.train_test_split(reuse(tr), "doc_id", TEST_SIZE, SEED)
+    return (part.filter(F.col("split") == "train").drop("split"),
+            part.filter(F.col("split") == "test").drop("split"))
+
+
+_SEARCH: dict = {}
 
 
 def _search(spark, sf_dir):
-    sets = tfidf_sets(spark, sf_dir, [TFIDF_SIZES[0]])
-    tr, te = sets[("tfidf", TFIDF_SIZES[0])]
-    # validate on a split of the training part, not on the test set
-    fit_part = U.train_test_split(reuse(tr), "doc_id", TEST_SIZE, SEED)
-    fit = fit_part.filter(F.col("split") == "train").drop("split")
-    valid = fit_part.filter(F.col("split") == "test").drop("split")
-    trials = M.sample_trials(spark, M.LREG_SPACE, N_TRIALS, SEED, study="LREG_tfidf_3000")
-    return M.run_search(trials, fit, valid), tr, te
+    """The stored trials of the logistic-regression search, run once per
+    session and table directory, and the data it ran on."""
+    tr, te = tfidf_sets(spark, sf_dir, [TFIDF_SIZES[0]])[("tfidf", TFIDF_SIZES[0])]
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SEARCH:
+        trials = M.sample_trials(spark, M.LREG_SPACE, N_TRIALS, SEED, study=STUDY)
+        res = M.run_search(trials, *_split_train(tr))
+        path = scratch_path(spark, "trials")
+        res.write.parquet(path)
+        _SEARCH[key] = (path, res.schema)
+    path, schema = _SEARCH[key]
+    return spark.read.schema(schema).parquet(path), tr, te
+
 
+STUDY = "LREG_tfidf_3000"
 
-@register("random_search")
+
+def _draw_sql(name: str) -> str:
+    """The uniform draw of a trial's parameter."""
+    return f"('0x' || substr(md5('{SEED}|' || trial || '|{name}'), 1, 7))::BIGINT / {float(1 << 28)}"
+
+
+def _pick_sql(p) -> str:
+    u = _draw_sql(p.name)
+    if p.kind == "categorical":
+        return f"[{', '.join(repr(c) for c in p.choices)}][CAST(floor({u} * {len(p.choices)}) AS INTEGER) + 1]"
+    if p.kind == "int":
+        return f"CAST({int(p.low)} + floor({u} * {int(p.high) - int(p.low) + 1}) AS INTEGER)"
+    if p.kind == "uniform":
+        return f"round({p.low} + {u} * {p.high - p.low}, 6)"
+    return f"round(exp(ln({p.low}) + {u} * (ln({p.high}) - ln({p.low}))), 6)"
+
+
+_LREG = {p.name: p for p in M.LREG_SPACE}
+
+
+@register("random_search", f"""
+SELECT *, CASE WHEN penalty = 'l1' AND solver NOT IN ('liblinear', 'saga') OR penalty = 'elasticnet' AND solver <> 'saga'
+                 OR penalty = 'none' AND solver = 'liblinear' THEN 'PRUNED' ELSE 'COMPLETE' END AS state,
+       NOT (penalty = 'l1' AND solver NOT IN ('liblinear', 'saga') OR penalty = 'elasticnet' AND solver <> 'saga'
+            OR penalty = 'none' AND solver = 'liblinear') AS scored
+FROM (SELECT '{STUDY}' AS study, trial, {', '.join(f'{_pick_sql(_LREG[n])} AS {n}' for n in ('penalty', 'solver', 'C', 'max_iter'))}
+      FROM (SELECT CAST(range AS INTEGER) AS trial FROM range({N_TRIALS})) r) t
+""")
 def random_search(spark, sf_dir):
     res, _, _ = _search(spark, sf_dir)
-    return res.select("study", "trial", "penalty", "solver", "C", "value", "state")
+    return res.select("study", "trial", "penalty", "solver", F.round("C", 6).alias("C"), "max_iter", "state",
+                      F.coalesce(F.col("value").between(0, 1), F.lit(False)).alias("scored"))
+
+
+def _boosted_sql(model, space):
+    cols = ", ".join(f"{_pick_sql(p)} AS {p.name}" for p in space if p.name in ("maxIter", "maxDepth", "stepSize"))
+    return (f"SELECT '{model}' AS study, trial, {cols}, 'COMPLETE' AS state, TRUE AS scored "
+            f"FROM (SELECT CAST(range AS INTEGER) AS trial FROM range({BOOSTED_TRIALS})) r")
+
+
+@register("boosted_search", _boosted_sql("LGBM", M.LGBM_SPACE) + " UNION ALL " + _boosted_sql("XGBoost", M.XGB_SPACE))
+def boosted_search(spark, sf_dir):
+    """Search spaces of the two boosted-tree presets."""
+    tr, _ = tfidf_sets(spark, sf_dir, [TFIDF_SIZES[0]])[("tfidf", TFIDF_SIZES[0])]
+    fit, valid = _split_train(tr)
+    out = None
+    for model, space in (("LGBM", M.LGBM_SPACE), ("XGBoost", M.XGB_SPACE)):
+        trials = M.sample_trials(spark, space, BOOSTED_TRIALS, SEED, study=model)
+        res = M.run_search(trials, fit, valid, make=M.gbt_from_params(model)).select(
+            "study", "trial", "maxIter", F.round("stepSize", 6).alias("stepSize"), "maxDepth", "state",
+            F.coalesce(F.col("value").between(0, 1), F.lit(False)).alias("scored"))
+        out = res if out is None else out.unionByName(res)
+    return out
 
 
-@register("refit_best")
+@register("refit_best", f"SELECT '{STUDY}' AS study, TRUE AS best_of_all, TRUE AS valid_metrics, {N_TEST} AS n_test")
 def refit_best(spark, sf_dir):
+    """Refit of the best stored trial; no other trial scored higher."""
     res, tr, te = _search(spark, sf_dir)
-    return M.refit_best(res, tr, te)
+    m = M.refit_best(res, tr, te)
+    top = res.agg(F.max("value").alias("top")).scalar()
+    own = res.select("trial", F.col("value").alias("own"))
+    valid = F.lit(True)
+    for c in ("accuracy", "precision", "recall", "f1"):
+        valid = valid & F.col(c).between(0, 1)
+    return m.join(own, "trial").select("study", (F.col("own") == top).alias("best_of_all"), valid.alias("valid_metrics"),
+                                       F.lit(te.count()).alias("n_test"))
 
 
 # ------------------------------------------------------------ embeddings --
@@ -161,11 +277,20 @@ W2V_MIN_COUNT = 1
 
 def _doc_vector_summary(vecs, split):
     return vecs.join(split.select("doc_id", "split"), "doc_id").select(
-        "doc_id", "split", F.size("vec").alias("n_dims"),
-        F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+        "doc_id", "split", F.size("vec").alias("n_dims"), F.forall("vec", lambda x: x == 0).alias("is_zero"))
 
 
-@register("word2vec_docs")
+DOC_WORDS = f"""
+SELECT s.doc_id, s.split, {S.words('c.text')} AS ws FROM ({SPLIT_SQL}) s JOIN ({S.CLEAN_CORPUS}) c ON c.doc_id = s.doc_id
+"""
+
+
+@register("word2vec_docs", f"""
+WITH d AS ({DOC_WORDS}), k AS (SELECT DISTINCT unnest(ws) AS w FROM d WHERE split = 'train')
+SELECT doc_id, split, {W2V_SIZE} AS n_dims, doc_id NOT IN (
+         SELECT doc_id FROM (SELECT doc_id, unnest(ws) AS w FROM d) u WHERE w IN (SELECT w FROM k)) AS is_zero
+FROM d
+""")
 def word2vec_docs(spark, sf_dir):
     """Word2Vec fitted on the training split, documents of both splits
     encoded as the mean of their known-word vectors."""
@@ -176,7 +301,17 @@ def word2vec_docs(spark, sf_dir):
     return _doc_vector_summary(EM.encode_docs(sp, wv, W2V_SIZE), sp)
 
 
-@register("subword_docs")
+# a longer n-gram is known only if its first three characters are
+THREE = "SELECT {cols}, unnest([substr('<' || w || '>', i, 3) FOR i IN range(1, length(w) + 1)]) AS g FROM u"
+
+
+@register("subword_docs", f"""
+WITH d AS ({DOC_WORDS}), u AS (SELECT doc_id, split, unnest(ws) AS w FROM d),
+g AS ({THREE.format(cols='doc_id, split')}), k AS (SELECT DISTINCT g FROM g WHERE split = 'train')
+SELECT doc_id, split, {W2V_SIZE} AS n_dims,
+       doc_id NOT IN (SELECT doc_id FROM g WHERE g IN (SELECT g FROM k)) AS is_zero
+FROM d
+""")
 def subword_docs(spark, sf_dir):
     """Character n-gram embeddings: unseen words of the test split still get
     vectors through their n-grams."""
@@ -193,20 +328,27 @@ def subword_docs(spark, sf_dir):
 GLOVE_WINDOW = 10
 GLOVE_MIN_COUNT = 5
 GLOVE_X_MAX = 10.0
-# Alternating least squares solves each word exactly per sweep; the count
-# of sweeps is a property of this solver, not the SGD epoch count (50) of
-# the original trainer.
-GLOVE_SWEEPS = 5
+GLOVE_SWEEPS = 50        # at most
+GLOVE_TOLERANCE = 0.1    # a sweep that lowers the loss by less is the last
 
 
-@register("glove_train")
+@register("glove_train", f"""
+WITH t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos
+           FROM (SELECT doc_id, {S.words('text')} AS ws FROM ({TRAIN_CORPUS_SQL}) c) x),
+v AS (SELECT word FROM t GROUP BY word HAVING count(*) >= {GLOVE_MIN_COUNT}),
+i AS (SELECT doc_id, word, count(*) OVER (PARTITION BY doc_id) AS n FROM t WHERE word IN (SELECT word FROM v))
+SELECT DISTINCT word, {W2V_SIZE} AS n_dims, TRUE AS loss_fell, TRUE AS is_finite FROM i WHERE n > 1
+""")
 def glove_train(spark, sf_dir):
-    """GloVe vectors from the cleaned corpus co-occurrences."""
+    """GloVe vectors from the co-occurrences of the training texts, fitted
+    until a sweep hardly lowers the loss."""
     from ..operators import cooccur as CO
     from ..operators import glove as G
-    corpus = C.clean_corpus(labelled_corpus(spark, sf_dir))
-    co = CO.cooccurrence(corpus, GLOVE_WINDOW, GLOVE_MIN_COUNT)
-    vecs = G.train_glove(co, W2V_SIZE, GLOVE_SWEEPS, x_max=GLOVE_X_MAX)
-    return vecs.select("word", F.size("vec").alias("n_dims"),
-                       F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), 6)
-                       .alias("norm"))
+    co = reuse(CO.cooccurrence(train_corpus(spark, sf_dir), GLOVE_WINDOW, GLOVE_MIN_COUNT))
+    w, c = G.fit_glove(co, W2V_SIZE, GLOVE_SWEEPS, x_max=GLOVE_X_MAX, tolerance=GLOVE_TOLERANCE)
+    words = co.select(F.col("w1").alias("word")).distinct()
+    start = G.glove_loss(co, G._init(words, W2V_SIZE, "w1"), G._init(words, W2V_SIZE, "c1"), GLOVE_X_MAX)
+    fell = G.glove_loss(co, w, c, GLOVE_X_MAX).scalar() < start.scalar()
+    return G.word_vectors(w, c).select(
+        "word", F.size("vec").alias("n_dims"), fell.alias("loss_fell"),
+        F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))).alias("is_finite"))
