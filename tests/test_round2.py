@@ -117,3 +117,10 @@ def test_shared_folder_is_required_beyond_local_mode(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_mean_vectors_by_matrix_and_by_join_agree(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "zz"), (3, None), (4, "b")], "doc_id long, text string")
+    vecs = spark.createDataFrame([("a", [1.0, 0.25]), ("b", [0.5, 2.0])], "word string, vec array<double>")
+    wide, joined = (sorted(map(tuple, V.mean_vectors(docs, vecs, 2, max_broadcast_bytes=n).collect())) for n in (1 << 20, 0))
+    assert wide == joined == [(1, [2.5 / 3, 2.5 / 3]), (2, [0.0, 0.0]), (3, [0.0, 0.0]), (4, [0.5, 2.0])]

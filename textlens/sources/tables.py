@@ -11,10 +11,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+# Session setting: partitions that tables of few row groups are spread over
+# after reading.  Unset (the default) leaves the scan's own partitions, which
+# is right for inputs of many files.
+INPUT_PARTITIONS = "spark.textlens.inputPartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    n = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n), df.columns[0]) if n and name in ("documents", "pages", "conversations") else df
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str, label: str = "toxic") -> DataFrame:
