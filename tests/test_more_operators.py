@@ -105,7 +105,7 @@ def test_knn_blocked_equals_single_block(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     train, test = df.filter("vec_id < 45"), df.filter("vec_id >= 45")
     one = {r["vec_id"]: r["prediction"] for r in knn_predict(test, train, 5).collect()}
-    many = {r["vec_id"]: r["prediction"] for r in knn_predict(test, train, 5, max_block_bytes=200).collect()}
+    many = {r["vec_id"]: r["prediction"] for r in knn_predict(test, train, 5, block_rows=4).collect()}
     assert one == many and len(one) == 15
 
 
