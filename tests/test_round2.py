@@ -124,3 +124,10 @@ def test_mean_vectors_by_matrix_and_by_join_agree(spark):
     vecs = spark.createDataFrame([("a", [1.0, 0.25]), ("b", [0.5, 2.0])], "word string, vec array<double>")
     wide, joined = (sorted(map(tuple, V.mean_vectors(docs, vecs, 2, max_broadcast_bytes=n).collect())) for n in (1 << 20, 0))
     assert wide == joined == [(1, [2.5 / 3, 2.5 / 3]), (2, [0.0, 0.0]), (3, [0.0, 0.0]), (4, [0.5, 2.0])]
+
+
+def test_contractions_between_punctuation_and_with_typographic_apostrophe(spark):
+    from textlens.functions import text as T
+    df = spark.createDataFrame([("\"don't\" ('it’s) isn't. o'x '' can't",)], "t string")
+    got = df.select(T.expand_contractions("t", {"don't": "do not", "it's": "it is", "isn't": "is not", "can't": "cannot"})).first()[0]
+    assert got == "\"do not\" ('it is) is not. o'x '' cannot"

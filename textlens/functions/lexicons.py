@@ -52,7 +52,7 @@ FUSED_FORMS = {
 
 # --- fixed values: noun suffix rules of the dictionary lemmatizer ---
 NOUN_SUFFIX_RULES = (
-    ("s", ""), ("ses", "s"), ("xes", "x"), ("zes", "z"),
+    ("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"),
     ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"),
 )
 

@@ -88,17 +88,17 @@ def strip_emoji(c, emoji_only: bool = False) -> Column:
 
 
 def expand_contractions(c, mapping: Mapping[str, str]) -> Column:
-    """Replace whole space-separated tokens found in ``mapping``; trailing
-    punctuation of a token is kept after the expansion."""
+    """Replace whole space-separated tokens found in ``mapping``; punctuation
+    around a token (an opening quote, a full stop) is kept around the
+    expansion, and a typographic apostrophe counts as a plain one."""
     if not mapping:
         return _col(c)
     lex = F.create_map(*[F.lit(x) for kv in sorted(mapping.items()) for x in kv])
-    split_re = r"^(.*?)([^\p{L}\p{N}_']*)$"
+    split_re = r"^([^\p{L}\p{N}_]*)(.*?)([^\p{L}\p{N}_']*)$"
 
     def one(w):
-        core = F.regexp_extract(w, split_re, 1)
-        rest = F.regexp_extract(w, split_re, 2)
-        return F.coalesce(F.concat(F.try_element_at(lex, core), rest), w)
+        head, core, rest = (F.regexp_extract(w, split_re, i) for i in (1, 2, 3))
+        return F.coalesce(F.concat(head, F.try_element_at(lex, F.translate(core, "\u2019", "'")), rest), w)
 
     return F.array_join(F.transform(F.split(_col(c), " "), one), " ")
 

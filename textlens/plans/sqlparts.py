@@ -31,11 +31,11 @@ def contractions(x: str) -> str:
     """Token-wise contraction expansion (trailing punctuation kept)."""
     from ..functions.lexicons import CONTRACTIONS
     pairs = ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(CONTRACTIONS.items()))
-    split_re = r"^(.*?)([^\p{L}\p{N}_']*)$"
-    core = f"regexp_extract(w, {q(split_re)}, 1)"
-    rest = f"regexp_extract(w, {q(split_re)}, 2)"
+    split_re = r"^([^\p{L}\p{N}_]*)(.*?)([^\p{L}\p{N}_']*)$"
+    head, core, rest = (f"regexp_extract(w, {q(split_re)}, {i})" for i in (1, 2, 3))
+    core = f"translate({core}, chr(8217), chr(39))"
     return (f"array_to_string(list_transform(string_split({x}, ' '), lambda w: "
-            f"coalesce(MAP {{{pairs}}}[{core}] || {rest}, w)), ' ')")
+            f"coalesce({head} || MAP {{{pairs}}}[{core}] || {rest}, w)), ' ')")
 
 
 def clean(x: str, with_contractions: bool = False) -> str:
