@@ -155,3 +155,12 @@ def stage_funnel(df: DataFrame, config: CleanConfig | None = None, id_col: str =
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select(F.col("step").cast("int"), "stage", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def late_stages(lemmatized: DataFrame, max_words: int, text_col: str = "text") -> DataFrame:
+    """``(step, stage, rows)`` of the last cleaning stages, from texts after
+    tokenizing and lemmas: distinct texts, and those of at most ``max_words``
+    words.  One aggregation by text and one over it."""
+    texts = lemmatized.where(F.col(text_col) != "").groupBy(text_col).agg(F.count(F.lit(1)).alias("_n"))
+    counts = texts.agg(F.count(F.lit(1)).alias("a"), F.count_if(T.word_count(text_col) <= max_words).alias("b"))
+    return counts.selectExpr("stack(2, 6, 'dedupe_lemmas', a, 7, 'max_words', b) AS (step, stage, rows)")

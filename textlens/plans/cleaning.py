@@ -218,7 +218,7 @@ def _rules_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-@register("lemmatize_lexicon", f"""
+LEMMATIZED_SQL = f"""
 WITH c AS (SELECT doc_id, {_fused_sql('text')} AS toks FROM ({S.CLEAN_CORPUS}) x),
 t AS (SELECT doc_id, unnest(toks) AS form, unnest(range(len(toks))) AS pos FROM c),
 forms AS (SELECT DISTINCT form FROM t),
@@ -229,7 +229,10 @@ best AS (SELECT form, cand FROM (
            FROM cands WHERE cand IN (SELECT word FROM known)) r WHERE rk = 1)
 SELECT t.doc_id, string_agg(coalesce(best.cand, t.form), ' ' ORDER BY t.pos) AS text
 FROM t LEFT JOIN best ON t.form = best.form GROUP BY t.doc_id
-""")
+"""
+
+
+@register("lemmatize_lexicon", LEMMATIZED_SQL)
 def lemmatize_lexicon(spark, sf_dir):
     """Tokenize the cleaned corpus, then map nouns to their lemma; known
     nouns are the corpus words seen at least five times."""
@@ -283,3 +286,17 @@ def clean_corpus_full(spark, sf_dir):
     # and collapse those that became equal (no second cleaning pass)
     full = keep_first(C.apply_lemmas(tokenized, lemmas, "doc_id", "text"), "text", "doc_id")
     return full.select("doc_id", "label", "text")
+
+
+FUNNEL_MAX_WORDS = 64
+
+
+@register("late_funnel", f"""
+WITH l AS ({LEMMATIZED_SQL})
+SELECT 6 AS step, 'dedupe_lemmas' AS stage, count(DISTINCT text) AS rows FROM l WHERE text <> ''
+UNION ALL SELECT 7, 'max_words', count(DISTINCT text) FROM l WHERE text <> '' AND {S.word_count('text')} <= {FUNNEL_MAX_WORDS}
+""")
+def late_funnel(spark, sf_dir):
+    """Rows left after tokenizing, lemmas and their dedupe, and after the
+    length filter: the stages that follow those of ``stage_funnel``."""
+    return C.late_stages(lemmatize_lexicon(spark, sf_dir), FUNNEL_MAX_WORDS)
