@@ -4,6 +4,7 @@ and invariants."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
@@ -12,6 +13,7 @@ from ..operators import neighbors as N
 from ..operators import sampling as U
 from ..operators import tfidf as TF
 from ..session import scratch_path
+from ..sources import writers as W
 from ..sources.tables import labelled_corpus, table
 from . import sqlparts as S
 from .common import reuse
@@ -172,6 +174,49 @@ def model_grid(spark, sf_dir):
     return _grid(spark, tfidf_sets(spark, sf_dir, TFIDF_SIZES))
 
 
+DENSE_SIZES = [300, 500, 1000]
+
+
+def dense_sets(spark, sf_dir, encoding, sizes, encode):
+    """(train, test) per size from the feature store: ``encode(split, size)``
+    gives ``(doc_id, vec)``; the vectors of all sizes are stored once by
+    encoding, size and split, and read back by partition."""
+    sp = balanced_split(spark, sf_dir)
+    root = scratch_path(spark, "feature-store")
+    for n in sizes:
+        rows = encode(sp, n).join(sp.select("doc_id", "label", "split"), "doc_id")
+        rows = rows.withColumn("encoding", F.lit(encoding)).withColumn("vector_size", F.lit(n))
+        W.write_partitioned(rows, root, ["encoding", "vector_size", "split"], mode="append")
+    out = {}
+    for n in sizes:
+        back = spark.read.parquet(root).where((F.col("encoding") == encoding) & (F.col("vector_size") == n))
+        side = lambda name: reuse(back.where(F.col("split") == name).select(
+            "doc_id", array_to_vector("vec").alias("features"), F.col("label").cast("double")))
+        out[(encoding, n)] = (side("train"), side("test"))
+    return out
+
+
+@register("model_grid_word2vec", _grid_sql("word2vec", DENSE_SIZES))
+def model_grid_word2vec(spark, sf_dir):
+    """Word2Vec document vectors of three sizes x five models."""
+    from ..operators import embeddings as EM
+
+    def encode(sp, n):
+        train = sp.filter(F.col("split") == "train")
+        return EM.encode_docs(sp, reuse(EM.train_word2vec(train, n, W2V_WINDOW, W2V_MIN_COUNT)), n)
+    return _grid(spark, dense_sets(spark, sf_dir, "word2vec", DENSE_SIZES, encode))
+
+
+@register("model_grid_subword", _grid_sql("subword", DENSE_SIZES))
+def model_grid_subword(spark, sf_dir):
+    """Subword document vectors of three sizes x five models."""
+    from ..operators import embeddings as EM
+
+    def encode(sp, n):
+        return EM.encode_docs(sp, reuse(_subword_vectors(sp, n)), n)
+    return _grid(spark, dense_sets(spark, sf_dir, "subword", DENSE_SIZES, encode))
+
+
 def _split_train(tr):
     """Validate on a split of the training part, not on the test set."""
     part = U.train_test_split(reuse(tr), "doc_id", TEST_SIZE, SEED)
@@ -301,6 +346,16 @@ def word2vec_docs(spark, sf_dir):
     return _doc_vector_summary(EM.encode_docs(sp, wv, W2V_SIZE), sp)
 
 
+def _subword_vectors(sp, size):
+    """``(word, vec)`` of all words of the split, n-grams trained on its training part."""
+    from ..functions import text as T
+    from ..operators import embeddings as EM
+    train = sp.filter(F.col("split") == "train")
+    grams = reuse(EM.train_subword(train, size, W2V_WINDOW, W2V_MIN_COUNT))
+    words = sp.select(F.explode(T.words("text")).alias("word")).distinct()
+    return EM.subword_word_vectors(words, grams, size)
+
+
 # a longer n-gram is known only if its first three characters are
 THREE = "SELECT {cols}, unnest([substr('<' || w || '>', i, 3) FOR i IN range(1, length(w) + 1)]) AS g FROM u"
 
@@ -317,11 +372,7 @@ def subword_docs(spark, sf_dir):
     vectors through their n-grams."""
     from ..operators import embeddings as EM
     sp = balanced_split(spark, sf_dir)
-    grams = reuse(EM.train_subword(sp.filter(F.col("split") == "train"), W2V_SIZE, W2V_WINDOW,
-                                   W2V_MIN_COUNT))
-    from ..functions import text as T
-    words = sp.select(F.explode(T.words("text")).alias("word")).distinct()
-    wv = EM.subword_word_vectors(words, grams, W2V_SIZE)
+    wv = _subword_vectors(sp, W2V_SIZE)
     return _doc_vector_summary(EM.encode_docs(sp, wv, W2V_SIZE), sp)
 
 
