@@ -310,7 +310,7 @@ def refit_best(spark, sf_dir):
     for c in ("accuracy", "precision", "recall", "f1"):
         valid = valid & F.col(c).between(0, 1)
     return m.join(own, "trial").select("study", (F.col("own") == top).alias("best_of_all"), valid.alias("valid_metrics"),
-                                       F.lit(te.count()).alias("n_test"))
+                                       F.lit(te.count()).cast("long").alias("n_test"))
 
 
 # ------------------------------------------------------------ embeddings --
