@@ -45,16 +45,19 @@ def test_exact_groups(documents):
 
 
 def test_exact_groups_without_broadcast(documents, monkeypatch):
-    want = sorted(map(repr, ex.exact_groups(documents(EXACT)).drop("row_id").collect()))
+    want = sorted(map(repr, ex.exact_groups(documents(EXACT)).drop("row_key").collect()))
     monkeypatch.setattr(ex, "BROADCAST_ROWS", -1)
-    assert sorted(map(repr, ex.exact_groups(documents(EXACT)).drop("row_id").collect())) == want
+    assert sorted(map(repr, ex.exact_groups(documents(EXACT)).drop("row_key").collect())) == want
 
 
 def test_drop_exact_copies_keeps_columns(documents):
-    docs = documents(EXACT).withColumn("kept", F.lit("own column")).withColumn("fp", F.lit(1))
+    docs = documents(EXACT)
+    for clash in ("kept", "fp", "row_key", "row_id", "key", "id", "row", "sha"):
+        docs = docs.withColumn(clash, F.lit("own column"))
     out = ex.drop_exact_copies(docs)
     assert out.dtypes == docs.dtypes
     assert sorted(r.doc_id for r in out.collect() if r.doc_id) == [2, 3, 6, 7, 8, 9, 11, 13]
+    assert {r.row_key for r in out.collect()} == {"own column"}
     assert out.count() == 9
 
 

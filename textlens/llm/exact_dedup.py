@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_arrow, stored, text_bytes
+from .common import LOWER, map_arrow, row_key, staying_rows, stored, text_bytes
 
 #: Fingerprints that one quotient range of the merged filter holds on average.
 RANGE_SLOTS = 400_000
@@ -104,9 +104,9 @@ def _signed(values: list[int]) -> pa.Array:
 def _narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
     texts = _normalised(batch)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), batch.column("row_id"), _signed([_fingerprint(t) for t in texts]),
-         pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())],
-        names=["doc_id", "row_id", "fp", "sha"])
+        [batch.column("doc_id"), batch.column("row_id"), batch.column("row_key"),
+         _signed([_fingerprint(t) for t in texts]), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())],
+        names=["doc_id", "row_id", "row_key", "fp", "sha"])
 
 
 def _with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -159,14 +159,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty.  The row with the largest ``doc_id`` of a group stays (a null id is
     smaller than any; of repeated rows with that id, one stays).  Returns
-    ``row_id, doc_id, keep_id, group_size, kept, text_sha256``; an empty table
-    gives no rows.  ``row_id`` is the input's column of that name (a unique
-    long), else numbered here.  Other columns are ignored.
+    ``row_key`` (see ``common``), ``doc_id, keep_id, group_size, kept,
+    text_sha256``; an empty table gives no rows.  Other columns are ignored.
     """
-    if "row_id" not in docs.columns:
-        docs = docs.withColumn("row_id", F.monotonically_increasing_id())
-    docs = docs.select("doc_id", "row_id", "text")
-    narrow = stored(map_arrow(docs, "doc_id long, row_id long, fp long, sha binary", _narrow), "exact-narrow")
+    docs = docs.select("doc_id", "text")
+    numbered = docs.withColumn("row_id", F.monotonically_increasing_id()).withColumn("row_key", row_key())
+    narrow = stored(map_arrow(numbered, "doc_id long, row_id long, row_key long, fp long, sha binary", _narrow), "exact-narrow")
     repeated = stored(repeated_fingerprints(narrow, narrow.count()), "exact-repeated")
     keys = repeated.select("fp")
     if repeated.count() <= BROADCAST_ROWS:
@@ -183,7 +181,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     rows = rows.join(ties, (rows.sha == ties.tie_sha) & rows.doc_id.eqNullSafe(ties.tie_id), "left")
     single = F.col("group_size").isNull()
     return rows.select(
-        "row_id", "doc_id",
+        "row_key", "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (single | (F.col("doc_id").eqNullSafe(F.col("keep_id"))
@@ -193,7 +191,4 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    held = stored(docs.select(row, F.monotonically_increasing_id().alias("row_id")), "exact-docs")
-    groups = exact_groups(held.select("row_id", "row.doc_id", "row.text"))
-    return held.join(groups.where("kept").select("row_id"), "row_id", "left_semi").select("row.*")
+    return staying_rows(docs, exact_groups(docs).select("row_key", "doc_id", F.col("kept").alias("stays")))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_partitions, map_arrow, text_bytes
+from .common import default_partitions, map_arrow, slices, small_batches, text_bytes
 from .tokens import ids_bytes, vocabulary_path, worker_cache
 
 SEQUENCE_TOKENS = 2048
@@ -164,7 +164,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENC
             columns = list(zip(*rows)) if rows else [()] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches, job):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 packer.add(doc, b"".join(cache.values(text.as_py() or "")) + end, out)
@@ -173,4 +173,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENC
         packer.finish(out)
         yield table(out)
 
-    return along.mapInArrow(run, schema)
+    return small_batches(along).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_arrow, stored, text_bytes
+from .common import LOWER, map_arrow, row_key, small_batches, staying_rows, stored, text_bytes
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -172,9 +172,9 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed[full], keys[full] = signatures(minima([done[i][0] for i in full]))
     bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), _signed(keys.ravel()))
     return pa.RecordBatch.from_arrays(
-        [batch.column("row_id"), batch.column("doc_id"), pa.array([len(s) for s, _ in done], pa.int64()),
+        [batch.column("row_id"), batch.column("row_key"), batch.column("doc_id"), pa.array([len(s) for s, _ in done], pa.int64()),
          pa.array([d for _, d in done], pa.binary()), *[_signed(packed[:, i]) for i in range(LANES)], bands],
-        names=["row_id", "doc_id", "n_shingles", "seq", *_SIG, "bands"])
+        names=["row_id", "row_key", "doc_id", "n_shingles", "seq", *_SIG, "bands"])
 
 
 def _full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -253,23 +253,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """``row_id, doc_id, n_shingles, label, component_id, kept`` of each row of
-    ``docs(doc_id, text)``.
+    """``row_id, row_key, doc_id, n_shingles, label, component_id, kept`` of each
+    row of ``docs(doc_id, text)``.
 
-    ``label`` names the component by one of its row_ids.
+    ``row_id`` numbers the rows in this run, ``label`` names the component by
+    one of them, ``row_key`` is that of ``common``.
     ``component_id`` is the smallest doc_id reachable over links, ``kept``
     tells whether the row has it (of repeated rows, all that have it).  Null
     texts count as empty; documents without words have no shingles and no
     links.  A null doc_id is never a component's id unless all its ids are
     null.  An empty table gives no rows; other columns are ignored.
-    ``row_id`` as in ``exact_groups``.
     """
-    if "row_id" not in docs.columns:
-        docs = docs.withColumn("row_id", F.monotonically_increasing_id())
-    docs = docs.select("row_id", "doc_id", "text")
-    schema = ("row_id long, doc_id long, n_shingles long, seq binary, "
+    docs = docs.select("doc_id", "text")
+    numbered = docs.withColumn("row_id", F.monotonically_increasing_id()).withColumn("row_key", row_key())
+    schema = ("row_id long, row_key long, doc_id long, n_shingles long, seq binary, "
               + "".join(f"{c} long, " for c in _SIG) + "bands array<long>")
-    signed = stored(map_arrow(docs, schema, _sign), "near-signatures")
+    signed = stored(map_arrow(numbered, schema, _sign), "near-signatures")
     # one node per word sequence, named by its smallest row_id
     classes = signed.where("n_shingles > 0").groupBy("seq").agg(F.min("row_id").alias("node"))
     classes = stored(classes, "near-classes")
@@ -298,10 +297,10 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     named = nodes.select("node", "seq").join(labels, "node").select("seq", "label")
 
     # row 0 and above are components; documents without words are their own
-    rows = signed.select("row_id", "doc_id", "n_shingles", "seq").join(named, "seq", "left")
+    rows = signed.select("row_id", "row_key", "doc_id", "n_shingles", "seq").join(named, "seq", "left")
     rows = stored(rows.withColumn("label", F.coalesce("label", "row_id")).drop("seq"), "near-rows")
     least_id = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least_id, "label").select("row_id", "doc_id", "n_shingles", "label", "component_id",
+    return rows.join(least_id, "label").select("row_id", "row_key", "doc_id", "n_shingles", "label", "component_id",
                                                F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -341,8 +340,8 @@ def _cross(docs: DataFrame, nodes: DataFrame, members: DataFrame, labels: DataFr
     member outside the largest against all, in blocks, by both signatures."""
     rows = stored(_open_members(members, labels), "near-open")
     long_sig = _of_texts(docs, nodes, rows.select("node").distinct(), "long_sig binary", _long_signatures)
-    own = nodes.select("node", *_SIG, F.to_binary(F.array_join(F.transform("bands", _little_endian), ""), F.lit("hex"))
-                       .alias("band_bytes")).join(long_sig, "node")
+    band_bytes = F.to_binary(F.array_join(F.transform("bands", _little_endian), ""), F.lit("hex"))
+    own = nodes.join(long_sig, "node").select("node", *_SIG, band_bytes.alias("band_bytes"), "long_sig")
     whole = Window.partitionBy("key")
     small = F.max(F.when(F.col("rank") == 1, F.col("all_n") - F.col("own_n"))).over(whole)
     spread = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK))
@@ -353,7 +352,7 @@ def _cross(docs: DataFrame, nodes: DataFrame, members: DataFrame, labels: DataFr
     columns = ["key", "i", "j", "side", "node", "label", *_SIG, "long_sig", "band_bytes"]
     least, long_least = least_estimate(similarity), least_estimate(similarity, LONG_MINIMA, LONG_BITS)
     met = one.select(columns).unionByName(every.select(columns)).repartition("key", "i", "j")
-    return met.sortWithinPartitions("key", "i", "j").mapInArrow(_cross_pairs(least, long_least), "a long, b long").distinct()
+    return small_batches(met.sortWithinPartitions("key", "i", "j")).mapInArrow(_cross_pairs(least, long_least), "a long, b long").distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -393,8 +392,7 @@ def _of_texts(docs: DataFrame, nodes: DataFrame, ends: DataFrame, column: str, c
 def drop_near_copies(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component, all columns kept: the one with
     the smallest doc_id (of repeated rows with it, one)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    held = stored(docs.select(row, F.monotonically_increasing_id().alias("row_id")), "near-docs")
-    found = near_duplicates(held.select("row_id", "row.doc_id", "row.text"), similarity)
-    stay = found.where("kept").groupBy("label").agg(F.min("row_id").alias("row_id"))
-    return held.join(stay.select("row_id"), "row_id", "left_semi").select("row.*")
+    found = stored(near_duplicates(docs, similarity).where("n_shingles > 0"), "near-found")
+    stay = found.where("kept").groupBy("label").agg(F.min("row_id").alias("stay_id"))
+    decided = found.join(stay, "label").select("row_key", "doc_id", (F.col("row_id") == F.col("stay_id")).alias("stays"))
+    return staying_rows(docs, decided)

@@ -169,7 +169,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS) -> tup
     words`` (a run of the document's words).  Size is the number of words;
     documents without words (null or empty texts) are in no piece.  A null
     source is a source of its own.  Repeated rows are documents of their own.
-    An empty table gives no rows.  ``row_id`` as in ``exact_groups``.
+    An empty table gives no rows.  ``row_id`` is the input's column of that
+    name (a unique long), else numbered here.
     """
     if "row_id" not in docs.columns:
         docs = docs.withColumn("row_id", F.monotonically_increasing_id())

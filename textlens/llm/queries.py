@@ -43,7 +43,7 @@ def op6_two_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_quotient_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row_id")
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 @_query

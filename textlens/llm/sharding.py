@@ -131,10 +131,14 @@ def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
     """Writes ``docs``, all columns kept, with one folder ``shard=<name>`` for
-    each shard; each shard is one task's file."""
+    each shard; each shard is one task's file.  Where ``docs`` has a column
+    named shard, underscores are added to the folders' key."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     held = stored(docs.select(row, F.monotonically_increasing_id().alias("row_id")), "shard-input")
     shards = shard_documents(held.select("row_id", "row.doc_id", "row.text"), limit)
-    name = F.concat_ws("-", F.col("depth"), F.col("prefix"), F.col("page")).alias("shard")
-    out = held.join(shards.select("row_id", name), "row_id").select("row.*", "shard")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    key = "shard"
+    while key in docs.columns:
+        key += "_"
+    name = F.concat_ws("-", F.col("depth"), F.col("prefix"), F.col("page")).alias(key)
+    out = held.join(shards.select("row_id", name), "row_id").select("row.*", key)
+    out.repartition(key).write.partitionBy(key).parquet(path)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
 from .tokens import CACHE_CHARS, tokenizer, vocabulary_path, worker_cache
 
 #: Entries of the broadcast table, and about how many rows it is chosen from.
@@ -67,7 +68,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache(key, path, len, shared.value)
-        for batch in batches:
+        for batch in slices(batches, key):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             counts = [sum(cache.values(t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -75,4 +76,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = TOKEN_LI
                  pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

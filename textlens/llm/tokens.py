@@ -10,44 +10,36 @@ that holds a special string, goes through the library whole.
 from __future__ import annotations
 
 import json
-import threading
 
 import numpy as np
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
+from .common import worker_state
+
 #: Entries that a worker's cache takes; the frequent ones come early, so it then stays as it is.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Longer pre-tokens (in characters) are encoded but not kept.
 CACHE_CHARS = 64
 VOCABULARY = "byte_bpe_50k.json"
 
-_local = threading.local()
-
 
 def tokenizer(path: str) -> Tokenizer:
-    """The tokenizer of a file, loaded once per worker."""
-    held = getattr(_local, "tokenizers", None)
-    if held is None:
-        held = _local.tokenizers = {}
-    if path not in held:
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        held[path] = t
-    return held[path]
+    """The tokenizer of a file, without truncation and padding."""
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_level_encoding(path: str) -> tiktoken.Encoding | None:
-    """The same vocabulary for the faster encoder, if the file is plain
-    byte-level BPE whose merges are in the order of their ids."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def byte_level_encoding(spec: dict) -> tiktoken.Encoding | None:
+    """The same vocabulary for the faster encoder, if a tokenizer file's
+    content is plain byte-level BPE whose merges are in the order of their ids."""
     model, cut = spec["model"], spec.get("pre_tokenizer") or {}
     plain = (model.get("type") == "BPE" and not model.get("byte_fallback") and not model.get("ignore_merges")
              and spec.get("normalizer") is None and cut.get("type") == "ByteLevel"
@@ -71,15 +63,24 @@ class PreTokenCache:
     of known values (the broadcast tier)."""
 
     def __init__(self, path: str, of_ids, first: dict | None = None):
-        self.tokenizer = tokenizer(path)
-        self.fast = byte_level_encoding(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.path, self._library = path, None
+        self.fast = byte_level_encoding(spec)
+        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.of_ids = of_ids
         self.first = first or {}
         self.kept: dict = dict(self.first)
 
+    @property
+    def library(self) -> Tokenizer:
+        """The tokenizer itself, loaded when a text first needs it."""
+        if self._library is None:
+            self._library = tokenizer(self.path)
+        return self._library
+
     def whole(self, text: str):
-        return self.of_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.of_ids(self.library.encode(text, add_special_tokens=False).ids)
 
     def values(self, text: str) -> list:
         """The values of a text's pre-tokens, in order."""
@@ -109,7 +110,7 @@ class PreTokenCache:
         # beyond Latin letters the libraries' character classes may differ by Unicode version
         if self.fast is not None and (piece.isascii() or max(piece) < "\u0250"):
             return self.of_ids(self.fast.encode_ordinary(piece))
-        return self.of_ids(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        return self.of_ids(self.library.encode(piece, add_special_tokens=False).ids)
 
 
 def ids_bytes(ids: list[int]) -> bytes:
@@ -118,10 +119,4 @@ def ids_bytes(ids: list[int]) -> bytes:
 
 def worker_cache(key: str, path: str, of_ids, first: dict | None = None) -> PreTokenCache:
     """A worker's cache for the job named ``key``, kept between its tasks."""
-    held = getattr(_local, "caches", None)
-    if held is None:
-        held = _local.caches = {}
-    if (key, path) not in held:
-        held.clear()
-        held[key, path] = PreTokenCache(path, of_ids, first)
-    return held[key, path]
+    return worker_state(key, lambda: PreTokenCache(path, of_ids, first))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import stored
+from .common import slices, small_batches, stored
 
 GRAMS = (4, 5)
 HASH_BITS = 20
@@ -88,7 +88,7 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with each gram by fold and label: each task adds up its own."""
     counts = np.zeros((4, 1 << HASH_BITS), np.int32)
-    for batch in batches:
+    for batch in slices(batches):
         for text, fold, label in zip(_texts(batch), batch.column("fold").to_pylist(), batch.column("label").to_pylist()):
             counts[2 * fold + label, np.unique(gram_hashes(text))] += 1
     gram = np.flatnonzero(counts.sum(axis=0))
@@ -117,7 +117,7 @@ def _regression(rows: DataFrame, grams: np.ndarray, ratios: np.ndarray) -> Model
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for batch in batches:
+        for batch in slices(batches):
             at = [np.unique(table[gram_hashes(t)]).astype(np.int32) for t in _texts(batch)]
             at = [a[a >= 0] for a in at]
             yield pa.RecordBatch.from_arrays(
@@ -134,7 +134,7 @@ def _margins(rows: DataFrame, model: Model) -> list[tuple[float, int]]:
     """(margin, label) of each row; rows are the bounded sample."""
     def run(batches):
         table = model.table()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([model.margin(t, table) for t in _texts(batch)], pa.float64()),
                                               batch.column("label")], names=["margin", "label"])
     return [(r.margin, r.label) for r in rows.mapInArrow(run, "margin double, label int").collect()]
@@ -169,7 +169,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> M
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
     parts = max(2, min(16, spark.sparkContext.defaultParallelism))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = stored(rows.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "text"), "toxic-sample")
+    rows = stored(small_batches(rows).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "text"), "toxic-sample")
     n = {(r.fold, r.label): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
     n = {(f, y): n.get((f, y), 0) for f in (0, 1) for y in (0, 1)}
     everything = sum(n.values())
@@ -204,13 +204,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         table = held.table()
-        for batch in batches:
+        for batch in slices(batches):
             scores = held.score(np.array([held.margin(t, table) for t in _texts(batch)], np.float64))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(scores, pa.float64())],
                                              names=[*names, "score"])
 
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return small_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
