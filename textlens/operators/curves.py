@@ -63,9 +63,11 @@ def every_nth(steps: DataFrame, divisor: int = 10, group_cols=("model", "kind"))
 
 
 def best_checkpoint(eval_steps: DataFrame, loss_col: str = "eval_loss") -> DataFrame:
-    """Step with the lowest eval loss per model (ties: earliest step)."""
-    best = eval_steps.groupBy("model").agg(F.min(loss_col).alias(loss_col))  # one row per model
-    return (eval_steps.join(best, ["model", loss_col]).groupBy("model", loss_col)
+    """Step with the lowest eval loss per model (ties: earliest step).  A
+    model without any loss gives its earliest step and null."""
+    best = eval_steps.groupBy(F.col("model").alias("_model")).agg(F.min(loss_col).alias("_best"))  # one row per model
+    on = F.col("model").eqNullSafe(F.col("_model")) & F.col(loss_col).eqNullSafe(F.col("_best"))
+    return (eval_steps.join(best, on, "left_semi").groupBy("model", loss_col)
             .agg(F.min("step").alias("step")).select("model", "step", loss_col))
 
 
