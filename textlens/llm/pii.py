@@ -4,11 +4,13 @@ The base rules find e-mail addresses, IP addresses, card and phone numbers.
 Looser generators propose further, overlapping spans: numbers that stand next
 to other numbers (which the base rules read as one and drop), phone numbers
 without a plus, e-mail addresses in disguise, addresses without a dot, IPv6.
-Gradient-boosted trees score each proposal from its format and context; they
-are fitted on proposals of a bounded sample of documents, of which those that
-meet a base span are positive.  For each kind the lowest score that reaches a
-precision on rows set aside becomes the threshold.  Proposals above it that
-meet no base span are added.
+Gradient-boosted trees score each proposal from its format and context.  A
+proposal's label is whether its own body and context are valid (checksum, part
+ranges, a well-formed address, a word nearby), whatever the base rules found.
+The trees are fitted on a bounded sample for each generator out of all
+documents, and for each generator the lowest score that reaches a precision
+over the proposals of all documents becomes the threshold.  Proposals above it
+that meet no base span are added.
 
 Fitting is Spark ML; the fitted trees become CASE expressions, so scoring is
 a map over the documents without a shuffle.
@@ -20,21 +22,21 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, with_once
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents whose proposals are considered for fitting (about), and proposals fitted on, at most.
-SAMPLE_DOCUMENTS = 40_000
+#: Different proposals fitted on, about, for each generator.
 FIT_ROWS = 20_000
 TREES = 12
 DEPTH = 4
-#: Precision that a kind's threshold reaches on the rows set aside, and rows above it that it needs.
+#: Precision that a generator's threshold reaches, and proposals that it takes to set one.
 PRECISION = 0.9
 LEAST_ROWS = 10
+#: The threshold of generators with fewer proposals.
+RARE_THRESHOLD = 0.5
 #: The trees' sums here and in Spark ML differ by rounding.
 ROUNDING = 1e-9
 #: Characters of context before a span.
@@ -67,7 +69,9 @@ GENERATORS = (
 )
 #: Words of context that a feature counts.
 CONTEXT_WORDS = "(?i)mail|contact|phone|tel|call|fax|mobile|card|visa|credit|pay|addr|server|host|ip"
-FEATURES = ("kind", "length", "digits", "letters", "marks", "groups", "checksum", "parts", "first_digit",
+#: Words before an address without a dot that tell it is one.
+MAIL_WORDS = "(?i)mail|contact|address|write|login"
+FEATURES = ("generator", "kind", "form", "mail", "length", "digits", "letters", "marks", "groups", "checksum", "parts", "first_digit",
             "plus", "bracket", "dots", "last_group", "context")
 
 _SPAN = "struct<kind:int,start:int,end:int,body:string>"
@@ -135,6 +139,31 @@ def with_base_spans(df: DataFrame) -> DataFrame:
     return with_once(df, base=F.concat(*parts)).drop(*[f"_{kind}" for kind in KINDS])
 
 
+# Well-formed bodies; letters of any script, and addresses in disguise as they are meant.
+_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
+_ADDRESS = rf"^[\p{{L}}\p{{N}}_%+'-]+(?:\.[\p{{L}}\p{{N}}_%+'-]+)*@{_LABEL}"
+_DOTTED = rf"{_ADDRESS}(?:\.{_LABEL})*\.\p{{L}}[\p{{L}}\p{{N}}-]+$"
+_DOTLESS = rf"{_ADDRESS}$"
+_IPV6 = r"^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}$"
+_NATIONAL = r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[.-][0-9]{4}$"
+
+
+def _form(s: Column) -> Column:
+    """Whether a proposal's body is well-formed: 1, an address without a dot: 0.5, no: 0."""
+    body = s["body"]
+    plain = F.regexp_replace(F.regexp_replace(body, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?(?:[(\[]dot[)\]]|\.)\x20?", ".")
+    email = F.when(plain.rlike(_DOTTED), 1.0).when(plain.rlike(_DOTLESS), 0.5).otherwise(0.0)
+    valid = (F.when(s["kind"] == KINDS.index("ip"), F.when(body.contains(":"), body.rlike(_IPV6)).otherwise(_valid("ip", body)))
+             .when(s["kind"] == KINDS.index("card"), _valid("card", body))
+             .otherwise(_valid("phone", body) & (body.startswith("+") | body.rlike(_NATIONAL))))
+    return F.when(s["kind"] == KINDS.index("email"), email).otherwise(F.coalesce(valid, F.lit(False)).cast("double"))
+
+
+def _is_private(c: Column) -> Column:
+    """A proposal's label: its form is valid; an address without a dot needs a word before it."""
+    return (c["form"] == 1.0) | ((c["form"] == 0.5) & (c["mail"] > 0))
+
+
 def _features(s: Column) -> Column:
     """A proposal's place and features."""
     body = s["body"]
@@ -143,7 +172,8 @@ def _features(s: Column) -> Column:
     groups = F.split(body, "[^0-9A-Za-z]+")
     yes = lambda c: c.cast("double")
     number = {
-        "kind": s["kind"], "length": F.length(body), "digits": F.length(digits),
+        "generator": s["generator"], "kind": s["kind"], "form": _form(s), "mail": yes(before.rlike(MAIL_WORDS)),
+        "length": F.length(body), "digits": F.length(digits),
         "letters": F.length(F.regexp_replace(body, "[^A-Za-z]", "")),
         "marks": F.length(F.regexp_replace(body, "[0-9A-Za-z]", "")), "groups": F.size(groups),
         "checksum": yes(F.coalesce(F.length(digits).between(13, 19) & F.call_function("luhn_check", digits), F.lit(False))),
@@ -153,7 +183,7 @@ def _features(s: Column) -> Column:
         "dots": F.length(body) - F.length(F.translate(body, ".", "")),
         "last_group": F.length(F.element_at(groups, -1)), "context": F.size(F.regexp_extract_all(before, F.lit(CONTEXT_WORDS), F.lit(0))),
     }
-    return F.struct(s["kind"].alias("kind_id"), s["start"].alias("start"), s["end"].alias("end"),
+    return F.struct(s["kind"].alias("kind_id"), s["generator"].alias("generator_id"), s["start"].alias("start"), s["end"].alias("end"),
                     *[number[f].cast("double").alias(f) for f in FEATURES])
 
 
@@ -166,13 +196,18 @@ def with_proposals(df: DataFrame) -> DataFrame:
     names = [f"_g{i}" for i in range(len(GENERATORS))]
     for name, (kind, pattern, hint, hint_re) in zip(names, GENERATORS):
         df = _with_spans(df, name, KINDS.index(kind), pattern, hint, hint_re)
-    df = with_once(df, _all=F.concat(*names)).drop(*names)
+
+    def marked(i: int):
+        return lambda s: F.struct(s["kind"].alias("kind"), F.lit(i).alias("generator"), s["start"].alias("start"),
+                                  s["end"].alias("end"), s["body"].alias("body"))
+
+    df = with_once(df, _all=F.concat(*[F.transform(name, marked(i)) for i, name in enumerate(names)])).drop(*names)
     return with_once(df, proposals=F.transform("_all", _features)).drop("_all")
 
 
 @dataclass
 class Booster:
-    """Fitted trees as expressions over a proposal, and each kind's threshold."""
+    """Fitted trees as expressions over a proposal, and each generator's threshold."""
     trees: list
     thresholds: dict
 
@@ -184,8 +219,8 @@ class Booster:
 
     def accepted(self, p: Column) -> Column:
         ok = F.lit(False)
-        for kind, least in self.thresholds.items():
-            ok = ok | ((p["kind_id"] == kind) & (p["p"] >= least))
+        for generator, least in self.thresholds.items():
+            ok = ok | ((p["generator_id"] == generator) & (p["p"] >= least))
         return ok
 
 
@@ -204,43 +239,56 @@ def _tree_value(tree, row: Column) -> Column:
     return F.when(row[FEATURES[feature]] <= at, _tree_value(left, row)).otherwise(_tree_value(right, row))
 
 
-def fit_booster(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, fit_rows: int = FIT_ROWS) -> Booster:
-    """Trees and thresholds from the proposals of a bounded sample of ``docs``.
+def fit_booster(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Booster:
+    """Trees and thresholds from the proposals of all ``docs``.
 
-    Three quarters of the sample fit the trees, a quarter sets the thresholds;
-    a kind that does not reach the precision there adds nothing.
+    Proposals of equal features count as one in fitting, so a hot source does
+    not crowd out others, and generators weigh the same.  The thresholds count
+    every proposal.
     """
-    n = docs.count()
-    every = max(1, n // sample_documents)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     rows = (with_proposals(with_base_spans(sample.where(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"))))
-            .select("doc_id", "base", F.explode("proposals").alias("c")))
-    label = F.exists("base", lambda b: (b["kind"] == F.col("c.kind_id")) & _meets(b, F.col("c")))
-    rows = rows.select("doc_id", "c.*", label.cast("double").alias("label"))
-    rows = rows.orderBy(F.xxhash64("doc_id", "start"), "doc_id", "start", "end", "kind_id").limit(fit_rows)
-    rows = stored(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-                  .select("doc_id", "kind_id", "label", "features"), "pii-sample")
-    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(4)) == 0
-    fitted = rows.where(~aside | F.col("doc_id").isNull())
-    if fitted.select("label").distinct().count() < 2:
+            .select("base", F.explode("proposals").alias("c")))
+    open_ = ~F.exists("base", lambda b: _meets(b, F.col("c")))
+    # few columns of small numbers: a row for each combination that occurs
+    forms = stored(rows.select("c.generator_id", *[f"c.{f}" for f in FEATURES], _is_private(F.col("c")).cast("double").alias("label"), open_.alias("open"))
+                   .groupBy("generator_id", "label", "open", *FEATURES).agg(F.count("*").alias("n")), "pii-forms")
+    different = {r.generator_id: r.k for r in forms.groupBy("generator_id").agg(F.count("*").alias("k")).collect()}
+    labels = {r.label for r in forms.select("label").distinct().collect()}
+    if not labels:
         return Booster([], {})
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1).fit(fitted)
-    seen = model.transform(rows.where(aside)).select("kind_id", "label", vector_to_array("probability")[1].alias("p"))
-    trees = [(float(w), _tree_of(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
-    return Booster(trees, _thresholds(seen))
+    if len(labels) < 2:
+        trees = [(1.0, 1.0 if labels == {1.0} else -1.0)]
+    else:
+        share = weight = F.lit(1.0)
+        for g, k in different.items():
+            share = F.when(F.col("generator_id") == g, min(1.0, fit_rows / k)).otherwise(share)
+            weight = F.when(F.col("generator_id") == g, 1000.0 / min(k, fit_rows)).otherwise(weight)
+        drawn = F.pmod(F.xxhash64(*FEATURES, "open"), F.lit(1_000_000)) < share * 1_000_000
+        fitted = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(forms.where(drawn).withColumn("weight", weight))
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, weightCol="weight").fit(fitted.select("label", "weight", "features"))
+        trees = [(float(w), _tree_of(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
+    booster = Booster(trees, {})
+    score = booster.probability(F.struct(*FEATURES))
+    booster.thresholds = _thresholds(forms.where("open").select("generator_id", "label", "n", score.alias("p")))
+    return booster
 
 
 def _thresholds(seen: DataFrame) -> dict[int, float]:
-    """For each kind the lowest score from which on the precision is reached."""
-    found: dict[int, float] = {}
-    # scores are sums of a few leaves, so a kind has few distinct ones
-    by_score = seen.groupBy("kind_id", "p").agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
-    for r in by_score.groupBy("kind_id").agg(F.sort_array(F.collect_list(F.struct("p", "n", "hits")), False).alias("s")).collect():
+    """For each generator the lowest score from which on the precision is
+    reached; RARE_THRESHOLD where there are too few proposals to tell."""
+    found: dict[int, float] = {g: RARE_THRESHOLD for g in range(len(GENERATORS))}
+    # scores are sums of a few leaves, so a generator has few distinct ones
+    by_score = seen.groupBy("generator_id", "p").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("hits"))
+    for r in by_score.groupBy("generator_id").agg(F.sort_array(F.collect_list(F.struct("p", "n", "hits")), False).alias("s")).collect():
+        if sum(k for _, k, _ in r.s) < LEAST_ROWS:
+            continue
         n = hits = 0
+        del found[r.generator_id]
         for p, k, h in r.s:
             n, hits = n + k, hits + h
-            if n >= LEAST_ROWS and hits >= PRECISION * n:
-                found[r.kind_id] = p - ROUNDING
+            if hits >= PRECISION * n:
+                found[r.generator_id] = p - ROUNDING
     return found
 
 
@@ -263,10 +311,11 @@ def find_private(docs: DataFrame, booster: Booster | None = None) -> DataFrame:
         return found.select("doc_id", base, F.transform("base", place).alias("added")).withColumn("added", F.filter("added", lambda s: F.lit(False)))
     found = with_proposals(found)
     scored = F.transform("proposals", lambda c: F.struct(
-        c["kind_id"].alias("kind_id"), c["start"].alias("start"), c["end"].alias("end"), booster.probability(c).alias("p")))
+        c["kind_id"].alias("kind_id"), c["generator_id"].alias("generator_id"), c["start"].alias("start"), c["end"].alias("end"), booster.probability(c).alias("p")))
     found = with_once(found, scored=scored).drop("text", "proposals")
-    found = with_once(found, likely=F.array_distinct(F.filter("scored", lambda c: booster.accepted(c) & ~F.exists(
-        "base", lambda b: _meets(b, c)))))
+    likely = F.filter("scored", lambda c: booster.accepted(c) & ~F.exists("base", lambda b: _meets(b, c)))
+    # generators may propose the same span
+    found = with_once(found, likely=F.array_distinct(F.transform(likely, lambda c: c.dropFields("generator_id"))))
 
     def better(o: Column, c: Column) -> Column:
         """o meets c in its kind and goes first."""
