@@ -16,6 +16,7 @@ minimum, so only windows around such shingles are hashed; nothing is lost.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ SHINGLE_WORDS = 5
 CONTAINMENT = 75
 #: Probability that a window which holds them shares no band.
 MISS = 1e-6
-#: Length classes of templates, in words; a window is 1.5 times as long and
-#: windows start every half length.
+#: Length classes of templates, in words, doubled further as far as longer
+#: templates need; a window is 1.5 times as long and windows start every half
+#: length.
 CLASSES = (8, 16, 32, 64)
 
 # Short passages by which licenses are commonly stated.
@@ -69,7 +71,7 @@ def window_step(length: int) -> int:
 def least_similarity(length: int, containment: int = CONTAINMENT) -> float:
     """The least Jaccard similarity of a template of a class and a full window
     that holds ``containment`` percent of it."""
-    shortest = 5 if length == CLASSES[0] else CLASSES[CLASSES.index(length) - 1] + 1
+    shortest = 5 if length == CLASSES[0] else length // 2 + 1
     whole = window_words(length) - SHINGLE_WORDS + 1
     sizes = range(shortest - SHINGLE_WORDS + 1, length - SHINGLE_WORDS + 2)
     return min((need := math.ceil(containment * m / 100)) / (whole + m - need) for m in sizes)
@@ -110,16 +112,29 @@ def band_keys(hashes: Column, length: Column | int, bands: int) -> Column:
     return F.transform(band, lambda b: F.xxhash64(F.lit(length), b, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b)))))
 
 
+def length_classes(templates) -> tuple[int, ...]:
+    """CLASSES, doubled as far as the longest template.
+
+    A template without a shingle could not be found and raises."""
+    sizes = [len(re.findall("[A-Za-z0-9]+", text)) for _, text in templates]
+    if short := [i for i, n in enumerate(sizes) if n < SHINGLE_WORDS]:
+        raise ValueError(f"templates of under {SHINGLE_WORDS} words: {short}")
+    classes = list(CLASSES)
+    while classes[-1] < max(sizes, default=0):
+        classes.append(2 * classes[-1])
+    return tuple(classes)
+
+
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """``(template, license, length, shingles, hashes)`` of the templates."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)],
                                  "template int, license string, text string")
     words = words_of(F.col("text"))
     length = F.lit(None).cast("int")
-    for c in reversed(CLASSES):
+    for c in reversed(length_classes(templates)):
         length = F.when(F.size("words") <= c, F.lit(c)).otherwise(length)
     rows = rows.withColumn("words", words).withColumn("length", length)
-    return rows.where(F.col("length").isNotNull() & (F.size("words") >= SHINGLE_WORDS)).select(
+    return rows.select(
         "template", "license", "length", shingle_texts(F.col("words")).alias("shingles"),
         shingle_hashes(F.col("words")).alias("hashes"))
 
@@ -129,7 +144,8 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, containment: int = CON
     each template of which a window of ``docs(doc_id, text)`` holds at least
     ``containment`` percent of the shingles.
 
-    ``template`` is the place in ``templates`` (passages of 5 to 64 words),
+    ``template`` is the place in ``templates`` (passages of 5 words or more;
+    shorter ones raise),
     ``shared`` the shingles in the best window, ``first_word`` where the
     first such window starts.  Texts without a match, null or empty ones and
     those under five words give no rows; rows that repeat a doc_id count as
