@@ -6,6 +6,7 @@ from .licenses import CLASSES, CONTAINMENT, TEMPLATES, window_step, window_words
 from .minhash_dedup import SIMILARITY
 from .mixing import WEIGHTS
 from .sharding import ADDRESS_BITS, SHARD_BYTES
+from .spelling import CHECKSUM_STEP, FORM_RATIO, MIN_CHARS, MIN_COUNT
 from .topk_search import QUERY_STEP, SCALE, TOP
 
 # A-Z only: DuckDB's lower() would change other letters too
@@ -129,3 +130,108 @@ SELECT doc_id, license, template, shared, template_shingles, first_word FROM b W
 
 
 ORACLES["op10_license_scan"] = _licenses()
+
+# crc32 of a text: a table of 256 remainders, then one step for each byte
+_CRC_TABLE = """
+crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                          lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i))"""
+
+
+def _crc32(text: str) -> str:
+    """The checksum of a text, in a query that reads ``crc_table`` as ``ct``."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
+            "lambda c, b: xor(c >> 8, ct.t[xor(c & 255, b) + 1])))")
+
+
+ORACLES["op12_trie_pair_spelling"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+checked AS (SELECT run, n, {_crc32("coalesce(doc_id::VARCHAR, 'null') || ':' || run")} AS h FROM own, crc_table AS ct),
+kept AS (
+  SELECT CASE WHEN h % {CHECKSUM_STEP} = 0
+              THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+  FROM checked),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= {MIN_CHARS} GROUP BY word HAVING sum(n) >= {MIN_COUNT}),
+cut AS (
+  SELECT DISTINCT word, n, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM w, unnest(range(0, length(word))) AS p(i)),
+near AS (
+  SELECT DISTINCT x.word, y.word AS other, y.n AS other_n
+  FROM cut AS x JOIN cut AS y ON x.a = y.a AND x.b = y.b AND x.word <> y.word AND length(x.word) = length(y.word)
+  UNION
+  SELECT x.word, w.word, w.n FROM cut AS x JOIN w ON w.word = x.a || x.b
+  UNION
+  SELECT w.word, x.word, x.n FROM cut AS x JOIN w ON w.word = x.a || x.b),
+best AS (
+  SELECT word, count(*)::BIGINT AS n_near, max(other_n) AS top_n,
+         list(other ORDER BY other_n DESC, encode(other))[1] AS top FROM near GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+         CASE WHEN top_n >= {FORM_RATIO} * w.n THEN top END AS form, CASE WHEN top_n >= {FORM_RATIO} * w.n THEN top_n END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS at, form AS up FROM f
+  UNION ALL
+  SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.up)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word AND walk.up IS NULL
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+ORACLES["op13_path_copy_manifest"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS changed,
+         {_crc32("doc_id::VARCHAR")} % 7 = 0 AS tampered
+  FROM documents, crc_table AS ct),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id ASC NULLS FIRST, leaf) - 1 AS pos,
+             count(*) OVER (PARTITION BY tree) AS n FROM d),
+low AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS node FROM p
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM low
+  WHERE n > 1 GROUP BY tree, level, n, pos // 2),
+s AS (SELECT tree, level AS height, node AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n
+      FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, pos, n, subroot AS node FROM s
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM high
+  WHERE n > 1 GROUP BY level, n, pos // 2),
+-- all nodes of both kinds, with the level above the leaf at which a row meets them
+nodes AS (
+  SELECT tree, level, pos, node FROM low WHERE n > 1
+  UNION ALL
+  SELECT s.tree, s.height + high.level, high.pos, high.node FROM s, high),
+steps AS (
+  SELECT p.tree, p.pos AS row_pos, g.level,
+         CASE WHEN g.level < s.height THEN p.pos >> g.level ELSE s.pos >> (g.level - s.height) END AS place,
+         s.height + (SELECT max(level) FROM high) AS total
+  FROM p JOIN s ON s.tree = p.tree, LATERAL (SELECT unnest(range(0, s.height + (SELECT max(level) FROM high))) AS level) AS g),
+proofs AS (
+  SELECT steps.tree, row_pos, list({{'l': CASE WHEN place % 2 = 1 THEN coalesce(node, '') ELSE '' END,
+                                     'r': CASE WHEN place % 2 = 0 THEN coalesce(node, '') ELSE '' END}} ORDER BY steps.level) AS proof
+  FROM steps LEFT JOIN nodes ON nodes.tree = steps.tree AND nodes.level = steps.level AND nodes.pos = xor(steps.place, 1)
+  GROUP BY steps.tree, row_pos),
+folds AS (
+  SELECT p.tree, p.pos, coalesce(proof, []) AS proof, 0 AS level, CASE WHEN tampered THEN changed ELSE leaf END AS h
+  FROM p LEFT JOIN proofs ON proofs.tree = p.tree AND proofs.row_pos = p.pos
+  UNION ALL
+  SELECT tree, pos, proof, level + 1, sha256(proof[level + 1].l || h || proof[level + 1].r) FROM folds WHERE level < len(proof)),
+top AS (SELECT node AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root,
+       sha256(coalesce(array_to_string(list_transform(proof, lambda x: x.l || x.r), ''), '')) AS proof_sha256,
+       h AS folded_root, h = root AS verified
+FROM p JOIN s ON s.tree = p.tree JOIN folds ON folds.tree = p.tree AND folds.pos = p.pos AND folds.level = len(folds.proof), top
+"""

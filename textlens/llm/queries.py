@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import (exact_dedup, hilbert_packing, licenses, minhash_dedup, mixing, pii, sharding, token_counts, topk_search,
-               toxicity)
+from . import (bpe, exact_dedup, hilbert_packing, licenses, merkle, minhash_dedup, mixing, pii, sharding, spelling,
+               token_counts, topk_search, toxicity)
 from .oracles import ORACLES as _SQL
 
 QUERIES: dict = {}
@@ -75,3 +75,20 @@ def op9_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_trie_pair_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_path_copy_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.verify_documents(table(spark, sf_dir, "documents"))
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
