@@ -14,6 +14,7 @@ all merges of the minimum rank, as far as the one-at-a-time order would.
 from __future__ import annotations
 
 import base64
+import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -240,35 +241,28 @@ class Splitter:
         return [text[m.start() : m.end()] for m in self.matches(seen)]
 
 
-class _Both(dict):
-    """Lookup in the kept entries, then in the fresh ones."""
-
-    def __init__(self, kept: dict, fresh: dict):
-        super().__init__(fresh)
-        self.kept = kept
-
-    def __missing__(self, piece):
-        return self.kept[piece]
-
-
 class _Worker:
-    """What a worker keeps: the coder, the splitter and ids of pre-tokens."""
+    """What a worker keeps: the coder, the splitter and the ids of pre-tokens (as bytes)."""
 
     def __init__(self, path: str, pattern: str):
         self.coder = BytePairCoder(read_ranks(path))
         self.split = Splitter(pattern)
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text; the pre-tokens not kept are encoded together."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian 32-bit; the pre-tokens not kept are encoded together."""
         pieces = [self.split(t) for t in texts]
         misses = sorted(set(chain.from_iterable(pieces)) - self.kept.keys())
-        fresh = dict(zip(misses, self.coder.encode([m.encode() for m in misses])))
         room = CACHE_ENTRIES - len(self.kept)
-        if room > 0:
-            self.kept.update([(p, ids) for p, ids in fresh.items() if len(p) <= CACHE_CHARS][:room])
-        ids = _Both(self.kept, fresh)
-        return [list(chain.from_iterable(map(ids.__getitem__, p))) for p in pieces]
+        ids = self.coder.encode([m.encode() for m in misses])
+        self.kept.update(zip(misses, [struct.pack(f"<{len(i)}i", *i) for i in ids]))
+        out = [b"".join(map(self.kept.__getitem__, p)) for p in pieces]
+        for piece in misses:
+            if room > 0 and len(piece) <= CACHE_CHARS:
+                room -= 1
+            else:
+                del self.kept[piece]
+        return out
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -285,8 +279,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         for batch in slices(batches, job):
             worker = worker_state(job, lambda: _Worker(path, pattern))
             ids = worker.encode([t.decode("utf-8", "replace") for t in text_bytes(batch.column("text"))])
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, count=int(offsets[-1]))
+            offsets = (np.cumsum([0, *map(len, ids)]) // 4).astype(np.int32)
+            flat = np.frombuffer(b"".join(ids), "<i4")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)],
                                              names=["doc_id", "ids"])
 
