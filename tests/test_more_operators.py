@@ -85,9 +85,10 @@ def test_grid_resume_and_failures(spark):
     rows = [([float(i % 2), float(i)], float(i % 2)) for i in range(20)]
     df = spark.createDataFrame(rows, "vec array<double>, label double")
     ds = {("toy", 2): (M.as_features(df, "vec"), M.as_features(df, "vec"))}
-    first = M.run_grid(spark, ds, ["LREG"])
+    store = M.grid_store(spark, scratch_path(spark, "test-grid"))
+    first = M.run_grid(spark, ds, ["LREG"], store)
     assert [r["status"] for r in first.collect()] == ["ok"]
-    again = M.run_grid(spark, ds, ["LREG"], results=first)
+    again = M.run_grid(spark, ds, ["LREG"], store)
     assert again.count() == 1
 
 

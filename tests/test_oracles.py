@@ -8,7 +8,7 @@ from tests.harness import compare, duck
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
 # many model fits each: too long here, the driver compares them at sf0.01
-MANY_FITS = {"model_grid", "model_grid_word2vec", "model_grid_subword", "boosted_search", "gbt", "glove_train"}
+MANY_FITS = {"model_grid", "model_grid_word2vec", "model_grid_subword", "model_grid_glove", "boosted_search", "gbt", "glove_train", "top_run_search"}
 FITS = MANY_FITS | {"random_search", "refit_best", "word2vec_docs", "subword_docs", "logreg"}
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
-from ..session import scratch_path
 from ..sources.tables import table
 from . import sqlparts as S
+from .common import reuse
 from .registry import register
 
 # (model, threshold, wildcard)
@@ -94,20 +94,9 @@ def token_scores(spark, sf_dir):
     return E.token_metrics(predictions(spark, sf_dir))
 
 
-_MACRO: dict = {}
-
-
 def macro_table(spark, sf_dir):
-    """The per-model table, evaluated once per session and table directory
-    and kept in the shared folder: several queries read these few rows."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MACRO:
-        m = E.macro_metrics(token_scores(spark, sf_dir))
-        path = scratch_path(spark, "macro")
-        m.write.parquet(path)
-        _MACRO[key] = (path, m.schema)
-    path, schema = _MACRO[key]
-    return spark.read.schema(schema).parquet(path)
+    """The per-model table: a few rows, read by several branches of a plan."""
+    return reuse(E.macro_metrics(token_scores(spark, sf_dir)))
 
 
 def _r(c):

@@ -12,7 +12,7 @@ from ..operators import models as M
 from ..operators import neighbors as N
 from ..operators import sampling as U
 from ..operators import tfidf as TF
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import writers as W
 from ..sources.tables import labelled_corpus, table
 from . import sqlparts as S
@@ -26,7 +26,11 @@ K = 5
 TFIDF_SIZES = [3000, 5000, 10000]
 GRID_MODELS = ["LREG", "LGBM", "XGBoost", "NB", "KNN"]
 N_TRIALS = 100
-BOOSTED_TRIALS = 6   # trials of each boosted-tree space (a budget of the search, like N_TRIALS)
+TOP_RUNS = 10
+# The registered boosted-tree search has a small budget: a trial of the full
+# ranges (operators.models, 1,050 iterations on average) takes many minutes.
+BOOSTED_TRIALS = 6
+BOOSTED_BUDGET = {"maxIter": (20, 100), "maxDepth": (2, 6)}
 
 
 def split_embeddings(spark, sf_dir):
@@ -158,12 +162,11 @@ def _grid_sql(encoding, sizes):
 
 
 def _grid(spark, sets):
-    """Every run of the grid; the second call finds all results stored and
-    fits nothing."""
-    path = scratch_path(spark, "grid-results")
-    M.run_grid(spark, sets, GRID_MODELS).write.parquet(path)
-    stored = spark.read.schema(M.RESULT_SCHEMA).parquet(path)
-    done = M.run_grid(spark, sets, GRID_MODELS, results=stored)
+    """Every run of the grid, each stored when it is done; the second call
+    reads the first one's results and fits the rest."""
+    store = M.grid_store(spark, scratch_path(spark, "grid-results"))
+    M.run_grid(spark, sets, GRID_MODELS[:1], store)
+    done = M.run_grid(spark, sets, GRID_MODELS, store)
     return done.select("encoding_type", "vector_size", "model", "status",
                        F.coalesce(F.col("accuracy").between(0, 1), F.lit(False)).alias("valid_accuracy"))
 
@@ -217,6 +220,21 @@ def model_grid_subword(spark, sf_dir):
     return _grid(spark, dense_sets(spark, sf_dir, "subword", DENSE_SIZES, encode))
 
 
+@register("model_grid_glove", _grid_sql("glove", DENSE_SIZES))
+def model_grid_glove(spark, sf_dir):
+    """GloVe document vectors of three sizes x five models; the co-occurrences
+    of the training texts are counted once."""
+    from ..operators import cooccur as CO
+    from ..operators import embeddings as EM
+    from ..operators import glove as G
+    co = reuse(CO.cooccurrence(train_corpus(spark, sf_dir), GLOVE_WINDOW, GLOVE_MIN_COUNT))
+
+    def encode(sp, n):
+        vectors = G.train_glove(co, n, GLOVE_SWEEPS, x_max=GLOVE_X_MAX, tolerance=GLOVE_TOLERANCE)
+        return EM.encode_docs(sp, reuse(vectors), n)
+    return _grid(spark, dense_sets(spark, sf_dir, "glove", DENSE_SIZES, encode))
+
+
 def _split_train(tr):
     """Validate on a split of the training part, not on the test set."""
     part = U.train_test_split(reuse(tr), "doc_id", TEST_SIZE, SEED)
@@ -224,22 +242,19 @@ def _split_train(tr):
             part.filter(F.col("split") == "test").drop("split"))
 
 
-_SEARCH: dict = {}
+def _input_store(spark, sf_dir, make, name):
+    """A store that belongs to the labelled corpus as it is now: a table
+    rewritten in the same place gets another one."""
+    key = W.corpus_fingerprint(labelled_corpus(spark, sf_dir), ["doc_id", "text", "label"])
+    return make(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/textlens/{name}-{key}")
 
 
 def _search(spark, sf_dir):
-    """The stored trials of the logistic-regression search, run once per
-    session and table directory, and the data it ran on."""
+    """The trials of the logistic-regression search and the data it ran on.
+    Trials that an earlier call stored for the same corpus are not fitted again."""
     tr, te = tfidf_sets(spark, sf_dir, [TFIDF_SIZES[0]])[("tfidf", TFIDF_SIZES[0])]
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SEARCH:
-        trials = M.sample_trials(spark, M.LREG_SPACE, N_TRIALS, SEED, study=STUDY)
-        res = M.run_search(trials, *_split_train(tr))
-        path = scratch_path(spark, "trials")
-        res.write.parquet(path)
-        _SEARCH[key] = (path, res.schema)
-    path, schema = _SEARCH[key]
-    return spark.read.schema(schema).parquet(path), tr, te
+    trials = M.sample_trials(spark, M.LREG_SPACE, N_TRIALS, SEED, study=STUDY)
+    return M.run_search(trials, *_split_train(tr), _input_store(spark, sf_dir, M.trial_store, "search")), tr, te
 
 
 STUDY = "LREG_tfidf_3000"
@@ -278,21 +293,56 @@ def random_search(spark, sf_dir):
                       F.coalesce(F.col("value").between(0, 1), F.lit(False)).alias("scored"))
 
 
+TOP_RUN_COLUMNS = ("penalty", "solver", "max_iter")
+
+
+@register("top_run_search", f"""
+SELECT study, 'tfidf' AS encoding_type, vector_size, 'LREG' AS model, trial, penalty, solver, max_iter,
+       CASE WHEN penalty = 'l1' AND solver NOT IN ('liblinear', 'saga') OR penalty = 'elasticnet' AND solver <> 'saga'
+              OR penalty = 'none' AND solver = 'liblinear' THEN 'PRUNED' ELSE 'COMPLETE' END AS state
+FROM (SELECT 'LREG_tfidf_' || vector_size AS study, vector_size, trial,
+             {', '.join(f'{_pick_sql(_LREG[n])} AS {n}' for n in TOP_RUN_COLUMNS)}
+      FROM (SELECT CAST(range AS INTEGER) AS trial FROM range({N_TRIALS})) r, (VALUES ({'), ('.join(map(str, TFIDF_SIZES))})) v(vector_size)) t
+""")
+def top_run_search(spark, sf_dir):
+    """A search for each of the ten best stored runs of the logistic-regression
+    grid (there are three): the stored run names dataset and estimator, trials
+    are stored one by one; a second call finds them all."""
+    sets = tfidf_sets(spark, sf_dir, TFIDF_SIZES)
+    grid = M.run_grid(spark, sets, ["LREG"], M.grid_store(spark, scratch_path(spark, "grid-results")))
+    store = M.trial_store(spark, scratch_path(spark, "top-run-trials"))
+    parts = {}
+
+    def dataset(encoding, size):
+        if (encoding, size) not in parts:
+            parts[encoding, size] = tuple(reuse(d) for d in _split_train(sets[encoding, size][0]))
+        return parts[encoding, size]
+    # a budget first, then the whole number of trials: the stored ones stay
+    M.search_top_runs(grid, dataset, store, n_runs=TOP_RUNS, n_trials=N_TRIALS // 10, seed=SEED)
+    out = M.search_top_runs(grid, dataset, store, n_runs=TOP_RUNS, n_trials=N_TRIALS, seed=SEED)
+    return out.select("study", "encoding_type", "vector_size", "model", "trial", *[
+        F.get_json_object("params", f"$.{n}").cast("int" if n == "max_iter" else "string").alias(n) for n in TOP_RUN_COLUMNS], "state")
+
+
 def _boosted_sql(model, space):
     cols = ", ".join(f"{_pick_sql(p)} AS {p.name}" for p in space if p.name in ("maxIter", "maxDepth", "stepSize"))
     return (f"SELECT '{model}' AS study, trial, {cols}, 'COMPLETE' AS state, TRUE AS scored "
             f"FROM (SELECT CAST(range AS INTEGER) AS trial FROM range({BOOSTED_TRIALS})) r")
 
 
-@register("boosted_search", _boosted_sql("LGBM", M.LGBM_SPACE) + " UNION ALL " + _boosted_sql("XGBoost", M.XGB_SPACE))
+BOOSTED = {m: M.limited(M.SPACES[m], **BOOSTED_BUDGET) for m in ("LGBM", "XGBoost")}
+
+
+@register("boosted_search", " UNION ALL ".join(_boosted_sql(m, space) for m, space in BOOSTED.items()))
 def boosted_search(spark, sf_dir):
-    """Search spaces of the two boosted-tree presets."""
+    """Search spaces of the two boosted-tree presets, within a budget."""
     tr, _ = tfidf_sets(spark, sf_dir, [TFIDF_SIZES[0]])[("tfidf", TFIDF_SIZES[0])]
-    fit, valid = _split_train(tr)
+    fit, valid = (reuse(d) for d in _split_train(tr))
+    store = M.trial_store(spark, scratch_path(spark, "boosted-trials"))
     out = None
-    for model, space in (("LGBM", M.LGBM_SPACE), ("XGBoost", M.XGB_SPACE)):
+    for model, space in BOOSTED.items():
         trials = M.sample_trials(spark, space, BOOSTED_TRIALS, SEED, study=model)
-        res = M.run_search(trials, fit, valid, make=M.gbt_from_params(model)).select(
+        res = M.run_search(trials, fit, valid, store, make=M.estimator_from_params(model)).select(
             "study", "trial", "maxIter", F.round("stepSize", 6).alias("stepSize"), "maxDepth", "state",
             F.coalesce(F.col("value").between(0, 1), F.lit(False)).alias("scored"))
         out = res if out is None else out.unionByName(res)
@@ -380,7 +430,7 @@ GLOVE_WINDOW = 10
 GLOVE_MIN_COUNT = 5
 GLOVE_X_MAX = 10.0
 GLOVE_SWEEPS = 50        # at most
-GLOVE_TOLERANCE = 0.1    # a sweep that lowers the loss by less is the last
+GLOVE_TOLERANCE = 0.01   # two sweeps that lower the loss by less are the last
 
 
 @register("glove_train", f"""
@@ -388,18 +438,19 @@ WITH t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos
            FROM (SELECT doc_id, {S.words('text')} AS ws FROM ({TRAIN_CORPUS_SQL}) c) x),
 v AS (SELECT word FROM t GROUP BY word HAVING count(*) >= {GLOVE_MIN_COUNT}),
 i AS (SELECT doc_id, word, count(*) OVER (PARTITION BY doc_id) AS n FROM t WHERE word IN (SELECT word FROM v))
-SELECT DISTINCT word, {W2V_SIZE} AS n_dims, TRUE AS loss_fell, TRUE AS is_finite FROM i WHERE n > 1
+SELECT DISTINCT word, {W2V_SIZE} AS n_dims, TRUE AS loss_fell, TRUE AS converged, TRUE AS is_finite FROM i WHERE n > 1
 """)
 def glove_train(spark, sf_dir):
     """GloVe vectors from the co-occurrences of the training texts, fitted
-    until a sweep hardly lowers the loss."""
+    until two sweeps hardly lower the loss.  The loss is recomputed from the
+    tables: it is at most a tenth of the start's, and no more sweep is due."""
     from ..operators import cooccur as CO
     from ..operators import glove as G
     co = reuse(CO.cooccurrence(train_corpus(spark, sf_dir), GLOVE_WINDOW, GLOVE_MIN_COUNT))
-    w, c = G.fit_glove(co, W2V_SIZE, GLOVE_SWEEPS, x_max=GLOVE_X_MAX, tolerance=GLOVE_TOLERANCE)
+    w, c, losses = G.fit_glove(co, W2V_SIZE, GLOVE_SWEEPS, x_max=GLOVE_X_MAX, tolerance=GLOVE_TOLERANCE)
     words = co.select(F.col("w1").alias("word")).distinct()
     start = G.glove_loss(co, G._init(words, W2V_SIZE, "w1"), G._init(words, W2V_SIZE, "c1"), GLOVE_X_MAX)
-    fell = G.glove_loss(co, w, c, GLOVE_X_MAX).scalar() < start.scalar()
+    fell = G.glove_loss(co, w, c, GLOVE_X_MAX).scalar() < start.scalar() * 0.1
     return G.word_vectors(w, c).select(
-        "word", F.size("vec").alias("n_dims"), fell.alias("loss_fell"),
+        "word", F.size("vec").alias("n_dims"), fell.alias("loss_fell"), F.lit(len(losses) < GLOVE_SWEEPS).alias("converged"),
         F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))).alias("is_finite"))

@@ -72,6 +72,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
+def committed(spark: SparkSession, pattern: str) -> list[str]:
+    """The directories of a glob pattern whose writer has finished."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marker)
+    return sorted(f.getPath().getParent().toString() for f in found or ())
+
+
 def load_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """Stored results, or an empty table with the fixed schema."""
     if path_exists(spark, path):
