@@ -2,25 +2,27 @@
 
 A document's text is hashed to a vector (counts of its byte 4-grams), the
 vector is projected to three dimensions, and the place of the projection on a
-Hilbert curve is its key.  The table is range-partitioned and sorted by that
-key, so neighbours in a partition are similar; each task tokenizes its range
-and cuts the concatenated ids into full sequences.  What remains at the end of
+Hilbert curve is its key.  The table is cut into ranges of that key of about
+equal bytes and sorted, so neighbours in a range are similar; each task
+tokenizes its range and cuts the concatenated ids into full sequences.  What remains at the end of
 a range is cut into lengths that are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+import bisect
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_partitions, map_arrow, slices, small_batches, text_bytes
+from .common import map_arrow, slices, small_batches, text_bytes
 from .tokens import ids_bytes, vocabulary_path, worker_cache
 
 SEQUENCE_TOKENS = 2048
@@ -32,6 +34,11 @@ DIMS = 3
 BITS = 10
 #: Bits of a sequence id below the number of its range.
 LOCAL_BITS = 38
+#: Text of a range on average, what a document counts besides its text, and
+#: rows that the bounds of ranges are taken from.
+RANGE_BYTES = 16 << 20
+DOCUMENT_BYTES = 200
+SAMPLE_ROWS = 20_000
 
 _PROJECTION = np.random.default_rng(7).standard_normal((HASHED, DIMS)).astype(np.float32)
 _ROWS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -82,13 +89,51 @@ def document_points(texts: list[bytes]) -> np.ndarray:
     return np.clip((out + 3.0) / 6.0 * top, 0, top).astype(np.int64)
 
 
-def curve_keys(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` with ``curve_key``."""
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key = hilbert_key(document_points(text_bytes(batch.column("text")))) if batch.num_rows else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(key, pa.int64())],
-                                          names=["doc_id", "text", "curve_key"])
-    return map_arrow(docs.select("doc_id", "text"), "doc_id long, text string, curve_key long", keys)
+def _keys(texts: list[bytes]) -> np.ndarray:
+    return hilbert_key(document_points(texts)) if texts else np.zeros(0, np.int64)
+
+
+def _tie(doc_ids: list) -> np.ndarray:
+    """Spreads copies, which share a curve key, over ranges by their ids."""
+    return np.array([xxhash.xxh3_64_intdigest(b"" if d is None else str(d).encode()) >> 1 for d in doc_ids], np.int64)
+
+
+def range_bounds(docs: DataFrame, range_bytes: int = RANGE_BYTES, partitions: int | None = None) -> np.ndarray:
+    """Ends of ranges along the curve, ``(curve_key, tie)``, that hold about the
+    same number of bytes; their number follows the table's bytes unless it is
+    given.  They are taken from some SAMPLE_ROWS rows and decide the balance
+    of tasks only."""
+    rows = docs.count()
+    sample = docs.select("doc_id", "text").sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=1)
+
+    def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = text_bytes(batch.column("text"))
+        return pa.RecordBatch.from_arrays([pa.array(_keys(texts)), pa.array(_tie(batch.column("doc_id").to_pylist())),
+                                           pa.array([len(t) + DOCUMENT_BYTES for t in texts], pa.int64())],
+                                          names=["curve_key", "tie", "size"])
+    held = map_arrow(sample, "curve_key long, tie long, size long", narrow).orderBy("curve_key", "tie").toArrow()
+    if not held.num_rows:
+        return np.zeros((0, 2), np.int64)
+    size = held.column("size").to_numpy()
+    n = partitions or max(1, round(size.mean() * rows / range_bytes))
+    upto = np.cumsum(size)
+    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, n) / n)
+    return np.stack([held.column(c).to_numpy()[cuts] for c in ("curve_key", "tie")], axis=1)
+
+
+def ranged(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """``docs(doc_id, text)`` dealt to the ranges between ``bounds`` and sorted along the curve."""
+    shared = docs.sparkSession.sparkContext.broadcast(list(map(tuple, bounds.tolist())))
+
+    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, tie = _keys(text_bytes(batch.column("text"))), _tie(batch.column("doc_id").to_pylist())
+        at = [bisect.bisect_left(shared.value, row) for row in zip(key.tolist(), tie.tolist())]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(key), pa.array(tie), pa.array(at, pa.int32())],
+                                          names=["doc_id", "text", "curve_key", "tie", "range"])
+    keyed = map_arrow(docs.select("doc_id", "text"), "doc_id long, text string, curve_key long, tie long, range int", place)
+    order = ["curve_key", "tie", "row"]
+    keyed = keyed.withColumn("row", F.monotonically_increasing_id())
+    return keyed.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions(*order).select("doc_id", "text")
 
 
 class _Packer:
@@ -146,11 +191,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENC
     table gives no rows; other columns are ignored.
     """
     path, job = path or vocabulary_path(), uuid.uuid4().hex
-    n = partitions or default_partitions(docs.sparkSession)
-    tie = F.xxhash64("doc_id")  # copies share a key: their ids spread them over ranges
-    keyed = curve_keys(docs).withColumn("tie", tie).withColumn("row", F.monotonically_increasing_id())
-    order = ["curve_key", "tie", "row"]
-    along = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    along = ranged(docs, range_bounds(docs, partitions=partitions))
     schema = _ROWS + (", ids binary" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
