@@ -34,7 +34,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MATRIX_BYTES = 128
 MATRIX_CELLS = 1 << 20
 #: Entries that a worker's cache takes (then it stays as it is), and the longest pre-token kept, in characters.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 CACHE_CHARS = 64
 
 _NONE = np.int64(1) << 40  # rank of a pair that never merges

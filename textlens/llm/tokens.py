@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from .common import worker_state
 
 #: Entries that a worker's cache takes; the frequent ones come early, so it then stays as it is.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 600_000
 #: Longer pre-tokens (in characters) are encoded but not kept.
 CACHE_CHARS = 64
 VOCABULARY = "byte_bpe_50k.json"
