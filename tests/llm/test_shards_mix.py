@@ -106,3 +106,14 @@ def test_mixed_documents_follow_the_counts(documents):
     assert mixing.mix_counts(documents([])).count() == 0
     assert mixing.mixed_documents(documents([])).count() == 0
     assert mixing.mix_counts(documents([(1, None), (2, "")])).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_a_column_named_row_id_is_not_the_key(documents):
+    from textlens.llm import mixing, sharding
+    docs = documents([(i, f"four words of {i}", f"s{i % 2}") for i in range(20)]).selectExpr("*", "7L AS row_id")
+    plain = docs.drop("row_id")
+    assert sharding.shard_documents(docs).count() == 20
+    def counts(d):
+        return sorted((r.doc_id, r.taken) for r in mixing.mix_counts(d).collect())
+    assert counts(docs) == counts(plain) and all(t <= 8 for _, t in counts(docs))
+    assert mixing.mixed_documents(docs).columns == docs.columns

@@ -161,7 +161,7 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                         F.least(F.lit(block_words), F.col("whole") - F.col("block") * block_words).alias("words"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, row_key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The sized rows of ``docs(doc_id, source, text)`` and the pieces of the mix.
 
     Rows: ``row_id, doc_id, source, size, source_size, target``.  Pieces, one
@@ -169,12 +169,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS) -> tup
     words`` (a run of the document's words).  Size is the number of words;
     documents without words (null or empty texts) are in no piece.  A null
     source is a source of its own.  Repeated rows are documents of their own.
-    An empty table gives no rows.  ``row_id`` is the input's column of that
-    name (a unique long), else numbered here.
+    An empty table gives no rows; other columns are ignored.  Rows are numbered
+    here unless ``row_key`` names a column of unique longs.
     """
-    if "row_id" not in docs.columns:
-        docs = docs.withColumn("row_id", F.monotonically_increasing_id())
-    sized = stored(docs.select("row_id", "doc_id", "source", word_count("text").alias("size")), "mix-sizes")
+    row_id = F.col(row_key) if row_key else F.monotonically_increasing_id()
+    sized = stored(docs.select(row_id.alias("row_id"), "doc_id", "source", word_count("text").alias("size")), "mix-sizes")
     targets = stored(source_targets(sized, weights), "mix-targets")
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -210,7 +209,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_W
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     held = stored(docs.select(row, F.monotonically_increasing_id().alias("row_id")), "mix-docs")
-    rows, pieces = mix(held.select("row_id", "row.doc_id", "row.source", "row.text"), weights, block_words)
+    rows, pieces = mix(held.select("row_id", "row.doc_id", "row.source", "row.text"), weights, block_words, "row_id")
     epochs = pieces.groupBy("row_id", "epoch").agg(F.sum("words").alias("words"))
     epochs = epochs.join(rows.select("row_id", "size"), "row_id")
     out = held.join(epochs, "row_id")

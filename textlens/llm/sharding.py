@@ -117,13 +117,13 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     return paged.join(totals, ["addr", "page"]).select("row_id", "depth", "prefix", "page", "shard_bytes")
 
 
-def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES, row_key: str | None = None) -> DataFrame:
     """Shard of each row of ``docs(doc_id, text)`` by document id; the size is
     the text's UTF-8 bytes (null: 0).  Returns ``row_id, doc_id, n_bytes,
-    depth, prefix, page, shard_bytes``; other columns are ignored."""
-    if "row_id" not in docs.columns:
-        docs = docs.withColumn("row_id", F.monotonically_increasing_id())
-    rows = stored(docs.select("row_id", "doc_id",
+    depth, prefix, page, shard_bytes``; other columns are ignored.  Rows are
+    numbered here unless ``row_key`` names a column of unique longs."""
+    row_id = F.col(row_key) if row_key else F.monotonically_increasing_id()
+    rows = stored(docs.select(row_id.alias("row_id"), "doc_id",
                               F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "shard-docs")
     shards = assign_shards(rows.select("row_id", F.col("doc_id").alias("key"), "n_bytes"), limit)
     return rows.join(shards, "row_id")
@@ -135,7 +135,7 @@ def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
     named shard, underscores are added to the folders' key."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     held = stored(docs.select(row, F.monotonically_increasing_id().alias("row_id")), "shard-input")
-    shards = shard_documents(held.select("row_id", "row.doc_id", "row.text"), limit)
+    shards = shard_documents(held.select("row_id", "row.doc_id", "row.text"), limit, "row_id")
     key = "shard"
     while key in docs.columns:
         key += "_"
