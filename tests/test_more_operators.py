@@ -145,3 +145,11 @@ def test_write_corpus_one_line_per_document(spark):
     df = spark.createDataFrame([("a\nb",), ("c",)], "text string")
     W.write_corpus(df, path)
     assert sorted(r["value"] for r in spark.read.text(path).collect()) == ["a b", "c"]
+
+
+def test_length_agreement_keeps_every_row(spark):
+    from textlens.operators.evaluation import length_agreement
+    df = spark.createDataFrame([(1, "a b", "x y"), (2, "a", "x y"), (3, None, "x"), (4, "a", None), (5, None, None)],
+                               "i int, real_output string, pred_output string")
+    ok, bad = length_agreement(df)
+    assert [r.i for r in ok.collect()] == [1] and sorted(r.i for r in bad.collect()) == [2, 3, 4, 5]

@@ -68,8 +68,10 @@ def macro_metrics(scored: DataFrame, group_cols: Sequence[str] = ("family", "mod
 def length_agreement(df: DataFrame, real_col: str = "real_output",
                      pred_col: str = "pred_output") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): predictions must have as many words as the gold
-    text; rejected rows carry a ``reason``."""
-    same = T.word_count(real_col) == T.word_count(pred_col)
+    text; rejected rows carry a ``reason``.  A row without one of the texts is
+    rejected: every row is on one side."""
+    same = F.coalesce((T.word_count(real_col) == T.word_count(pred_col)) & F.col(real_col).isNotNull()
+                      & F.col(pred_col).isNotNull(), F.lit(False))
     ok = df.filter(same)
     bad = df.filter(~same).withColumn("reason", F.lit("word counts differ"))
     return ok, bad
