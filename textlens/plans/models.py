@@ -231,7 +231,7 @@ def model_grid_glove(spark, sf_dir):
     co = reuse(CO.cooccurrence(train_corpus(spark, sf_dir), GLOVE_WINDOW, GLOVE_MIN_COUNT))
 
     def encode(sp, n):
-        vectors = G.train_glove(co, n, GLOVE_SWEEPS, x_max=GLOVE_X_MAX, tolerance=GLOVE_TOLERANCE)
+        vectors = G.train_glove(co, n, GLOVE_GRID_SWEEPS, x_max=GLOVE_X_MAX, tolerance=GLOVE_TOLERANCE)
         return EM.encode_docs(sp, reuse(vectors), n)
     return _grid(spark, dense_sets(spark, sf_dir, "glove", DENSE_SIZES, encode))
 
@@ -430,7 +430,8 @@ def subword_docs(spark, sf_dir):
 GLOVE_WINDOW = 10
 GLOVE_MIN_COUNT = 5
 GLOVE_X_MAX = 10.0
-GLOVE_SWEEPS = 15        # at most
+GLOVE_SWEEPS = 50        # at most
+GLOVE_GRID_SWEEPS = 15   # at most, for each size of the grid (a budget)
 GLOVE_TOLERANCE = 0.01   # two sweeps that lower the loss by less are the last
 
 
