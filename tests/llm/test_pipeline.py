@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.ORACLES) < set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLES) < set(queries.QUERIES)
 
 
 def test_entry_registers_queries_and_pipeline():
