@@ -13,6 +13,7 @@ from ..operators import evaluation as E
 from ..operators import tfidf as TF
 from ..operators import vectors as V
 from ..session import scratch_path
+from ..sources import large_files as L
 from ..sources import readers as R
 from ..sources import writers as W
 from ..sources.tables import labelled_corpus, table
@@ -67,6 +68,39 @@ def json_array_roundtrip(spark, sf_dir):
     return back.select("conv_id", "turn", "role", "text")
 
 
+#: small enough that the test tables' files are read by several tasks
+SPLIT_BYTES = 1 << 20
+
+
+@register("large_csv_roundtrip", f"SELECT doc_id, text, label FROM ({S.CORPUS}) c")
+def large_csv_roundtrip(spark, sf_dir):
+    """CSV files read in splits, whatever line ends their fields hold."""
+    path = scratch_path(spark, "largecsv")
+    W.write_csv(labelled_corpus(spark, sf_dir), path)
+    return L.read_large_csv(spark, path, "doc_id bigint, text string, label int", split_bytes=SPLIT_BYTES)
+
+
+@register("large_json_map_roundtrip", """
+SELECT post_id, CAST(len(toks) AS INTEGER) AS n_tokens, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM ({POSTS_SQL}) p
+""".replace("{POSTS_SQL}", POSTS_SQL))
+def large_json_map_roundtrip(spark, sf_dir):
+    """Files of one JSON object each, read in splits."""
+    path = scratch_path(spark, "largemap")
+    W.write_json_map(annotated_posts(spark, sf_dir), path, "post_id")
+    back = L.read_large_json_map(spark, path, ANN_DDL, "post_id", split_bytes=SPLIT_BYTES)
+    return back.select("post_id", F.size("post_tokens").alias("n_tokens"),
+                       F.md5(F.array_join("post_tokens", " ")).alias("tokens_md5"))
+
+
+@register("large_json_array_roundtrip", "SELECT conv_id, turn, role, text FROM conversations")
+def large_json_array_roundtrip(spark, sf_dir):
+    """Files of one JSON array each, read in splits."""
+    path = scratch_path(spark, "largearray")
+    W.write_json_array(table(spark, sf_dir, "conversations"), path, "conv_id")
+    return L.read_large_json_array(spark, path, "conv_id bigint, turn bigint, role string, text string",
+                                   split_bytes=SPLIT_BYTES)
+
+
 @register("feature_store_roundtrip", f"""
 WITH v AS ({VOCAB_SQL}),
 w AS (SELECT t.doc_id, t.split, v.feature, t.tf * v.idf AS w FROM ({TF_SQL}) t JOIN v ON t.term = v.term)
