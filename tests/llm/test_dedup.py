@@ -142,3 +142,18 @@ def test_bbit_estimate_is_corrected_for_chance():
         equal = int(nd._equal_values(packed[:1], packed[1:])[0])
         assert abs(float(nd.estimated_similarity(equal)) - want) < 0.2
     assert nd.least_estimate() < nd.MINIMA * 0.766
+
+
+def test_open_bands_are_sized_without_windows(spark):
+    """A band of one large component and a stranger: rows are labelled by a
+    join with one row a band, none of its rows meet in a window."""
+    from textlens.llm.minhash_dedup import _open_members
+    rows = [(1, n) for n in range(500)] + [(2, 7), (2, 8)] + [(3, 499), (3, 600)]
+    members = spark.createDataFrame(rows, "key long, node long")
+    label = lambda n: 499 if n in (499, 600) else 0
+    nodes = sorted({n for _, n in rows})
+    labels = spark.createDataFrame([(n, label(n)) for n in nodes], "node long, label long")
+    found = _open_members(members, labels)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["key"], r["node"], r["label"], r["rank"], r["all_n"], r["small_n"]) for r in found.collect()}
+    assert got == {(1, n, label(n), 2 if n == 499 else 1, 500, 1) for n in range(500)}

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, map_arrow, row_key, small_batches, staying_rows, stored, text_bytes
@@ -305,14 +305,18 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(key, node, label, rank, own_n, all_n)`` of the bands that hold
-    several components; rank 1 is a band's largest."""
+    """``(key, node, label, rank, all_n, small_n)`` of the bands that hold
+    several components; rank 1 is a band's largest, 2 any other, and
+    ``small_n`` counts the members outside the largest.  Sizes are added up
+    by partial aggregation, no band's rows or components meet in a window."""
     labelled = members.select("key", "node").join(labels, "node")
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("own_n"))
-    whole, first = Window.partitionBy("key"), Window.partitionBy("key").orderBy(F.col("own_n").desc(), "label")
-    sizes = (sizes.withColumn("labels", F.count("*").over(whole)).withColumn("all_n", F.sum("own_n").over(whole))
-             .withColumn("rank", F.row_number().over(first)).where("labels > 1").drop("labels"))
-    return labelled.join(sizes, ["key", "label"])
+    largest = F.min(F.struct((-F.col("own_n")).alias("less"), F.col("label"))).alias("largest")
+    bands = (sizes.groupBy("key").agg(F.count("*").alias("labels"), F.sum("own_n").alias("all_n"), largest)
+             .where("labels > 1").select("key", "all_n", (F.col("all_n") + F.col("largest.less")).alias("small_n"),
+                                         F.col("largest.label").alias("top")))
+    rank = F.when(F.col("label") == F.col("top"), 1).otherwise(2).alias("rank")
+    return labelled.join(bands, "key").select("key", "node", "label", rank, "all_n", "small_n")
 
 
 def _stars(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -342,11 +346,9 @@ def _cross(docs: DataFrame, nodes: DataFrame, members: DataFrame, labels: DataFr
     long_sig = _of_texts(docs, nodes, rows.select("node").distinct(), "long_sig binary", _long_signatures)
     band_bytes = F.to_binary(F.array_join(F.transform("bands", _little_endian), ""), F.lit("hex"))
     own = nodes.join(long_sig, "node").select("node", *_SIG, band_bytes.alias("band_bytes"), "long_sig")
-    whole = Window.partitionBy("key")
-    small = F.max(F.when(F.col("rank") == 1, F.col("all_n") - F.col("own_n"))).over(whole)
     spread = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / BLOCK))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK) - 1))
-    rows = stored(rows.withColumn("small_n", small).join(own, "node"), "near-blocks")
+    rows = stored(rows.join(own, "node"), "near-blocks")
     one = rows.where("rank > 1").withColumn("side", F.lit(0)).withColumn("i", spread("small_n")).withColumn("j", upto("all_n"))
     every = rows.withColumn("side", F.lit(1)).withColumn("j", spread("all_n")).withColumn("i", upto("small_n"))
     columns = ["key", "i", "j", "side", "node", "label", *_SIG, "long_sig", "band_bytes"]
