@@ -20,7 +20,8 @@ from ..operators import batch_score as B
 from ..operators import consensus as K
 from ..operators import evaluation as E
 from ..operators import sampling as U
-from ..sources.tables import table
+from ..session import scratch_path
+from ..sources.tables import labelled_corpus, table
 from . import sqlparts as S
 from .common import reuse
 from .registry import register
@@ -170,3 +171,46 @@ def batch_score(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return B.score_table(docs, B.highlight_long_words(6), "text", "text").select(
         "doc_id", "pred_output", "status")
+
+
+@register("resumed_scoring", f"""
+WITH first_run AS (SELECT DISTINCT d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL)
+SELECT d.doc_id,
+       array_to_string(list_transform({S.words('d.text')}, lambda w: CASE WHEN length(w) >= 6
+                       THEN {S.upper('w')} ELSE lower(w) END), ' ') AS pred_output,
+       CASE WHEN d.text IS NULL THEN 'rejected' ELSE 'accepted' END AS status,
+       CASE WHEN f.text IS NOT NULL THEN 'labelled' WHEN d.text IS NOT NULL THEN 'all' END AS scored_run
+FROM documents d LEFT JOIN first_run f ON d.text = f.text
+""")
+def resumed_scoring(spark, sf_dir):
+    """A run over the labelled documents, then one over all: the second sends
+    only texts that have no stored prediction."""
+    store = B.PredictionStore(spark, scratch_path(spark, "predictions"))
+    model = B.highlight_long_words(6)
+    store.fill(labelled_corpus(spark, sf_dir), model, "text", "labelled")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = store.score_table(docs, model, "text", "text", "all")
+    return scored.select("doc_id", "pred_output", "status", "scored_run")
+
+
+@register("length_agreement_nulls", f"""
+SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n
+FROM (SELECT CASE WHEN reply IS NULL OR user_text IS NULL THEN 'a text is missing'
+                  WHEN {S.word_count('user_text')} <> {S.word_count('reply')} THEN 'word counts differ' END AS reason
+      FROM (SELECT u.text AS user_text, a.text AS reply FROM conversations u
+            LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+            WHERE u.role = 'user') p) q
+GROUP BY 1
+""")
+def length_agreement_nulls(spark, sf_dir):
+    """User turns with and without an answer: every row is either accepted or
+    rejected with a reason, a missing text is a rejection."""
+    conv = table(spark, sf_dir, "conversations")
+    user = conv.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user_text"))
+    reply = conv.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                    F.col("text").alias("reply"))
+    ok, bad = E.length_agreement(user.join(reply, ["conv_id", "turn"], "left"), "user_text", "reply")
+    missing = F.col("user_text").isNull() | F.col("reply").isNull()
+    outcome = F.when(missing, "a text is missing").otherwise("word counts differ")
+    return (ok.select(F.lit("accepted").alias("outcome")).unionByName(bad.select(outcome.alias("outcome")))
+            .groupBy("outcome").agg(F.count("*").alias("n")))
