@@ -1,6 +1,10 @@
 """Spans that the base rules never match are added, however rare their kind is."""
 
+import random
+import time
+
 import pytest
+import regex
 
 from textlens.llm import pii
 
@@ -30,3 +34,37 @@ def test_each_form_is_added_beside_a_hot_kind(documents, hot):
 def test_a_corpus_of_valid_proposals_only(documents):
     assert added(documents([(1, FORMS[2][0]), (2, FORMS[2][0])])) == {1: ["ip:5:44"], 2: ["ip:5:44"]}
     assert added(documents([(1, NOT[0]), (2, None)])) == {1: [], 2: []}
+
+
+def test_added_spans_equal_all_pairs(documents):
+    """The added spans by comparing every pair of a text's proposals, in Python."""
+    rng = random.Random(5)
+    words = [t for f, _ in FORMS for t in f.split(" ")] + ["a@b.c.de", "x@yy", "é@üü.zz", "1.2.3.4", "+1 (212) 555-0100", "212-555-0100", "4111-1111-1111-1111", "😀", ","]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 400))) for _ in range(40)]
+    docs = documents(list(enumerate(texts)))
+    booster = pii.Booster([(1.0, 0.0)], {g: 0.5 for g in range(len(pii.GENERATORS))})
+    seen = {r.doc_id: r for r in pii.with_proposals(pii.with_base_spans(docs)).select("doc_id", "text", "base", "proposals").collect()}
+    meets = lambda a, b: a.start < b.end and b.start < a.end
+    for r in pii.find_private(docs, booster).collect():
+        row = seen[r.doc_id]
+        key = lambda i, c: (c.end - c.start, -c.start, -i)
+        free = [(i, c) for i, c in enumerate(row.proposals) if not any(meets(b, c) for b in row.base)]
+        kept = sorted((int(c.kind_id), c.start, c.end) for i, c in free
+                      if not any(o.kind_id == c.kind_id and meets(o, c) and key(j, o) > key(i, c) for j, o in free))
+        assert [tuple(s) for s in r.added] == kept
+        for c in row.proposals:  # places and context are those of the text
+            rule = regex.compile(pii.GENERATORS[c.generator_id][1])
+            assert rule.match(row.text, c.start).end() == c.end
+            assert c.context == len(regex.findall(pii.CONTEXT_WORDS, row.text[max(0, c.start - pii.CONTEXT):c.start]))
+
+
+def test_many_spans_in_one_text(documents):
+    n = 5_000
+    text = " ".join(f"u{i}@host{i}.example.com 212-555-{1000 + i} of bob{i}@intranet" for i in range(n))
+    booster = pii.Booster([(1.0, 0.0)], {g: 0.5 for g in range(len(pii.GENERATORS))})
+    docs = documents([(1, text)])
+    pii.find_private(documents([(1, "u@h.com 212-555-1000")]), booster).collect()
+    started = time.time()
+    row = pii.find_private(docs, booster).first()
+    assert time.time() - started < 40
+    assert len(row.base) == n and len(row.added) == 2 * n

@@ -67,6 +67,9 @@ GENERATORS = (
     ("phone", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{3,4}(?![0-9])", "+", None),
     ("phone", r"(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])", None, r"[0-9]{3}[.-][0-9]{4}"),
 )
+#: The generators' patterns bound their matches' lengths.
+SHORTEST = 5
+LONGEST = {"email": 413, "ip": 39, "card": 19, "phone": 20}
 #: Words of context that a feature counts.
 CONTEXT_WORDS = "(?i)mail|contact|phone|tel|call|fax|mobile|card|visa|credit|pay|addr|server|host|ip"
 #: Words before an address without a dot that tell it is one.
@@ -74,34 +77,65 @@ MAIL_WORDS = "(?i)mail|contact|address|write|login"
 FEATURES = ("generator", "kind", "form", "mail", "length", "digits", "letters", "marks", "groups", "checksum", "parts", "first_digit",
             "plus", "bracket", "dots", "last_group", "context")
 
-_SPAN = "struct<kind:int,start:int,end:int,body:string>"
-_NO_SPANS = f"array<{_SPAN}>"
+#: Values that are merged at once where an array is run through.
+RUN = 128
 
 
-def _length_sum(pieces: Column, n: Column) -> Column:
-    return F.aggregate(F.slice(pieces, F.lit(1), n), F.lit(0), lambda a, s: a + F.length(s))
+def _merged_before(values: Column, merge, start: int) -> Column:
+    """For each run of RUN values of an array the merge of all values before it."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(RUN))
+    none = F.struct(F.lit(start).alias("whole"), F.array().cast("array<int>").alias("before"))
 
+    def add(a: Column, i: Column) -> Column:
+        whole = F.aggregate(F.slice(values, i + 1, F.lit(RUN)), a["whole"], merge)
+        return F.struct(whole.alias("whole"), F.concat(a["before"], F.array(a["whole"])).alias("before"))
+
+    return F.aggregate(at, none, add, lambda a: a["before"])
 
-def _with_spans(df: DataFrame, name: str, kind: int, pattern: str, hint: str | None, hint_re: str | None) -> DataFrame:
-    """Adds the column ``name``: all matches of a pattern in ``text`` with
-    their places.  Matches and the pieces between them are taken apart once
-    per text, and only where the hints are met."""
-    text = F.col("text")
-    may = F.lit(True)
-    if hint is not None:
-        may = may & text.contains(hint)
-    if hint_re is not None:
-        may = may & text.rlike(hint_re)
-    df = with_once(df, _m=F.when(may, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
-    df = with_once(df, _p=F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
 
-    def span(body: Column, i: Column) -> Column:
-        start = _length_sum(F.col("_p"), i + 1) + _length_sum(F.col("_m"), i)
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"),
-                        (start + F.length(body)).alias("end"), body.alias("body"))
+def _before(values: Column, runs: Column, i: Column, merge) -> Column:
+    """The merge of all values before place ``i``: that of the runs before it
+    and at most RUN - 1 values, so a text's work is not quadratic in its spans."""
+    return F.aggregate(F.slice(values, i - i % RUN + 1, i % RUN), F.get(runs, F.floor(i / RUN).cast("int")), merge)
 
-    spans = F.when(F.size("_m") > 0, F.transform("_m", span)).otherwise(F.array().cast(_NO_SPANS))
-    return with_once(df, **{name: spans}).drop("_m", "_p")
+
+def _with_spans(df: DataFrame, name: str, rules, context: int = 0) -> DataFrame:
+    """Adds the column ``name``: for each rule ``(kind, pattern, hint, hint_re)``
+    the array of its matches in ``text`` with their places and, if wanted, the
+    characters before them.  Matches and the pieces between them are taken
+    apart once per text, and only where the hints are met."""
+    text = F.col("text")
+    for n, (_, pattern, hint, hint_re) in enumerate(rules):
+        may = F.lit(True)
+        if hint is not None:
+            may = may & text.contains(hint)
+        if hint_re is not None:
+            may = may & text.rlike(hint_re)
+        df = with_once(df, _m=F.when(may, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
+        df = with_once(df, **{f"_mp{n}": F.when(F.size("_m") > 0, F.struct(F.col("_m").alias("m"), F.split(text, pattern, -1).alias("p")))}).drop("_m")
+    held = [f"_mp{n}" for n in range(len(rules))]
+    df = with_once(df, _mp=F.array(*held)).drop(*held)
+    earlier = lambda x, i: F.when(i > 0, F.get(x["m"], i - 1)).otherwise(F.lit(""))
+    step = lambda x: lambda body, i: F.length(F.get(x["p"], i)) + F.length(earlier(x, i))
+    plus = lambda a, n: a + n
+    df = with_once(df, _steps=F.transform("_mp", lambda x: F.transform(x["m"], step(x))))
+    df = with_once(df, _sums=F.transform("_steps", lambda v: F.when(F.size(v) > 0, _merged_before(v, plus, 0))))
+    kinds = F.array(*[F.lit(kind) for kind, *_ in rules])
+
+    def spans(x: Column, k: Column) -> Column:
+        def span(body: Column, i: Column) -> Column:
+            steps = F.get(F.col("_steps"), k)
+            start = _before(steps, F.get(F.col("_sums"), k), i, plus) + F.get(steps, i)
+            made = [F.get(kinds, k).alias("kind"), k.alias("rule"), start.alias("start"),
+                    (start + F.length(body)).alias("end"), body.alias("body")]
+            if context:  # matches have SHORTEST characters at least, so a few pieces hold the context
+                some = F.sequence(F.greatest(i - (context // SHORTEST + 1), F.lit(0)), i)
+                near = F.transform(some, lambda j: F.concat(F.right(earlier(x, j), F.lit(context)), F.right(F.get(x["p"], j), F.lit(context))))
+                made.append(F.right(F.array_join(near, ""), F.lit(context)).alias("before"))
+            return F.struct(*made)
+        return F.coalesce(F.transform(x["m"], span), F.array())
+
+    return with_once(df, **{name: F.transform("_mp", spans)}).drop("_mp", "_steps", "_sums")
 
 
 def _digits(body: Column) -> Column:
@@ -127,16 +161,13 @@ def _valid(kind: str, body: Column) -> Column:
     return F.lit(True)
 
 
-def _validator(kind: str):
-    return lambda s: _valid(kind, s["body"])
-
-
 def with_base_spans(df: DataFrame) -> DataFrame:
     """Adds ``base``: the valid spans of the base rules, by kind and start."""
-    for i, kind in enumerate(KINDS):
-        df = _with_spans(df, f"_{kind}", i, BASE[kind], *_HINTS[kind])
-    parts = [F.filter(f"_{kind}", _validator(kind)) for kind in KINDS]
-    return with_once(df, base=F.concat(*parts)).drop(*[f"_{kind}" for kind in KINDS])
+    df = _with_spans(df, "_base", [(i, BASE[kind], *_HINTS[kind]) for i, kind in enumerate(KINDS)])
+    place = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    valid = lambda kind: lambda s: _valid(kind, s["body"])
+    parts = [F.transform(F.filter(F.get("_base", F.lit(i)), valid(kind)), place) for i, kind in enumerate(KINDS)]
+    return with_once(df, base=F.concat(*parts)).drop("_base")
 
 
 # Well-formed bodies; letters of any script, and addresses in disguise as they are meant.
@@ -168,11 +199,11 @@ def _features(s: Column) -> Column:
     """A proposal's place and features."""
     body = s["body"]
     digits = _digits(body)
-    before = F.substring(F.col("text"), F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
+    before = s["before"]
     groups = F.split(body, "[^0-9A-Za-z]+")
     yes = lambda c: c.cast("double")
     number = {
-        "generator": s["generator"], "kind": s["kind"], "form": _form(s), "mail": yes(before.rlike(MAIL_WORDS)),
+        "generator": s["rule"], "kind": s["kind"], "form": _form(s), "mail": yes(before.rlike(MAIL_WORDS)),
         "length": F.length(body), "digits": F.length(digits),
         "letters": F.length(F.regexp_replace(body, "[^A-Za-z]", "")),
         "marks": F.length(F.regexp_replace(body, "[0-9A-Za-z]", "")), "groups": F.size(groups),
@@ -183,26 +214,35 @@ def _features(s: Column) -> Column:
         "dots": F.length(body) - F.length(F.translate(body, ".", "")),
         "last_group": F.length(F.element_at(groups, -1)), "context": F.size(F.regexp_extract_all(before, F.lit(CONTEXT_WORDS), F.lit(0))),
     }
-    return F.struct(s["kind"].alias("kind_id"), s["generator"].alias("generator_id"), s["start"].alias("start"), s["end"].alias("end"),
+    return F.struct(s["kind"].alias("kind_id"), s["rule"].alias("generator_id"), s["start"].alias("start"), s["end"].alias("end"),
                     *[number[f].cast("double").alias(f) for f in FEATURES])
 
 
-def _meets(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
 def with_proposals(df: DataFrame) -> DataFrame:
-    """Adds ``proposals``: the generators' spans with their features."""
-    names = [f"_g{i}" for i in range(len(GENERATORS))]
-    for name, (kind, pattern, hint, hint_re) in zip(names, GENERATORS):
-        df = _with_spans(df, name, KINDS.index(kind), pattern, hint, hint_re)
-
-    def marked(i: int):
-        return lambda s: F.struct(s["kind"].alias("kind"), F.lit(i).alias("generator"), s["start"].alias("start"),
-                                  s["end"].alias("end"), s["body"].alias("body"))
-
-    df = with_once(df, _all=F.concat(*[F.transform(name, marked(i)) for i, name in enumerate(names)])).drop(*names)
-    return with_once(df, proposals=F.transform("_all", _features)).drop("_all")
+    """Adds to a table with ``base`` the generators' spans with their features
+    as ``proposals``, and as ``marks`` their places ``(start, end, at, open)``
+    by start: ``at`` is the place in ``proposals``, ``open`` whether no base
+    span is met."""
+    rules = [(KINDS.index(kind), pattern, hint, hint_re) for kind, pattern, hint, hint_re in GENERATORS]
+    df = _with_spans(df, "_all", rules, CONTEXT)
+    df = with_once(df, proposals=F.transform(F.flatten("_all"), _features)).drop("_all")
+    mark = lambda s, at: F.struct(s["start"].alias("start"), s["end"].alias("end"), at.alias("at"))
+    both = F.concat(F.transform("base", lambda b: mark(b, F.lit(-1))), F.transform("proposals", lambda c, i: mark(c, i)))
+    df = with_once(df, marks=F.array_sort(both))
+    # of the base spans that start earlier only the largest end counts, of those that start later the least start
+    far = 2 ** 31 - 1
+    larger, smaller = lambda a, x: F.greatest(a, x), lambda a, x: F.least(a, x)
+    df = with_once(df, _ends=F.transform("marks", lambda m: F.when(m["at"] < 0, m["end"]).otherwise(F.lit(0))),
+                   _starts=F.transform(F.reverse("marks"), lambda m: F.when(m["at"] < 0, m["start"]).otherwise(F.lit(far))))
+    df = with_once(df, _ends_runs=_merged_before(F.col("_ends"), larger, 0), _starts_runs=_merged_before(F.col("_starts"), smaller, far))
+
+    def opened(m: Column, i: Column) -> Column:
+        left = _before(F.col("_ends"), F.col("_ends_runs"), i, larger)
+        right = _before(F.col("_starts"), F.col("_starts_runs"), F.size("marks") - 1 - i, smaller)
+        return m.withField("open", (left <= m["start"]) & (right >= m["end"]))
+
+    marks = F.filter(F.transform("marks", opened), lambda m: m["at"] >= 0)
+    return with_once(df, marks=marks).drop("_ends", "_starts", "_ends_runs", "_starts_runs")
 
 
 @dataclass
@@ -248,10 +288,9 @@ def fit_booster(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Booster:
     """
     sample = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     rows = (with_proposals(with_base_spans(sample.where(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"))))
-            .select("base", F.explode("proposals").alias("c")))
-    open_ = ~F.exists("base", lambda b: _meets(b, F.col("c")))
+            .select("proposals", F.explode("marks").alias("m")).select(F.get("proposals", F.col("m.at")).alias("c"), F.col("m.open").alias("open")))
     # few columns of small numbers: a row for each combination that occurs
-    forms = stored(rows.select("c.generator_id", *[f"c.{f}" for f in FEATURES], _is_private(F.col("c")).cast("double").alias("label"), open_.alias("open"))
+    forms = stored(rows.select("c.generator_id", *[f"c.{f}" for f in FEATURES], _is_private(F.col("c")).cast("double").alias("label"), "open")
                    .groupBy("generator_id", "label", "open", *FEATURES).agg(F.count("*").alias("n")), "pii-forms")
     different = {r.generator_id: r.k for r in forms.groupBy("generator_id").agg(F.count("*").alias("k")).collect()}
     labels = {r.label for r in forms.select("label").distinct().collect()}
@@ -313,20 +352,35 @@ def find_private(docs: DataFrame, booster: Booster | None = None) -> DataFrame:
     scored = F.transform("proposals", lambda c: F.struct(
         c["kind_id"].alias("kind_id"), c["generator_id"].alias("generator_id"), c["start"].alias("start"), c["end"].alias("end"), booster.probability(c).alias("p")))
     found = with_once(found, scored=scored).drop("text", "proposals")
-    likely = F.filter("scored", lambda c: booster.accepted(c) & ~F.exists("base", lambda b: _meets(b, c)))
-    # generators may propose the same span
-    found = with_once(found, likely=F.array_distinct(F.transform(likely, lambda c: c.dropFields("generator_id"))))
-
-    def better(o: Column, c: Column) -> Column:
-        """o meets c in its kind and goes first."""
-        key = lambda x: F.struct(x["end"] - x["start"], x["p"], -x["start"])
-        return (o["kind_id"] == c["kind_id"]) & _meets(o, c) & (key(o) > key(c))
-
-    added = F.filter("likely", lambda c: ~F.exists("likely", lambda o: better(o, c)))
+    # generators may propose the same span: the order of proposals tells which goes first
+    likely = F.filter(F.transform("marks", lambda m: F.struct(F.get("scored", m["at"]).alias("c"), m["at"].alias("at"), m["open"].alias("open"))),
+                      lambda m: m["open"] & booster.accepted(m["c"]))
+    found = with_once(found, likely=F.transform(likely, lambda m: m["c"].withField("at", m["at"])))
+    kinds = [f"_{kind}" for kind in KINDS]
+    found = with_once(found, **{name: F.filter("likely", _of_kind(i)) for i, name in enumerate(kinds)})
+    added = F.concat(*[_best_of(F.col(name), kind) for name, kind in zip(kinds, KINDS)])
     added = F.transform(added, lambda c: F.struct(c["kind_id"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return found.select("doc_id", base, F.array_sort(added).alias("added"))
 
 
+def _of_kind(i: int):
+    return lambda c: c["kind_id"] == i
+
+
+def _best_of(spans: Column, kind: str) -> Column:
+    """The spans of one kind, by start, that meet none that goes before them.
+    A generator's spans don't meet, so only so many neighbours can."""
+    near = sum(k == kind for k, *_ in GENERATORS) * (LONGEST[kind] // SHORTEST + 1)
+    key = lambda x: F.struct(x["end"] - x["start"], x["p"], -x["start"], -x["at"])
+
+    def beaten(c: Column, i: Column) -> Column:
+        first = F.greatest(i - near, F.lit(0))
+        others = F.slice(spans, first + 1, i - first + near + 1)
+        return F.exists(others, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (key(o) > key(c)))
+
+    return F.filter(spans, lambda c, i: ~beaten(c, i))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     text = F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string")))
