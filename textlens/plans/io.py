@@ -86,7 +86,7 @@ SELECT post_id, CAST(len(toks) AS INTEGER) AS n_tokens, md5(array_to_string(toks
 def large_json_map_roundtrip(spark, sf_dir):
     """Files of one JSON object each, read in splits."""
     path = scratch_path(spark, "largemap")
-    W.write_json_map(annotated_posts(spark, sf_dir), path, "post_id")
+    W.write_json_map(annotated_posts(spark, sf_dir), path, "post_id", rows_per_file=1000)
     back = L.read_large_json_map(spark, path, ANN_DDL, "post_id", split_bytes=SPLIT_BYTES)
     return back.select("post_id", F.size("post_tokens").alias("n_tokens"),
                        F.md5(F.array_join("post_tokens", " ")).alias("tokens_md5"))
