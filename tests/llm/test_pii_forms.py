@@ -5,6 +5,7 @@ import time
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from textlens.llm import pii
 
@@ -68,3 +69,27 @@ def test_many_spans_in_one_text(documents):
     row = pii.find_private(docs, booster).first()
     assert time.time() - started < 40
     assert len(row.base) == n and len(row.added) == 2 * n
+
+
+def test_equal_bodies_part_by_context_and_both_classes_are_learned(documents):
+    docs = documents([(i, text) for i, (text, _) in enumerate(FORMS)] + [(50, None), (51, "")])
+    booster = pii.fit_booster(docs)
+    assert set(booster.thresholds) == set(range(len(pii.GENERATORS)))
+
+    def features(tree):
+        return set() if isinstance(tree, float) else {pii.FEATURES[tree[0]]} | features(tree[2]) | features(tree[3])
+
+    used = set().union(*[features(tree) for _, tree in booster.trees])
+    assert used & set(pii.CONTEXT_FEATURES) and used & {"checksum", "parts", "dotted"}
+    body = "bob@intranet"
+    leads = ["mail me: ", "please write to ", "there were ", "", "on the way "]
+    got = {r.doc_id: len(r.added) for r in pii.find_private(documents([(i, lead + body) for i, lead in enumerate(leads)]), booster).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0}
+    # spans of other documents than those fitted on: injected with other contexts
+    other = documents([(i, f"{i} ways to call or write to user{i}@host{i}.example.org from 10.0.{i}.1") for i in range(300)])
+    spans = pii.injected(other).where("aside")
+    p = booster.probability(F.struct(*pii.FEATURES))
+    least = F.create_map(*[F.lit(x) for pair in booster.thresholds.items() for x in pair])
+    taken = spans.withColumn("taken", p >= least[F.col("generator_id")]).where("taken").groupBy("generator_id")
+    for r in taken.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("hits")).collect():
+        assert r.hits >= 0.85 * r.n, r

@@ -4,13 +4,18 @@ The base rules find e-mail addresses, IP addresses, card and phone numbers.
 Looser generators propose further, overlapping spans: numbers that stand next
 to other numbers (which the base rules read as one and drop), phone numbers
 without a plus, e-mail addresses in disguise, addresses without a dot, IPv6.
-Gradient-boosted trees score each proposal from its format and context.  A
-proposal's label is whether its own body and context are valid (checksum, part
-ranges, a well-formed address, a word nearby), whatever the base rules found.
-The trees are fitted on a bounded sample for each generator out of all
-documents, and for each generator the lowest score that reaches a precision
-over the proposals of all documents becomes the threshold.  Proposals above it
-that meet no base span are added.
+Gradient-boosted trees score each proposal from its format and context.
+
+No rule labels the proposals.  The trees are fitted on injected spans: private
+values are made in each generator's form and put into the contexts in which the
+base rules found one in any document, and behind fixed lead-ins; look-alikes
+(order numbers, sums, times, words around an at sign) go to a place in every
+document and behind neutral words.  A checksum or a dot is then evidence, not
+the label: look-alikes pass by chance, and some bodies are the same in both
+classes, so that only the context parts them.  A quarter of the injected spans
+is set aside, and for each generator the lowest score that reaches a precision
+there becomes the threshold.  Proposals above it that meet no base span are
+added.
 
 Fitting is Spark ML; the fitted trees become CASE expressions, so scoring is
 a map over the documents without a shuffle.
@@ -28,15 +33,15 @@ from pyspark.sql import functions as F
 from .common import stored, with_once
 
 KINDS = ("email", "ip", "card", "phone")
-#: Different proposals fitted on, about, for each generator.
+#: Different injected spans fitted on, about, for each generator.
 FIT_ROWS = 20_000
-TREES = 12
-DEPTH = 4
-#: Precision that a generator's threshold reaches, and proposals that it takes to set one.
+TREES = 20
+DEPTH = 5
+#: Precision that a generator's threshold reaches on the spans set aside: one of SET_ASIDE.
 PRECISION = 0.9
-LEAST_ROWS = 10
-#: The threshold of generators with fewer proposals.
-RARE_THRESHOLD = 0.5
+SET_ASIDE = 4
+#: Values injected into each kind of context.
+SEEDS = 2048
 #: The trees' sums here and in Spark ML differ by rounding.
 ROUNDING = 1e-9
 #: Characters of context before a span.
@@ -70,12 +75,24 @@ GENERATORS = (
 #: The generators' patterns bound their matches' lengths.
 SHORTEST = 5
 LONGEST = {"email": 413, "ip": 39, "card": 19, "phone": 20}
-#: Words of context that a feature counts.
+#: Words of context that features count: all, and those of each kind.
 CONTEXT_WORDS = "(?i)mail|contact|phone|tel|call|fax|mobile|card|visa|credit|pay|addr|server|host|ip"
-#: Words before an address without a dot that tell it is one.
-MAIL_WORDS = "(?i)mail|contact|address|write|login"
-FEATURES = ("generator", "kind", "form", "mail", "length", "digits", "letters", "marks", "groups", "checksum", "parts", "first_digit",
-            "plus", "bracket", "dots", "last_group", "context")
+KIND_WORDS = {"email": "(?i)mail|contact|address|write|login", "ip": r"(?i)addr|server|host|\bip",
+              "card": "(?i)card|visa|credit|pay|paid", "phone": "(?i)phone|tel|call|fax|mobile"}
+CONTEXT_FEATURES = ("context", *[f"{kind}_words" for kind in KINDS])
+BODY_FEATURES = ("generator", "kind", "length", "digits", "letters", "foreign", "marks", "groups", "checksum", "parts", "first_digit",
+                 "next_digit", "plus", "bracket", "dots", "dotted", "spaced", "last_group")
+FEATURES = (*BODY_FEATURES, *CONTEXT_FEATURES)
+
+# What precedes the injected spans that no document gives a context.
+LEADS = {"email": ("mail me at ", "contact: ", "please write to ", "the address is ", "login with "),
+         "ip": ("the server at ", "host ", "IP address: ", "reach the host on "),
+         "card": ("card number ", "my visa is ", "pay with credit card "),
+         "phone": ("call me on ", "phone: ", "tel ", "fax ", "my mobile is ")}
+NEUTRAL = ("we met ", "on ", "there were ", "version ", "order ", "at ", "the sum of ", "see ", "")
+#: Of private spans behind a fixed lead-in one in so many, of look-alikes one in so many stands behind the other class's words.
+PRIVATE_NEUTRAL = 2
+ALIKE_LEAD = 16
 
 #: Values that are merged at once where an array is run through.
 RUN = 128
@@ -170,54 +187,152 @@ def with_base_spans(df: DataFrame) -> DataFrame:
     return with_once(df, base=F.concat(*parts)).drop("_base")
 
 
-# Well-formed bodies; letters of any script, and addresses in disguise as they are meant.
-_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?"
-_ADDRESS = rf"^[\p{{L}}\p{{N}}_%+'-]+(?:\.[\p{{L}}\p{{N}}_%+'-]+)*@{_LABEL}"
-_DOTTED = rf"{_ADDRESS}(?:\.{_LABEL})*\.\p{{L}}[\p{{L}}\p{{N}}-]+$"
-_DOTLESS = rf"{_ADDRESS}$"
-_IPV6 = r"^[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}$"
-_NATIONAL = r"^\(?[2-9][0-9]{2}\)?[\x20.-][2-9][0-9]{2}[.-][0-9]{4}$"
+def _context(before: Column) -> dict[str, Column]:
+    """The context's features, from the characters before a span."""
+    count = lambda words: F.size(F.regexp_extract_all(before, F.lit(words), F.lit(0)))
+    return {"context": count(CONTEXT_WORDS), **{f"{kind}_words": count(KIND_WORDS[kind]) for kind in KINDS}}
 
 
-def _form(s: Column) -> Column:
-    """Whether a proposal's body is well-formed: 1, an address without a dot: 0.5, no: 0."""
-    body = s["body"]
-    plain = F.regexp_replace(F.regexp_replace(body, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?(?:[(\[]dot[)\]]|\.)\x20?", ".")
-    email = F.when(plain.rlike(_DOTTED), 1.0).when(plain.rlike(_DOTLESS), 0.5).otherwise(0.0)
-    valid = (F.when(s["kind"] == KINDS.index("ip"), F.when(body.contains(":"), body.rlike(_IPV6)).otherwise(_valid("ip", body)))
-             .when(s["kind"] == KINDS.index("card"), _valid("card", body))
-             .otherwise(_valid("phone", body) & (body.startswith("+") | body.rlike(_NATIONAL))))
-    return F.when(s["kind"] == KINDS.index("email"), email).otherwise(F.coalesce(valid, F.lit(False)).cast("double"))
-
-
-def _is_private(c: Column) -> Column:
-    """A proposal's label: its form is valid; an address without a dot needs a word before it."""
-    return (c["form"] == 1.0) | ((c["form"] == 0.5) & (c["mail"] > 0))
-
-
-def _features(s: Column) -> Column:
-    """A proposal's place and features."""
-    body = s["body"]
+def _format(rule: Column, kind: Column, body: Column) -> dict[str, Column]:
+    """The body's features."""
     digits = _digits(body)
-    before = s["before"]
     groups = F.split(body, "[^0-9A-Za-z]+")
+    numbers = F.regexp_extract(body, r"[0-9]+[^0-9]+([0-9])", 1)
+    # an address in disguise as it is meant
+    plain = F.regexp_replace(F.regexp_replace(body, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
     yes = lambda c: c.cast("double")
-    number = {
-        "generator": s["rule"], "kind": s["kind"], "form": _form(s), "mail": yes(before.rlike(MAIL_WORDS)),
-        "length": F.length(body), "digits": F.length(digits),
-        "letters": F.length(F.regexp_replace(body, "[^A-Za-z]", "")),
-        "marks": F.length(F.regexp_replace(body, "[0-9A-Za-z]", "")), "groups": F.size(groups),
+    left = lambda pattern: F.length(F.regexp_replace(body, pattern, ""))
+    return {
+        "generator": rule, "kind": kind, "length": F.length(body), "digits": F.length(digits),
+        "letters": left("[^A-Za-z]"), "foreign": left(r"\P{L}") - left("[^A-Za-z]"),
+        "marks": left("[0-9A-Za-z]"), "groups": F.size(groups),
         "checksum": yes(F.coalesce(F.length(digits).between(13, 19) & F.call_function("luhn_check", digits), F.lit(False))),
         "parts": yes(F.when(body.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _ip_parts(body)).otherwise(F.lit(False))),
         "first_digit": F.when(digits == "", F.lit(-1)).otherwise(F.substring(digits, 1, 1).cast("int")),
+        "next_digit": F.when(numbers == "", F.lit(-1)).otherwise(numbers.cast("int")),
         "plus": yes(body.startswith("+")), "bracket": yes(body.rlike(r"[(\[]")),
         "dots": F.length(body) - F.length(F.translate(body, ".", "")),
-        "last_group": F.length(F.element_at(groups, -1)), "context": F.size(F.regexp_extract_all(before, F.lit(CONTEXT_WORDS), F.lit(0))),
+        "dotted": yes(plain.rlike(r"[\p{L}\p{N}]@[\p{L}\p{N}][\p{L}\p{N}.-]*\.\p{L}[\p{L}\p{N}-]+$")),
+        "spaced": yes(body.rlike(r"\.\x20")), "last_group": F.length(F.element_at(groups, -1)),
     }
+
+
+def _features(s: Column) -> Column:
+    """A proposal's place and features."""
+    number = {**_format(s["rule"], s["kind"], s["body"]), **_context(s["before"])}
     return F.struct(s["kind"].alias("kind_id"), s["rule"].alias("generator_id"), s["start"].alias("start"), s["end"].alias("end"),
                     *[number[f].cast("double").alias(f) for f in FEATURES])
 
 
+def _made(seed: Column) -> list[tuple[Column, Column]]:
+    """For each generator a private value and a look-alike, drawn by ``seed``."""
+    def draw(salt: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(seed, F.lit(salt)), F.lit(n))
+
+    def pick(salt: str, *values) -> Column:
+        return F.get(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), draw(salt, len(values)).cast("int"))
+
+    def number(salt: str, n: int) -> Column:
+        return F.lpad(draw(salt, 10 ** n).cast("string"), n, "0")
+
+    def word(salt: str) -> Column:
+        letters = F.translate(F.md5(F.concat(seed.cast("string"), F.lit(salt))), "0123456789", "ghijklmnop")
+        return F.substring(letters, F.lit(1), (draw(salt + "n", 8) + 3).cast("int"))
+
+    def checked(digits: Column) -> Column:
+        ends = F.array(*[F.lit(str(d)) for d in range(10)])
+        return F.concat(digits, F.get(F.filter(ends, lambda d: F.call_function("luhn_check", F.concat(digits, d))), F.lit(0)))
+
+    def cut(digits: Column, *sizes: int) -> Column:
+        places = [sum(sizes[:i]) + 1 for i in range(len(sizes))]
+        pieces = [F.substring(digits, at, size) for at, size in zip(places, sizes)]
+        joined = [F.concat(pieces[0], *[x for piece in pieces[1:] for x in (F.lit(mark), piece)]) for mark in (" ", "-")]
+        return pick("mark", *joined)
+
+    user, host, tld = pick("user", word("u"), F.concat(word("u"), F.lit("."), word("v")), F.concat(word("u"), number("u", 2))), word("h"), pick("tld", "org", "com", "de", "info")
+    foreign = lambda end: F.concat(user, pick("é", "é", "ü", "ñ"), F.lit("@"), host, F.lit("."), end)
+    plain = F.concat(user, F.lit("@"), host)
+    at = pick("at", " [at] ", "(at)", " (at) ", "[at]")
+    first = pick("issuer", "3", "4", "5", "6")
+    four = lambda n: F.concat_ws(".", *[draw(f"part{i}", n).cast("string") for i in range(4)])
+    mark = pick("mark", " ", "-", ".")
+    line = F.concat(number("x", 3), pick("end", "-", "."), number("y", 4))
+    high = lambda salt: F.concat((draw(salt, 8) + 2).cast("string"), number(salt, 2))
+    low = lambda salt: F.concat(draw(salt, 2).cast("string"), number(salt, 2))
+    area = lambda c: pick("area", F.concat(F.lit("("), c, F.lit(")")), c, c)
+    local = lambda a, b: F.concat(area(a), mark, b, pick("end", "-", "."), number("y", 4))
+    plus = lambda code: F.concat(F.lit("+"), code, mark, area(number("area", 3)), mark, line)
+    return [
+        (pick("form", plain, foreign(tld)),
+         pick("form", plain, F.concat(number("a", 2), F.lit("@"), number("b", 3)), F.concat(user, F.lit("@"), number("b", 2)), foreign(number("b", 2)))),
+        (F.concat(user, at, host, pick("dot", " [dot] ", "[dot]", "(dot)", "."), tld),
+         pick("form", F.concat(host, at, user, F.lit(". "), F.initcap(word("v"))), F.concat(number("a", 1), at, number("b", 1), F.lit("."), number("c", 2)))),
+        (four(256), four(1000)),
+        (F.regexp_replace(F.md5(seed.cast("string")), "(.{4})(?=.)", "$1:"), F.concat_ws(":", *[number(f"part{i}", 2) for i in range(8)])),
+        (checked(F.concat(first, pick("size", number("a", 14), number("a", 14), number("a", 11), number("a", 13), number("a", 17)))),
+         pick("size", number("a", 16), number("a", 13), number("a", 15), number("a", 18))),
+        (cut(checked(F.concat(first, number("a", 14))), 4, 4, 4, 4), cut(number("a", 16), 4, 4, 4, 4)),
+        (cut(checked(F.concat(F.lit("3"), number("a", 13))), 4, 6, 5), cut(number("a", 15), 4, 6, 5)),
+        (plus(pick("code", "1", "7", "33", "44", "49", "81", "351")), plus(F.concat(F.lit("0"), number("code", 2)))),
+        (local(high("a"), high("b")), pick("low", local(low("a"), number("b", 3)), local(number("a", 3), low("b")))),
+    ]
+
+
+def _contexts(docs: DataFrame) -> DataFrame:
+    """``kind, private, given, seed, n`` and the context's features: how many
+    contexts of a class the documents (``given``) or the fixed lead-ins have."""
+    text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    rules = [(i, BASE[kind], *_HINTS[kind]) for i, kind in enumerate(KINDS)]
+    found = _with_spans(text.where(F.col("text").rlike("[0-9@]")), "_base", rules, CONTEXT)
+    valid = lambda kind: lambda s: _valid(kind, s["body"])
+    spans = F.concat(*[F.filter(F.get("_base", F.lit(i)), valid(kind)) for i, kind in enumerate(KINDS)])
+    private = (found.select(F.explode(spans).alias("s"))
+               .select("s.kind", F.lit(True).alias("private"), F.xxhash64("s.body", "s.before").alias("hash"), F.col("s.before").alias("before")))
+    place = with_once(text.withColumn("hash", F.xxhash64("text")), place=F.pmod("hash", F.length("text") + 1).cast("int"))
+    before = F.substring(F.col("text"), F.greatest(F.col("place") - CONTEXT, F.lit(0)) + 1, F.least("place", F.lit(CONTEXT)))
+    alike = place.select(F.explode(F.array(*[F.lit(i) for i in range(len(KINDS))])).alias("kind"), F.lit(False).alias("private"), "hash", before.alias("before"))
+    seeds = docs.sparkSession.range(SEEDS).select(F.explode(F.array(*[F.lit(i) for i in range(len(KINDS))])).alias("kind"), F.col("id").alias("hash"))
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.pmod(F.xxhash64("hash", F.lit("lead")), F.lit(len(values))).cast("int"))
+    lead = of(LEADS[KINDS[0]])
+    for i, kind in enumerate(KINDS[1:], 1):
+        lead = F.when(F.col("kind") == i, of(LEADS[kind])).otherwise(lead)
+    drawn = F.xxhash64("hash", F.lit("side"))
+    fixed = [seeds.select("kind", F.lit(True).alias("private"), "hash", F.when(F.pmod(drawn, F.lit(PRIVATE_NEUTRAL)) == 0, of(NEUTRAL)).otherwise(lead).alias("before")),
+             seeds.select("kind", F.lit(False).alias("private"), "hash", F.when(F.pmod(drawn, F.lit(ALIKE_LEAD)) == 0, lead).otherwise(of(NEUTRAL)).alias("before"))]
+    out = None
+    for part, given in ((private, True), (alike, True), *[(f, False) for f in fixed]):
+        part = part.select("kind", "private", F.lit(given).alias("given"), F.pmod("hash", F.lit(SEEDS)).alias("seed"),
+                           *[c.cast("double").alias(f) for f, c in _context(F.col("before")).items()])
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*out.columns).agg(F.count("*").alias("n"))
+
+
+def injected(docs: DataFrame) -> DataFrame:
+    """The injected spans as ``generator_id, label, aside, weight`` and features.
+
+    Each context of ``docs`` counts; in a generator both classes weigh the
+    same, and in a class documents weigh as much as the fixed lead-ins (less if
+    they give fewer contexts than those are)."""
+    contexts = stored(_contexts(docs), "pii-contexts")
+    seed = F.xxhash64("kind", "private", "given", "seed", *CONTEXT_FEATURES)
+    held = with_once(contexts, hash=seed)
+    bodies = [F.struct(F.lit(g).alias("rule"), F.lit(KINDS.index(kind)).alias("kind"), F.when(F.col("private"), good).otherwise(bad).alias("body"))
+              for g, ((kind, *_), (good, bad)) in enumerate(zip(GENERATORS, _made(F.col("hash"))))]
+    rows = held.select("private", "given", "hash", "n", "kind", *CONTEXT_FEATURES, F.explode(F.array(*bodies)).alias("s")).where("s.kind = kind")
+    number = _format(F.col("s.rule"), F.col("s.kind"), F.col("s.body"))
+    rows = stored(rows.select(F.col("s.rule").alias("generator_id"), F.col("private").cast("double").alias("label"), "given",
+                              (F.pmod(F.xxhash64("hash", F.lit("aside")), F.lit(SET_ASIDE)) == 0).alias("aside"), "n",
+                              *[number[f].cast("double").alias(f) for f in BODY_FEATURES], *CONTEXT_FEATURES), "pii-injected")
+    # 36 totals at most
+    totals = rows.groupBy("generator_id", "label", "given").agg(F.sum("n").alias("whole"))
+    totals = totals.withColumn("side", F.least("whole", F.lit(SEEDS)))
+    sides = totals.groupBy("generator_id", "label").agg(F.sum("side").alias("sides"))
+    totals = totals.join(F.broadcast(sides), ["generator_id", "label"])
+    weighed = rows.join(F.broadcast(totals), ["generator_id", "label", "given"])
+    weight = F.col("n") / F.col("whole") * F.col("side") / F.col("sides") * 1000.0
+    return weighed.select("generator_id", "label", "aside", weight.alias("weight"), *FEATURES)
+
+
 def with_proposals(df: DataFrame) -> DataFrame:
     """Adds to a table with ``base`` the generators' spans with their features
     as ``proposals``, and as ``marks`` their places ``(start, end, at, open)``
@@ -280,54 +395,37 @@ def _tree_value(tree, row: Column) -> Column:
 
 
 def fit_booster(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Booster:
-    """Trees and thresholds from the proposals of all ``docs``.
-
-    Proposals of equal features count as one in fitting, so a hot source does
-    not crowd out others, and generators weigh the same.  The thresholds count
-    every proposal.
-    """
-    sample = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    rows = (with_proposals(with_base_spans(sample.where(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"))))
-            .select("proposals", F.explode("marks").alias("m")).select(F.get("proposals", F.col("m.at")).alias("c"), F.col("m.open").alias("open")))
-    # few columns of small numbers: a row for each combination that occurs
-    forms = stored(rows.select("c.generator_id", *[f"c.{f}" for f in FEATURES], _is_private(F.col("c")).cast("double").alias("label"), "open")
-                   .groupBy("generator_id", "label", "open", *FEATURES).agg(F.count("*").alias("n")), "pii-forms")
-    different = {r.generator_id: r.k for r in forms.groupBy("generator_id").agg(F.count("*").alias("k")).collect()}
-    labels = {r.label for r in forms.select("label").distinct().collect()}
-    if not labels:
-        return Booster([], {})
-    if len(labels) < 2:
-        trees = [(1.0, 1.0 if labels == {1.0} else -1.0)]
-    else:
-        share = weight = F.lit(1.0)
-        for g, k in different.items():
-            share = F.when(F.col("generator_id") == g, min(1.0, fit_rows / k)).otherwise(share)
-            weight = F.when(F.col("generator_id") == g, 1000.0 / min(k, fit_rows)).otherwise(weight)
-        drawn = F.pmod(F.xxhash64(*FEATURES, "open"), F.lit(1_000_000)) < share * 1_000_000
-        fitted = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(forms.where(drawn).withColumn("weight", weight))
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, weightCol="weight").fit(fitted.select("label", "weight", "features"))
-        trees = [(float(w), _tree_of(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
+    """Trees from about ``fit_rows`` injected spans a generator, thresholds
+    from all that are set aside (see ``injected``)."""
+    spans = stored(injected(docs), "pii-spans")
+    kept = spans.where("not aside")
+    share = F.lit(1.0)
+    for r in kept.groupBy("generator_id").count().collect():
+        share = F.when(F.col("generator_id") == r.generator_id, min(1.0, fit_rows / r["count"])).otherwise(share)
+    drawn = F.pmod(F.xxhash64("weight", *FEATURES), F.lit(1_000_000)) < share * 1_000_000
+    fitted = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(kept.where(drawn))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, weightCol="weight").fit(fitted.select("label", "weight", "features"))
+    trees = [(float(w), _tree_of(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
     booster = Booster(trees, {})
     score = booster.probability(F.struct(*FEATURES))
-    booster.thresholds = _thresholds(forms.where("open").select("generator_id", "label", "n", score.alias("p")))
+    booster.thresholds = _thresholds(spans.where("aside").select("generator_id", "label", "weight", score.alias("p")))
     return booster
 
 
 def _thresholds(seen: DataFrame) -> dict[int, float]:
     """For each generator the lowest score from which on the precision is
-    reached; RARE_THRESHOLD where there are too few proposals to tell."""
-    found: dict[int, float] = {g: RARE_THRESHOLD for g in range(len(GENERATORS))}
-    # scores are sums of a few leaves, so a generator has few distinct ones
-    by_score = seen.groupBy("generator_id", "p").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("hits"))
+    reached, and at which more spans are private than not; a generator that
+    never reaches it adds nothing."""
+    found: dict[int, float] = {}
+    # scores are sums of leaves and are rounded, so a generator has a bounded number
+    by_score = (seen.groupBy("generator_id", F.floor(F.col("p") * 1000).alias("p"))
+                .agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("hits")))
     for r in by_score.groupBy("generator_id").agg(F.sort_array(F.collect_list(F.struct("p", "n", "hits")), False).alias("s")).collect():
-        if sum(k for _, k, _ in r.s) < LEAST_ROWS:
-            continue
         n = hits = 0
-        del found[r.generator_id]
         for p, k, h in r.s:
             n, hits = n + k, hits + h
-            if hits >= PRECISION * n:
-                found[r.generator_id] = p - ROUNDING
+            if hits >= PRECISION * n and 2 * h > k:
+                found[r.generator_id] = p / 1000 - ROUNDING
     return found
 
 
