@@ -88,7 +88,7 @@ def test_equal_bodies_part_by_context_and_both_classes_are_learned(documents):
     # spans of other documents than those fitted on: injected with other contexts
     other = documents([(i, f"{i} ways to call or write to user{i}@host{i}.example.org from 10.0.{i}.1") for i in range(300)])
     spans = pii.injected(other).where("aside")
-    p = booster.probability(F.struct(*pii.FEATURES))
+    p = F.expr(booster.probability())
     least = F.create_map(*[F.lit(x) for pair in booster.thresholds.items() for x in pair])
     taken = spans.withColumn("taken", p >= least[F.col("generator_id")]).where("taken").groupBy("generator_id")
     for r in taken.agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("hits")).collect():

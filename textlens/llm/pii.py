@@ -366,11 +366,10 @@ class Booster:
     trees: list
     thresholds: dict
 
-    def probability(self, row: Column) -> Column:
-        margin = F.lit(0.0)
-        for weight, tree in self.trees:
-            margin = margin + F.lit(weight) * _tree_value(tree, row)
-        return 1.0 / (1.0 + F.exp(-2.0 * margin))
+    def probability(self, row: str = "") -> str:
+        """SQL of the score of features that are columns, or fields of ``row``."""
+        margin = " + ".join(f"{weight!r}D * {_tree_value(tree, row)}" for weight, tree in self.trees) or "0D"
+        return f"1D / (1D + exp(-2D * ({margin})))"
 
     def accepted(self, p: Column) -> Column:
         ok = F.lit(False)
@@ -387,11 +386,12 @@ def _tree_of(node) -> tuple | float:
     return int(split.featureIndex()), float(split.threshold()), _tree_of(node.leftChild()), _tree_of(node.rightChild())
 
 
-def _tree_value(tree, row: Column) -> Column:
+def _tree_value(tree, row: str) -> str:
     if isinstance(tree, float):
-        return F.lit(tree)
+        return f"({tree!r}D)"
     feature, at, left, right = tree
-    return F.when(row[FEATURES[feature]] <= at, _tree_value(left, row)).otherwise(_tree_value(right, row))
+    name = f"{row}.{FEATURES[feature]}" if row else FEATURES[feature]
+    return f"CASE WHEN {name} <= {at!r}D THEN {_tree_value(left, row)} ELSE {_tree_value(right, row)} END"
 
 
 def fit_booster(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Booster:
@@ -407,7 +407,7 @@ def fit_booster(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Booster:
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, weightCol="weight").fit(fitted.select("label", "weight", "features"))
     trees = [(float(w), _tree_of(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
     booster = Booster(trees, {})
-    score = booster.probability(F.struct(*FEATURES))
+    score = F.expr(booster.probability())
     booster.thresholds = _thresholds(spans.where("aside").select("generator_id", "label", "weight", score.alias("p")))
     return booster
 
@@ -447,8 +447,8 @@ def find_private(docs: DataFrame, booster: Booster | None = None) -> DataFrame:
     if not booster.trees or not booster.thresholds:
         return found.select("doc_id", base, F.transform("base", place).alias("added")).withColumn("added", F.filter("added", lambda s: F.lit(False)))
     found = with_proposals(found)
-    scored = F.transform("proposals", lambda c: F.struct(
-        c["kind_id"].alias("kind_id"), c["generator_id"].alias("generator_id"), c["start"].alias("start"), c["end"].alias("end"), booster.probability(c).alias("p")))
+    places = ", ".join(f"c.{f} AS {f}" for f in ("kind_id", "generator_id", "start", "end"))
+    scored = F.expr(f"transform(proposals, c -> struct({places}, {booster.probability('c')} AS p))")
     found = with_once(found, scored=scored).drop("text", "proposals")
     # generators may propose the same span: the order of proposals tells which goes first
     likely = F.filter(F.transform("marks", lambda m: F.struct(F.get("scored", m["at"]).alias("c"), m["at"].alias("at"), m["open"].alias("open"))),
