@@ -201,3 +201,12 @@ def test_calibration_puts_the_best_cut_at_the_threshold():
     score = 1 / (1 + np.exp(-(slope * margins + shift)))
     assert ((score >= 0.7) == (labels == 1)).all()
     assert list(score) == sorted(score, reverse=True)
+
+
+def test_repeated_ids_count_once_in_the_fit(documents, spark, toxic_rows):
+    rows, labels = toxic_rows
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").select("doc_id", F.col("toxic").alias("label"))
+    once = toxicity.fit_model(documents(rows[:120]), known)
+    again = toxicity.fit_model(documents(rows[:120] + [rows[0]] * 300 + [(rows[0][0], None if rows[0][1] == "" else "~" + rows[0][1])]), known)
+    assert sorted(once.grams) == sorted(again.grams)
+    assert np.allclose(np.sort(once.weights), np.sort(again.weights), atol=1e-6) and np.isclose(once.bias, again.bias, atol=1e-6)

@@ -159,7 +159,8 @@ def calibrate(margins: np.ndarray, labels: np.ndarray, threshold: float = THRESH
 def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """The classifier of ``docs(doc_id, text)`` and ``labels(doc_id, label)``.
 
-    Of the labels, the ``fit_rows`` rows with the smallest id hashes are used.
+    Of the labels, the ``fit_rows`` rows with the smallest id hashes are used;
+    of documents that share an id, the first text in code-point order.
     Null labels are left out; a doc_id with several labels has the largest.
     Without rows of both labels the model gives each text the share of label 1.
     """
@@ -169,6 +170,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> M
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))
     parts = max(2, min(16, spark.sparkContext.defaultParallelism))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label", "fold").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     rows = stored(small_batches(rows).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "text"), "toxic-sample")
     n = {(r.fold, r.label): r["count"] for r in rows.groupBy("fold", "label").count().collect()}
     n = {(f, y): n.get((f, y), 0) for f in (0, 1) for y in (0, 1)}
