@@ -95,11 +95,15 @@ def tfidf_vectors(spark, sf_dir):
 
 # --------------------------------------------------------- word vectors ---
 
-def vector_table(spark, sf_dir):
+def vector_words(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     toks = docs.select(F.explode(V.encode_tokens("text")).alias("word"))
     vocab = toks.groupBy("word").count().filter(F.col("count") >= VECTOR_MIN_COUNT).select("word")
-    return reuse(V.hashed_vectors(vocab, VECTOR_DIM))
+    return reuse(vocab)
+
+
+def vector_table(spark, sf_dir):
+    return V.hashed_vectors(vector_words(spark, sf_dir), VECTOR_DIM)
 
 
 ENC_TOK = f"(SELECT doc_id, unnest({S.words('lower(text)')}) AS word FROM documents)"
@@ -120,7 +124,9 @@ FROM documents d CROSS JOIN dims LEFT JOIN m ON m.doc_id = d.doc_id AND m.dim =
 """)
 def doc_vectors_mean(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    m = V.mean_vectors(docs, vector_table(spark, sf_dir), VECTOR_DIM)
+    # the table holds two numbers a word: its vectors are made where they are added up
+    seeds = V.hashed_seeds(vector_words(spark, sf_dir))
+    m = V.mean_vectors(docs, seeds, VECTOR_DIM, expand=V.expand_seeds)
     return m.select("doc_id", F.posexplode("vec").alias("dim", "value")) \
             .select("doc_id", F.col("dim").cast("int"), T.round_half_up("value", 6).alias("value"))
 
