@@ -1,15 +1,18 @@
 """Evaluation: token-level highlight metrics and class-level metrics.
 
-Token metrics are array expressions per record followed by one grouped
-average; class metrics reduce to a confusion table (one row per
+Token metrics are counts per record followed by one grouped average; class metrics reduce to a confusion table (one row per
 (label, prediction) pair) before any per-class arithmetic, so the shuffle
 carries at most k*k partial rows per task.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,76 @@ from ..session import scratch_path
 
 # ------------------------------------------------------------ token level --
 
+#: Records whose words are compared at a time.
+RECORDS_AT_ONCE = 2_000
+
+
+def _case_code(w: str) -> int:
+    """1 = all cased characters upper (and at least one), -1 = all lower, 0 = neither."""
+    if w.upper() == w:
+        return 1 if w.lower() != w else 0
+    return -1 if w.lower() == w else 0
+
+
+def _wildcard(c: str) -> bool:
+    return c != "_" and unicodedata.category(c)[0] not in "LN"
+
+
+def _alike(gold: str, predicted: str) -> bool:
+    """Words of equal length that are equal but for non-word characters."""
+    return len(gold) == len(predicted) and all(
+        x == y or _wildcard(x) or _wildcard(y) for x, y in zip(gold, predicted))
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of all texts, the text each is of, and the words of each text."""
+    lists = pc.utf8_split_whitespace(texts)
+    flat, text = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    some = pc.binary_length(flat).to_numpy() > 0
+    flat, text = flat.filter(pa.array(some)), text[some]
+    return flat, text, np.bincount(text, minlength=len(texts))
+
+
+def _first(flat: pa.Array, text: np.ndarray, n: np.ndarray, most: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The first ``most`` words of each text."""
+    keep = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n) < most[text]
+    return flat.filter(pa.array(keep)), text[keep]
+
+
+PAIR_COUNTS = "struct<n_real:long,m:long,tp:long,fp:long,fn:long>"
+
+
+def _pair_counts(real: pa.Array, pred: pa.Array) -> pa.Array:
+    (r, r_text, r_n), (p, p_text, p_n) = _split(real), _split(pred)
+    least = np.minimum(r_n, p_n)
+    (r, text), (p, _) = _first(r, r_text, r_n, least), _first(p, p_text, p_n, least)
+    both = pa.concat_arrays([r, p]).dictionary_encode()
+    words, at = both.dictionary.to_pylist(), both.indices.to_numpy().astype(np.int64)
+    gold, predicted = at[: len(r)], at[len(r) :]
+    case = np.array([_case_code(w) for w in words], np.int64)
+    matched = gold == predicted
+    # other pairs: the distinct ones are compared once
+    other = np.flatnonzero(~matched)
+    pairs, place = np.unique(gold[other] * len(words) + predicted[other], return_inverse=True)
+    alike = np.array([_alike(words[k // len(words)], words[k % len(words)]) for k in pairs.tolist()], bool)
+    matched[other] = alike[place]
+    code = 3 * case[gold] + case[predicted]
+    counts = [np.bincount(text[hit], minlength=len(real)) for hit in (matched, code == 4, code == -2, code == 2)]
+    no_gold = real.is_null().to_numpy(zero_copy_only=False)
+    none = no_gold | pred.is_null().to_numpy(zero_copy_only=False)
+    columns = [pa.array(r_n, pa.int64(), mask=no_gold), *[pa.array(c, pa.int64(), mask=none) for c in counts]]
+    return pa.StructArray.from_arrays(columns, names=["n_real", "m", "tp", "fp", "fn"])
+
+
+def pair_counts(real: pa.Array, pred: pa.Array) -> pa.Array:
+    """Words of the gold text, and its word pairs with the predicted text that
+    match, are both upper (tp), lower and upper (fp), upper and lower (fn);
+    null if a text is."""
+    parts = [_pair_counts(real.slice(k, RECORDS_AT_ONCE), pred.slice(k, RECORDS_AT_ONCE))
+             for k in range(0, len(real) or 1, RECORDS_AT_ONCE)]
+    return pa.concat_arrays(parts)
+
+
 def token_metrics(df: DataFrame, real_col: str = "real_output",
                   pred_col: str = "pred_output") -> DataFrame:
     """Per record: token accuracy %, highlight precision %, highlight recall %.
@@ -32,25 +105,13 @@ def token_metrics(df: DataFrame, real_col: str = "real_output",
     code (+1 upper, -1 lower, 0 neither); a pair code 3*gold + pred then
     identifies TP (4), FP (-2) and FN (2).
     """
-    rw, pw = T.words(real_col), T.words(pred_col)
-    df = df.withColumns({"_rw": rw, "_pw": pw})
-    n = F.least(F.size("_rw"), F.size("_pw"))
-    rs, ps = F.slice("_rw", 1, n), F.slice("_pw", 1, n)
-    codes = F.zip_with(F.transform(rs, T.case_code), F.transform(ps, T.case_code),
-                       lambda a, b: a * 3 + b)
-    matches = F.size(F.filter(F.zip_with(rs, ps, T.words_match), lambda m: m))
-    df = df.withColumns({"_codes": codes, "_m": matches})
-    tp = F.size(F.filter("_codes", lambda c: c == 4))
-    fp = F.size(F.filter("_codes", lambda c: c == -2))
-    fn = F.size(F.filter("_codes", lambda c: c == 2))
-    n_real = F.size("_rw")
-    df = df.withColumns({"_tp": tp, "_fp": fp, "_fn": fn})
-    tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
+    df = df.withColumn("_c", F.arrow_udf(pair_counts, PAIR_COUNTS)(real_col, pred_col))
+    n_real, m, tp, fp, fn = (F.col(f"_c.{c}") for c in ("n_real", "m", "tp", "fp", "fn"))
     return df.withColumns({
-        "token_accuracy": F.when(n_real > 0, F.col("_m") * 100.0 / n_real).otherwise(F.lit(0.0)),
+        "token_accuracy": F.when(n_real > 0, m * 100.0 / n_real).otherwise(F.lit(0.0)),
         "highlight_precision": F.when(tp + fp > 0, tp * 100.0 / (tp + fp)).otherwise(F.lit(0.0)),
         "highlight_recall": F.when(tp + fn > 0, tp * 100.0 / (tp + fn)).otherwise(F.lit(0.0)),
-    }).drop("_rw", "_pw", "_codes", "_m", "_tp", "_fp", "_fn")
+    }).drop("_c")
 
 
 def macro_metrics(scored: DataFrame, group_cols: Sequence[str] = ("family", "model")) -> DataFrame:

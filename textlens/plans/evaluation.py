@@ -37,11 +37,10 @@ def predictions(spark, sf_dir):
     per_doc = per_doc.withColumn("real_output", T.join_words(F.transform("_t", lambda w: _case(w, 6))))
     rows = per_doc.select("doc_id", "family", "_t", "real_output", spec.alias("m"))
     real = F.col("real_output")
-    pred = F.transform("_t", lambda w: _case(w, F.col("m.k")))
-    pred = F.when(F.col("m.wc"), F.transform(pred, lambda w: F.regexp_replace(w, "[aA]", "?"))) \
-            .otherwise(pred)
-    return rows.select("doc_id", "family", F.col("m.model").alias("model"),
-                       real.alias("real_output"), T.join_words(pred).alias("pred_output"))
+    pred = T.join_words(F.transform("_t", lambda w: _case(w, F.col("m.k"))))
+    wild = F.replace(F.replace(pred, F.lit("a"), F.lit("?")), F.lit("A"), F.lit("?"))
+    return rows.select("doc_id", "family", F.col("m.model").alias("model"), real.alias("real_output"),
+                       F.when(F.col("m.wc"), wild).otherwise(pred).alias("pred_output"))
 
 
 def _case_sql(w: str, k: str) -> str:
