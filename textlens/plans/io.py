@@ -151,7 +151,7 @@ def results_dir_roundtrip(spark, sf_dir):
     (the keys come from the paths) and evaluated."""
     path = scratch_path(spark, "predictions")
     preds = predictions(spark, sf_dir).select("family", "model", "real_output", "pred_output")
-    W.write_partitioned(preds, path, ["family", "model"], fmt="json")
+    W.write_partitioned(preds, path, ["family", "model"], fmt="json", compression="gzip")
     back = R.read_partitioned(spark, path, "json",
                               "real_output string, pred_output string, family string, model string")
     m = E.macro_metrics(E.token_metrics(back))

@@ -26,11 +26,22 @@ def write_corpus(df: DataFrame, path: str, text_col: str = "text") -> None:
       .write.mode("overwrite").text(path)
 
 
+#: Files that a task of a partitioned write holds open at most.
+OPEN_FILES = 64
+
+
 def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], fmt: str = "parquet",
-                      mode: str = "overwrite") -> None:
+                      mode: str = "overwrite", **options: str) -> None:
     """Partitioned layout (e.g. encoding/vector_size/split): readers that
-    filter on the keys read only the matching directories."""
-    df.write.mode(mode).partitionBy(*partition_cols).format(fmt).save(path)
+    filter on the keys read only the matching directories.  A task of few keys
+    writes their files side by side; Spark would sort (and spill) its rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(max(int(before), OPEN_FILES)))
+    try:
+        df.write.mode(mode).partitionBy(*partition_cols).format(fmt).options(**options).save(path)
+    finally:
+        conf.set(name, before)
 
 
 def append_results(df: DataFrame, path: str, partition_cols: list[str], fmt: str = "parquet") -> None:
