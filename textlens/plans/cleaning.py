@@ -11,6 +11,7 @@ from ..operators import clean as C
 from ..operators.dedupe import keep_first
 from ..sources.tables import labelled_corpus, table
 from . import sqlparts as S
+from .common import reuse
 from .registry import register
 
 # Sequence-model corpora keep texts of at most 64 words (`max_words`).  The
@@ -238,7 +239,8 @@ def lemmatize_lexicon(spark, sf_dir):
     nouns are the corpus words seen at least five times."""
     from ..operators.lexicon import noun_lemmas
     corpus = C.clean_corpus(labelled_corpus(spark, sf_dir))
-    toks = corpus.select("doc_id", T.join_words(T.word_tokenize("text")).alias("text"))
+    # read three times below: the words, the known ones and the texts themselves
+    toks = reuse(corpus.select("doc_id", T.join_words(T.word_tokenize("text")).alias("text")))
     words = toks.select(F.explode(F.split("text", " ")).alias("form"))
     known = words.groupBy("form").count().filter(F.col("count") >= LEMMA_MIN_COUNT) \
                  .select(F.col("form").alias("word"))
@@ -275,7 +277,6 @@ def clean_corpus_full(spark, sf_dir):
     tokenization, noun lemmatization (known nouns: words seen at least five
     times in the tokenized corpus), one keep-first dedupe at the end."""
     from ..operators.lexicon import noun_lemmas
-    from .common import reuse
     corpus = labelled_corpus(spark, sf_dir)
     tokenized = reuse(C.clean_corpus(corpus, C.CleanConfig(contractions=CONTRACTIONS, tokenize=True)))
     words = tokenized.select(F.explode(F.split("text", " ")).alias("form"))
