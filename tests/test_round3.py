@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 import pyarrow as pa
 
 from textlens.functions import text as T
+from textlens.llm import bpe
 from textlens.operators import evaluation as E
 from textlens.operators import vectors as V
 from textlens.plans import cleaning as CL
@@ -72,3 +74,14 @@ def test_lemmas_read_the_tokenized_corpus_once(spark, tmp_path):
     out = CL.lemmatize_lexicon(spark, str(tmp_path))
     assert "InMemoryRelation" in out._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in out.collect()] == [(1, "boy boy boy boy boy boy")]
+
+
+def test_ids_are_decoded_by_positions_in_the_joined_tokens():
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    ranks = bpe.read_ranks(path)
+    rows = [[ranks[b" the"], ranks[b"a"]], [], None, [ranks[b"\xff"]] * 3, [max(ranks.values()), 0]]
+    tokens = {v: k for k, v in ranks.items()}
+    want = [b"".join(tokens[i] for i in row or ()) for row in rows]
+    column = pa.array([[1], *rows], pa.list_(pa.int32()))
+    assert bpe._Decoder(path)(column.slice(1)).to_pylist() == want
+    assert bpe._Decoder(path)(column.slice(0, 0)).to_pylist() == []

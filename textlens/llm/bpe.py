@@ -265,6 +265,28 @@ class _Worker:
         return out
 
 
+class _Decoder:
+    """The bytes of all tokens in a row, and where each one's are."""
+
+    def __init__(self, path: str):
+        tokens = {rank: token for token, rank in read_ranks(path).items()}
+        self.sizes = np.zeros(max(tokens) + 1, np.int64)
+        self.sizes[list(tokens)] = [len(t) for t in tokens.values()]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(tokens[k] for k in sorted(tokens)), np.uint8)
+
+    def __call__(self, ids: pa.ListArray) -> pa.Array:
+        """The decoded bytes of each row; null ids count as none."""
+        ids = ids.fill_null([]) if ids.null_count else ids
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        sizes = self.sizes[flat]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[flat] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        rows = np.cumsum(ids.value_lengths().to_numpy())
+        offsets = np.r_[0, np.r_[0, ends][rows]].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(self.bytes[at])])
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``doc_id, ids`` of each row of ``docs(doc_id, text)``.
 
@@ -294,10 +316,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, job):
-            tokens = worker_state(job, lambda: {rank: token for token, rank in read_ranks(path).items()})
-            rows = batch.column("ids").to_pylist()
-            decoded = [b"".join(map(tokens.__getitem__, row or ())) for row in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.binary())],
+            decoded = worker_state(job, lambda: _Decoder(path))(batch.column("ids"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), decoded],
                                              names=["doc_id", "ids", "decoded"])
 
     return small_batches(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
