@@ -10,8 +10,8 @@ that holds a special string, goes through the library whole.
 from __future__ import annotations
 
 import json
+import struct
 
-import numpy as np
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
@@ -24,6 +24,8 @@ CACHE_ENTRIES = 200_000
 #: Longer pre-tokens (in characters) are encoded but not kept.
 CACHE_CHARS = 64
 VOCABULARY = "byte_bpe_50k.json"
+#: Up to here the libraries' character classes agree.
+_LATIN = "\u0250"
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -68,6 +70,8 @@ class PreTokenCache:
             spec = json.load(f)
         self.path, self._library = path, None
         self.fast = byte_level_encoding(spec)
+        # of the byte-level alphabet, U+0120 stands for the space
+        self._spaced = {i for token, i in spec["model"].get("vocab", {}).items() if token.startswith("\u0120")} if self.fast else set()
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.of_ids = of_ids
         self.first = first or {}
@@ -91,31 +95,39 @@ class PreTokenCache:
             return [self.whole(text)]
         kept = self.kept
         head, *rest = text.split(" ")
-        try:
-            # keys leave out the space that leads them
-            found = [kept[p] for p in rest]
-        except KeyError:
-            found = None
-        if found is None:
-            misses = {p for p in rest if p not in kept}
+        # keys leave out the space that leads them
+        found = [*map(kept.get, rest)]
+        if None in found:
+            misses = [*dict.fromkeys(p for p, v in zip(rest, found) if v is None)]
             if any(not p or p[0].isspace() for p in misses):
                 return [self.whole(text)]
-            encode = self._encode
-            fresh = {p: encode(" " + p) for p in misses}
-            found = [kept[p] if p in kept else fresh[p] for p in rest]
+            fresh = dict(zip(misses, self._encode_spaced(misses)))
+            found = [fresh[p] if v is None else v for p, v in zip(rest, found)]
             if len(kept) < CACHE_ENTRIES:
                 kept.update((p, v) for p, v in fresh.items() if len(p) <= CACHE_CHARS)
         return ([self._encode(head)] if head else []) + found
 
+    def _encode_spaced(self, pieces: list[str]) -> list:
+        """The values of pieces that a space leads, through the encoder together
+        where it can: a token with a leading space starts a piece."""
+        if self.fast is not None:
+            joined = " " + " ".join(pieces)
+            if joined.isascii() or max(joined) < _LATIN:
+                ids = self.fast.encode_ordinary(joined)
+                starts = [i for i, id_ in enumerate(ids) if id_ in self._spaced]
+                if len(starts) == len(pieces):
+                    return [self.of_ids(ids[lo:hi]) for lo, hi in zip(starts, [*starts[1:], len(ids)])]
+        return [self._encode(" " + p) for p in pieces]
+
     def _encode(self, piece: str):
         # beyond Latin letters the libraries' character classes may differ by Unicode version
-        if self.fast is not None and (piece.isascii() or max(piece) < "\u0250"):
+        if self.fast is not None and (piece.isascii() or max(piece) < _LATIN):
             return self.of_ids(self.fast.encode_ordinary(piece))
         return self.of_ids(self.library.encode(piece, add_special_tokens=False).ids)
 
 
 def ids_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def worker_cache(key: str, path: str, of_ids, first: dict | None = None) -> PreTokenCache:
