@@ -131,8 +131,7 @@ FROM vocab, range({VECTOR_DIM}) r(i) GROUP BY word
 def vector_text_roundtrip(spark, sf_dir):
     """Word vectors written as ``word v1 v2 ...`` lines and parsed back."""
     vt = vector_table(spark, sf_dir)
-    line = F.concat_ws(" ", F.col("word"),
-                       F.array_join(F.transform("vec", lambda x: x.cast("float").cast("string")), " "))
+    line = F.concat_ws(" ", F.col("word"), F.array_join(F.col("vec").cast("array<float>").cast("array<string>"), " "))
     path = scratch_path(spark, "vectors")
     vt.select(line.alias("value")).write.mode("overwrite").text(path)
     back = V.read_vector_text(spark, path)
