@@ -45,6 +45,23 @@ def test_top_k_of_few_vectors(spark):
     assert topk_search.top_k(df.where("vec_id > 9"), step=10).count() == 0
 
 
+def test_a_vector_block_is_not_sent_beside_each_query_block(spark, monkeypatch):
+    """No row holds a block of vectors and a block of queries; many sets, wide numbers."""
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 2)
+    monkeypatch.setattr(topk_search, "SET_BLOCKS", 3)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6) * rng.choice([1, 300, 1e5])]) for i in range(120)]
+    df = spark.createDataFrame([(i, v, "own") for i, v in rows], VECTORS).repartition(3)
+    out = topk_search.top_k(df, step=4, block_rows=20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("MapCoGroupsInArrow", "")
+    assert sorted(map(tuple, out.collect())) == brute_top(rows, 4)
+    for most, size in ((2**15 - 1, 2), (2**15, 4), (2**40, 8)):
+        m = np.array([[most, -1.0], [0.0, 7.0]])
+        held = topk_search._packed(m)
+        assert len(held) == 4 * size and (topk_search._unpack(b"", held, 2, 2)[1] == m).all()
+
+
 def test_pruning_keeps_all_that_reach_the_bound():
     rng = np.random.default_rng(6)
     m = np.round(rng.normal(size=(300, 8)) * 40)

@@ -20,7 +20,6 @@ every bucket.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +37,8 @@ NORM_RATIO = 1.05
 #: Rows of a block of vectors and of queries.
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
+#: Blocks of queries that a task holds beside a block of vectors, on average.
+SET_BLOCKS = 16
 #: Blocks of the longest vectors that give each query its first bound.
 FIRST_BLOCKS = 2
 #: From this local cosine threshold on a bucket is pruned by coordinates.
@@ -65,6 +66,12 @@ def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
+def _packed(m: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as hold them, others as doubles."""
+    most = float(np.abs(m).max(initial=0))
+    return m.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64).tobytes()
+
+
 def _blocks(group: pd.DataFrame) -> pd.DataFrame:
     """One row that holds a block's vectors, longest first."""
     width = max(map(len, group["v"]))
@@ -72,7 +79,7 @@ def _blocks(group: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((group["vec_id"].to_numpy(), -(m * m).sum(axis=1)))
     return pd.DataFrame({"block": [group["block"].iloc[0]], "rows": [len(group)], "width": [width],
                          "ids": [group["vec_id"].to_numpy(np.int64)[order].tobytes()],
-                         "values": [m[order].tobytes()]})
+                         "values": [_packed(m[order])]})
 
 
 def packed_blocks(vectors: DataFrame, block_rows: int) -> DataFrame:
@@ -92,7 +99,8 @@ def packed_blocks(vectors: DataFrame, block_rows: int) -> DataFrame:
 
 
 def _unpack(ids: bytes, values: bytes, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(values, np.float64).reshape(rows, width)
+    kind = {2: np.int16, 4: np.int32}.get(len(values) // max(1, rows * width), np.float64)
+    return np.frombuffer(ids, np.int64), np.frombuffer(values, kind).astype(np.float64).reshape(rows, width)
 
 
 def candidates(q: np.ndarray, bound: float, unit: np.ndarray, norms: np.ndarray) -> np.ndarray | slice | None:
@@ -129,17 +137,15 @@ def _products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _search(top: int):
-    """Best products of each row's block of vectors for its block of queries."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["block"] != last:
-                    ids, m = _unpack(r["ids"], r["values"], r["rows"], r["width"])
-                    norms = np.sqrt((m * m).sum(axis=1))
-                    unit = np.ascontiguousarray((m / np.where(norms, norms, 1)[:, None]).T)
-                    last, held = r["block"], (ids, m, norms, unit)
-                ids, m, norms, unit = held
+    """Best products of a block of vectors for each of a set of query blocks."""
+    def run(blocks: pa.Table, queries: pa.Table) -> pa.Table:
+        out_q, out_v, out_s = [], [], []
+        for b in blocks.to_pylist() if queries.num_rows else []:   # one row, or none
+            ids, m = _unpack(b["ids"], b["values"], b["rows"], b["width"])
+            norms = np.sqrt((m * m).sum(axis=1))
+            unit = np.ascontiguousarray((m / np.where(norms, norms, 1)[:, None]).T)
+            for at in range(queries.num_rows):
+                r = queries.slice(at, 1).to_pylist()[0]
                 q_ids, qs = _unpack(r["q_ids"], r["q_values"], r["q_rows"], r["q_width"])
                 bounds = np.frombuffer(r["bounds"], np.float64)
                 wide = max(qs.shape[1], m.shape[1])
@@ -147,7 +153,6 @@ def _search(top: int):
                 if m.shape[1] < wide:
                     m = np.pad(m, ((0, 0), (0, wide - m.shape[1])))
                     unit = np.pad(unit, ((0, wide - len(unit)), (0, 0)))
-                out_q, out_v, out_s = [], [], []
                 for q_id, q, bound in zip(q_ids.tolist(), qs, bounds.tolist()):
                     rows = candidates(q, bound, unit, norms)
                     if rows is None:
@@ -160,16 +165,21 @@ def _search(top: int):
                     first = np.sort(np.unique(found[best], return_index=True)[1])[:top]  # an id once, with its best
                     best = best[first]
                     out_q.append(np.full(len(best), q_id)), out_v.append(found[best]), out_s.append(score[best])
-                cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays([cat(out_q), cat(out_v), cat(out_s)], names=["query_id", "vec_id", "score"])
+        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"query_id": cat(out_q), "vec_id": cat(out_v), "score": cat(out_s)})
     return run
 
 
-def _pair(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each row of ``queries`` (which names its block) beside that block's
-    vectors, rows of one block together."""
-    met = queries.join(blocks, "block")
-    return met.sortWithinPartitions("block")
+def _pair(blocks: DataFrame, queries: DataFrame, parts: int, top: int) -> DataFrame:
+    """``query_id, vec_id, score``: each row of ``queries`` (which names its
+    block ``to_block``) searched in that block's vectors.  A block meets a set
+    of about SET_BLOCKS rows at a time and goes once to each set, not beside
+    each row: a task holds a block and a set, whatever the number of queries."""
+    sets = max(1, math.ceil(parts / SET_BLOCKS))
+    left = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("to_set"))
+    right = queries.withColumn("of_set", F.pmod(F.col("part"), F.lit(sets)).cast("int"))
+    return left.groupBy("block", "to_set").cogroup(right.groupBy("to_block", "of_set")).applyInArrow(
+        _search(top), "query_id long, vec_id long, score long")
 
 
 def _query_blocks(queries: DataFrame, block_rows: int, parts: int) -> DataFrame:
@@ -177,12 +187,12 @@ def _query_blocks(queries: DataFrame, block_rows: int, parts: int) -> DataFrame:
     columns hold ids, values and bounds."""
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         width = max(map(len, group["v"]))
-        return pd.DataFrame({"q_rows": [len(group)], "q_width": [width],
+        return pd.DataFrame({"part": [group["part"].iloc[0]], "q_rows": [len(group)], "q_width": [width],
                              "q_ids": [group["vec_id"].to_numpy(np.int64).tobytes()],
-                             "q_values": [_matrix(list(group["v"]), width).tobytes()],
+                             "q_values": [_packed(_matrix(list(group["v"]), width))],
                              "bounds": [group["bound"].to_numpy(np.float64).tobytes()]})
     return (queries.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts))).groupBy("part")
-            .applyInPandas(pack, "q_rows long, q_width long, q_ids binary, q_values binary, bounds binary"))
+            .applyInPandas(pack, "part long, q_rows long, q_width long, q_ids binary, q_values binary, bounds binary"))
 
 
 def _best(scores: DataFrame, top: int) -> DataFrame:
@@ -208,14 +218,14 @@ def top_k(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP, block_rows
     n = queries.count()
     parts = max(1, math.ceil(n / QUERY_ROWS))
     last = blocks.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]
-    to_blocks = lambda upto: F.explode(F.sequence(F.lit(0), F.lit(max(upto, 0)))).alias("block")
+    to_blocks = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(upto, 0)).cast("long"))).alias("to_block")
     start = _query_blocks(queries.withColumn("bound", F.lit(-math.inf)), QUERY_ROWS, parts)
     start = start.select("*", to_blocks(min(last, FIRST_BLOCKS - 1)))
-    found = _pair(blocks, start).mapInArrow(_search(top), "query_id long, vec_id long, score long")
+    found = _pair(blocks, start, parts, top)
     known = _best(found, top).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     known = stored(known.where(F.col("n") >= top).select("query_id", F.col("least").cast("double").alias("least")), "topk-bounds")
     bounded = queries.join(known, F.col("vec_id") == F.col("query_id"), "left").select(
         "vec_id", "v", F.coalesce("least", F.lit(-math.inf)).alias("bound"))
     # the stated query set against all blocks: each block of queries goes once to each block of vectors
     sent = _query_blocks(bounded, QUERY_ROWS, parts).select("*", to_blocks(last))
-    return _best(_pair(blocks, sent).mapInArrow(_search(top), "query_id long, vec_id long, score long"), top)
+    return _best(_pair(blocks, sent, parts, top), top)
